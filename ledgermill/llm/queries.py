@@ -1,6 +1,14 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from .fingerprints import op1_fingerprints
+from .packing import op8_packing
+from .quality import op9_quality
+from .token_counts import op10_token_counts
 
-QUERIES = {"op1_fingerprints": op1_fingerprints}
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
