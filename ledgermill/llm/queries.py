@@ -1,12 +1,16 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from .fingerprints import op1_fingerprints
+from .language import op2_language
 from .packing import op8_packing
 from .quality import op9_quality
+from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language": op2_language,
+    "op4_simhash": op4_simhash,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
