@@ -4,6 +4,7 @@ from .fingerprints import op1_fingerprints
 from .language import op2_language
 from .packing import op8_packing
 from .quality import op9_quality
+from .sharding import op7_sharding
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
     "op4_simhash": op4_simhash,
+    "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
