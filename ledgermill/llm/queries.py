@@ -2,6 +2,7 @@
 
 from .fingerprints import op1_fingerprints
 from .language import op2_language
+from .line_dedup import op6_line_dedup
 from .packing import op8_packing
 from .quality import op9_quality
 from .sharding import op7_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
     "op4_simhash": op4_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
