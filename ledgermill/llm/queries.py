@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
+from .decontamination import op3_decontamination
 from .fingerprints import op1_fingerprints
 from .language import op2_language
 from .line_dedup import op6_line_dedup
@@ -12,6 +13,7 @@ from .token_counts import op10_token_counts
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,

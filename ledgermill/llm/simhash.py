@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, save, text_buffer
 from .components import components
@@ -161,6 +162,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return stored.join(found, stored["fp"] == found["g"]).select("doc_id", name.alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: that of the least id, and of rows with equal ids, one. Rows with a null id
+    can't be named, so they stay."""
+    found = near_duplicates(docs, id_col, text_col, radius).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(found, F.col(id_col) == F.col("__kept"))
+    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(text_col)))
+    return named.withColumn("__order", first).filter("__order = 1").select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of all documents."""
     return near_duplicates(documents(spark, sf_dir))
