@@ -8,6 +8,7 @@ from .packing import op8_packing
 from .quality import op9_quality
 from .sharding import op7_sharding
 from .simhash import op4_simhash
+from .suffix_dedup import op5_suffix_dedup
 from .token_counts import op10_token_counts
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
