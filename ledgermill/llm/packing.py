@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterable
+from array import array
+from pathlib import Path
 
 import pyarrow as pa
 import public_tokenizers
@@ -22,28 +25,70 @@ from .common import documents, save, text_buffer
 from .ranks import ranked
 
 MAX_TOKENS, END_ID = 2048, 1
-#: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, in two generations; those that are met again move to the newer one.
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-
-def word_ids(path: str):
-    """A mapping from a word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and
-    no token or normalisation reaches across it, so a text's ids are those of its words side by side."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    class Words(dict):
-        def learn(self, words: Iterable[bytes]) -> None:
-            new = list(words)
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self[w] = b"".join(i.to_bytes(4, "little") for i in ids)
-
-    return Words()
+# Of words in these characters, lower-cased, the tokenizer's own parts; in this range no normalisation changes them further.
+_PLAIN = re.compile("[!-~\u00a1-\u017f]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w]|_)+")
+_SELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level models write a byte as a printable character: itself, or else the next from U+0100 on.
+_SHOWN = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)) - set(_SELVES)))}
+
+
+class WordIds:
+    """From a word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space, and no token or
+    normalisation reaches across it, so a text's ids are those of its words side by side."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        parts = json.loads(Path(path).read_text())
+        self.plain = parts["pre_tokenizer"]["pretokenizers"][1:] and parts["model"]["type"] == "BPE" and [a["content"][:2] for a in parts["added_tokens"]] == ["<|", "<|"]
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(_SHOWN)
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._part, _PARTS.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of(self, words: list[bytes]) -> bytes:
+        new, old = self.new, self.old
+        for w in words:
+            if w not in new:
+                ids = old.get(w)
+                new[w] = self._ids(w) if ids is None else ids
+        found = b"".join(map(new.__getitem__, words))
+        if len(new) > CACHE_WORDS:
+            self.old, self.new = new, {}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        return found
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -59,13 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
             out: list[list] = [[], [], [], [], [], []]
             for i, name in enumerate(names):
                 words = buf[off[i] : off[i + 1]].tobytes().split()
-                new = {w for w in words if w not in known}
-                if new:
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = set(words)
-                    known.learn(new)
-                raw = b"".join(map(known.__getitem__, words)) + end
+                raw = known.of(words) + end
                 total = len(raw) // 4
                 for s in range(0, total, max_tokens):
                     part = raw[4 * s : 4 * (s + max_tokens)]
