@@ -98,10 +98,10 @@ def rows_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.floor(F.rint(F.col("l_extendedprice") * 100) / 100 + 1000)
     label = F.element_at(F.array(*[F.lit(x) for x in ("Turnover", "Cost of sales", "Cash at bank and in hand", "Debtors", "Current assets")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
     line = F.when(label == "Current assets", label).otherwise(F.concat(label, F.lit(" 3 "), F.format_number(price, 0), F.lit(" "), F.format_number(price * 2, 0)))
-    body = l.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("line_no"), line.alias("line"))
+    body = l.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * F.lit(10**15) + F.col("l_partkey") * F.lit(10**9) + F.rint(F.col("l_extendedprice") * 100).cast("long")).alias("line_no"), line.alias("line"))
     heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("line_no"), F.when(F.col("o_orderkey") % 3 == 0, "Note £000 £000").when(F.col("o_orderkey") % 3 == 1, "2025 £m").otherwise("5 m customers were served").alias("line"))
     return body.unionByName(heads)
 
 
-ROWS_SQL = """SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS line_no, l_linenumber % 5 AS kind, floor(round_even(l_extendedprice * 100, 0) / 100 + 1000) AS price,
+ROWS_SQL = """SELECT l_orderkey AS doc_id, l_linenumber * 1000000000000000 + l_partkey * 1000000000 + round_even(l_extendedprice * 100, 0)::BIGINT AS line_no, l_linenumber % 5 AS kind, floor(round_even(l_extendedprice * 100, 0) / 100 + 1000) AS price,
   CASE l_orderkey % 3 WHEN 0 THEN 1000 ELSE 1000000 END AS heading FROM lineitem"""
