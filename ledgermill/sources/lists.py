@@ -15,14 +15,14 @@ _HEADER = r"(?i)company|name|number|crn|reg"
 
 
 def sniff(sample: bytes) -> tuple[str, str]:
-    """(encoding, separator) of the first bytes of a file: UTF-8, else cp1252; one of comma, semicolon, tab and bar, else comma."""
+    """(encoding, separator) of the first bytes of a file: UTF-8, else Latin-1, of which :func:`read_list` makes cp1252; one of comma, semicolon, tab and bar, else comma."""
     try:
         text, encoding = sample.decode("utf-8-sig"), "UTF-8"
     except UnicodeDecodeError as e:
         if e.reason == "unexpected end of data":
             text, encoding = sample[: e.start].decode("utf-8-sig"), "UTF-8"
         else:
-            text, encoding = sample.decode("cp1252", "replace"), "windows-1252"
+            text, encoding = sample.decode("cp1252", "replace"), "ISO-8859-1"
     try:
         return encoding, csv.Sniffer().sniff(text[:SAMPLE], ",;\t|").delimiter
     except csv.Error:
@@ -48,7 +48,9 @@ def read_list(spark: SparkSession, path: str, name: str | None = None, number: s
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE).alias("c")).first()["c"]
     encoding, separator = sniff(bytes(head))
     raw = spark.read.option("sep", separator).option("encoding", encoding).option("header", False).option("multiLine", True).csv(path)
-    cells = F.array(*[F.coalesce(F.regexp_replace(F.trim(c), "^﻿", ""), F.lit("")) for c in raw.columns])
+    pairs = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    latin = (lambda c: F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))) if encoding != "UTF-8" else F.col
+    cells = F.array(*[F.coalesce(F.regexp_replace(F.trim(latin(c)), "^\ufeff", ""), F.lit("")) for c in raw.columns])
     rows = raw.select(cells.alias("cells"), F.monotonically_increasing_id().alias("id"))
     top = rows.orderBy("id").limit(HEADER_ROWS).collect()
     filled = [r for r in top if any(r["cells"])]
