@@ -147,9 +147,9 @@ def _places(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
                     hit = np.flatnonzero(whole & table[_bit(g)])
                     at.append(hit)
                     grams.append(g[hit])
-                at, grams = np.concatenate(at), np.concatenate(grams)
-                if not len(at):
+                if not sum(map(len, at)):
                     continue
+                at, grams = np.concatenate(at), np.concatenate(grams)
                 order = np.argsort(at, kind="stable")
                 at, grams = at[order], grams[order]
                 apart = np.concatenate([[True], (row[at[1:]] != row[at[:-1]]) | (at[1:] - at[:-1] > 2 * reach)])

@@ -74,7 +74,9 @@ class Words:
 def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Marginals of each word's label for chains ``emit[start:end]`` (log scores), each word in one chain; with ``pairs``, also the expected transitions."""
     n, labels = emit.shape
-    score = np.exp(emit - emit.max(1, keepdims=True)) if n else emit
+    if not n or not labels:
+        return (emit, np.zeros((labels, labels))) if pairs else emit
+    score = np.exp(emit - emit.max(1, keepdims=True))
     step = np.exp(moves - moves.max())
     size = end - start
     order = np.argsort(-size, kind="stable")
