@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, documents, held_out, mix, save, text_chunks
 
-FEATURES, BINS, RIDGE, WIDTH, THRESHOLD = 320, 1024, 1e-3, 1.0, 0.3
+FEATURES, BINS, RIDGE, WIDTH, THRESHOLD = 320, 1024, 1e-2, 0.4, 0.3
 
 #: Byte classes: a-z, A-Z, 0-9, blank, newline, full stop, comma, exclamation or question mark, bar, other ASCII mark, first byte of a longer
 #: character, its other bytes, control.
