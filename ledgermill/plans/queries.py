@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,7 +210,8 @@ def ixbrl_figures(spark, sf_dir):
     parts = context.select("doc_id", F.lit(0).alias("k"), F.lit(0).alias("pos"), c.alias("x")).union(unit.select("doc_id", F.lit(1), F.lit(0), u)).union(fact.select("doc_id", F.lit(2), "pos", f))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "pos", "x"))), lambda s: s["x"]), "")
     docs = parts.groupBy("doc_id").agg(F.concat(F.lit("<html><body><ix:header>"), F.lit("</ix:header>"), html, F.lit("</body></html>")).alias("html"))
-    return facts_.document_figures(facts_.read_documents(docs)).select("doc_id", "turnover", "prior_turnover", "currency", "period_end", "months", "cash", "debtors")
+    parsed = facts_.read_documents(docs).persist(StorageLevel.DISK_ONLY)  # read by every figure
+    return facts_.document_figures(parsed).select("doc_id", "turnover", "prior_turnover", "currency", "period_end", "months", "cash", "debtors")
 
 
 NAMES = [
