@@ -60,6 +60,17 @@ def test_odd_and_empty_tables(spark, odd, empty, tmp_path_factory, name):
     assert queries.QUERIES[name](spark, folder(spark, tmp_path_factory, empty)).count() == 0
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    for frame in (odd, empty):
+        stored, _ = save(frame, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, stored, SF)
+            assert out.count() <= (100 if name == "packing" else frame.count())
+            assert name == "packing" or out.columns == frame.columns
+    one = {(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, save(odd, "odd")[0], SF).collect()}
+    assert sum(i == 3 for i, _ in one) <= 1 and {i for i, t in one if t in ("", "\n\n \n")} == set()  # one of equal ids; empty texts belong to document 1
+
+
 def test_fingerprints(docs, texts):
     got = {r["doc_id"]: r for r in fingerprints.edited(docs, parts=5).collect()}
     order = sorted(texts, reverse=True)
