@@ -62,16 +62,31 @@ f AS (SELECT doc_id, min(line_no) AS line_no, arg_min(price, line_no) AS price,
 SELECT doc_id, price * mult AS current, price * 2 * mult AS prior, CASE mult WHEN 1000 THEN '000' WHEN 1000000 THEN 'm' ELSE '' END AS unit, line_no FROM g"""
 
 
+_HEADLINE = f"""WITH f AS ({FACTS_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure, tag_pos, end_date ORDER BY rank, pos, value) AS n FROM f),
+p AS (SELECT *, lead(value) OVER (PARTITION BY doc_id, figure, tag_pos ORDER BY end_date DESC) AS prior FROM o WHERE n = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure ORDER BY tag_pos, end_date DESC) AS m FROM p),
+h AS (SELECT doc_id, figure, value AS current, prior, unit, end_date, start_date FROM q WHERE m = 1)"""
+
 _PSC = """SELECT s_nationkey::VARCHAR AS company_number, s_suppkey, 'Mr ' || s_name AS name, s_suppkey % 3 = 0 AS corporate FROM supplier
   WHERE s_suppkey % 4 <> 0 AND NOT (s_suppkey % 3 <> 0 AND s_suppkey % 7 = 0)"""
 
+# the rules of a status by their numbers, as in the report
 _STATUS = f"""WITH reg AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 8, '0') AS company_number FROM customer),
 latest AS ({_LATEST.format(deep='')}),
-latest2 AS (SELECT l.*, o_totalprice AS amount FROM latest l JOIN orders ON o_orderkey = l.pos),
-j AS (SELECT k, pos, {_REASON} AS reason, description, k % 13 <> 0 AS found, CASE WHEN k % 17 = 0 THEN '' WHEN k % 2 = 0 THEN '31 March 2025' END AS last FROM reg LEFT JOIN latest2 USING (company_number)),
-s AS (SELECT *, CASE WHEN k % 97 = 0 THEN 'ERROR' WHEN NOT found THEN 'NOT FOUND' WHEN last = '' THEN 'NOT DISCLOSED' WHEN description IS NULL AND last IS NULL THEN 'NOT DISCLOSED'
-  WHEN description IS NULL THEN 'CHECK PDF' WHEN pos % 3 = 0 AND pos % 4 = 0 THEN 'FOUND' WHEN pos % 3 = 0 AND reason <> '' THEN 'NOT DISCLOSED' WHEN pos % 5 = 4 OR pos % 7 = 6 THEN 'CHECK PDF'
-  WHEN pos % 8 <> 1 AND pos % 2 = 0 THEN 'VERIFY' WHEN pos % 8 <> 1 THEN 'FOUND' WHEN reason <> '' THEN 'NOT DISCLOSED' WHEN pos % 3 = 0 THEN 'NOT DISCLOSED' ELSE 'CHECK PDF' END AS status FROM j)"""
+latest2 AS (SELECT l.company_number, l.filed_on::DATE AS filed_on, l.description, l.pos, o_totalprice AS amount FROM latest l JOIN orders ON o_orderkey = l.pos),
+j AS (SELECT k, pos, amount, filed_on, {_REASON} AS reason, description, k % 13 <> 0 AS found, CASE WHEN k % 17 = 0 THEN '' WHEN k % 2 = 0 THEN '31 March 2025' END AS last, company_number FROM reg LEFT JOIN latest2 USING (company_number)),
+r AS (SELECT *, CASE WHEN k % 97 = 0 THEN 0 WHEN NOT found THEN 2 WHEN last = '' THEN 3 WHEN description IS NULL AND last IS NULL THEN 4 WHEN description IS NULL THEN 5 WHEN pos % 3 = 0 AND pos % 4 = 0 THEN 6
+  WHEN pos % 3 = 0 AND reason <> '' THEN 7 WHEN pos % 5 = 4 THEN 8 WHEN pos % 7 = 6 THEN 9 WHEN pos % 8 <> 1 AND pos % 2 = 0 THEN 10 WHEN pos % 8 <> 1 THEN 11 WHEN reason <> '' THEN 12 WHEN pos % 3 = 0 THEN 13 ELSE 14 END AS rule FROM j),
+s AS (SELECT *, CASE WHEN rule = 0 THEN 'ERROR' WHEN rule = 2 THEN 'NOT FOUND' WHEN rule IN (3, 4, 7, 12, 13) THEN 'NOT DISCLOSED' WHEN rule IN (6, 11) THEN 'FOUND' WHEN rule = 10 THEN 'VERIFY' ELSE 'CHECK PDF' END AS status,
+  CASE WHEN rule = 6 THEN 'GBP' WHEN rule IN (10, 11) THEN CASE WHEN pos % 9 = 0 THEN 'EUR' ELSE 'GBP' END END AS currency FROM r)"""
+
+_NOTE = """concat_ws('; ', CASE rule WHEN 0 THEN 'a source failed for this row, run it again' WHEN 2 THEN 'company number not on the register' WHEN 3 THEN 'no accounts filed yet (new company)' WHEN 4 THEN 'no accounts filed'
+  WHEN 5 THEN 'accounts made up to ' || last || ' exist but weren''t found in the filing history, check the company page' WHEN 7 THEN reason WHEN 8 THEN 'the accounts filing has no downloadable document'
+  WHEN 9 THEN 'the accounts PDF couldn''t be downloaded' WHEN 12 THEN reason WHEN 13 THEN 'turnover not shown in the filed accounts' WHEN 14 THEN 'no turnover line found in ' || pos % 50 || ' pages, open the PDF to check' END,
+  CASE WHEN found AND k % 5 = 1 THEN 'company status: Dissolved' WHEN found AND k % 5 = 2 THEN 'company status: Liquidation' END, CASE WHEN found AND k % 11 = 0 THEN 'accounts overdue' END,
+  CASE WHEN found AND rule >= 6 AND date_diff('day', filed_on, DATE '2001-01-01') > 730 THEN 'latest accounts are over 2 years old (' || strftime(filed_on, '%-d %B %Y') || ')' END,
+  CASE WHEN rule = 6 AND pos % 14 NOT IN (0, 11, 12, 13) THEN 'these accounts cover ' || pos % 14 || ' months, not a normal year' END,
+  CASE WHEN rule = 10 THEN 'read by OCR from page ' || pos % 40 || ', check the figures against the PDF' END, CASE WHEN currency <> 'GBP' THEN 'figures are in ' || currency END)"""
 
 
 def _summary() -> str:
@@ -106,10 +121,11 @@ SELECT row_no, searched, number, same_name FROM n LEFT JOIN r ON searched = regi
     "latest_filing": _LATEST.format(deep="rn <= 500 AND"),
     "latest_filing_any_depth": _LATEST.format(deep=""),
     "fact_ranked": FACTS_SQL,
-    "fact_headline": f"""WITH f AS ({FACTS_SQL}), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure, tag_pos, end_date ORDER BY rank, pos, value) AS n FROM f),
-p AS (SELECT *, lead(value) OVER (PARTITION BY doc_id, figure, tag_pos ORDER BY end_date DESC) AS prior FROM d WHERE n = 1),
-t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure ORDER BY tag_pos, end_date DESC) AS m FROM p)
-SELECT doc_id, figure, value AS current, prior, unit, end_date, start_date FROM t WHERE m = 1""",
+    "fact_headline": f"{_HEADLINE} SELECT * FROM h",
+    "ixbrl_figures": f"""{_HEADLINE}, d AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem), t AS (SELECT * FROM h WHERE figure = 'turnover')
+SELECT d.doc_id, t.current AS turnover, t.prior AS prior_turnover, CASE WHEN t.doc_id IS NOT NULL THEN 'GBP' END AS currency, t.end_date AS period_end,
+  round_even(date_diff('day', t.start_date::DATE, t.end_date::DATE) / 30.44, 0)::INT AS months, c.current AS cash, b.current AS debtors
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN (SELECT * FROM h WHERE figure = 'cash') c USING (doc_id) LEFT JOIN (SELECT * FROM h WHERE figure = 'debtors') b USING (doc_id)""",
     "statement_units": f"""WITH l AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1000000 END AS multiplier, o_orderkey % 3 < 2 AS is_heading FROM orders
 UNION ALL SELECT 1, false FROM ({ROWS_SQL})) SELECT multiplier::INT AS multiplier, is_heading, count(*)::BIGINT AS rows FROM l GROUP BY ALL""",
     "page_order": f"SELECT doc_id, page, n_pages, order_pos::INT AS order_pos FROM (SELECT *, CASE WHEN n_pages > 40 THEN (page - floor(n_pages * 0.25)::INT + n_pages) % n_pages ELSE page END AS order_pos FROM ({_PAGES})) WHERE order_pos < 20",
@@ -129,5 +145,7 @@ n AS (SELECT n_nationkey::VARCHAR AS company_number, n_name || ' & Sons' AS comp
 SELECT company_number, company || coalesce(' + ' || person, '') || ' + LinkedIn' AS search_text,
   'https://www.google.com/search?q=' || replace(replace(replace(company || coalesce(' ' || substr(person, 4), '') || ' LinkedIn', '&', '%26'), '#', '%23'), ' ', '+') AS search_url FROM n LEFT JOIN f USING (company_number)""",
     "missing_reasons": f"SELECT {_REASON} AS reason, {_GOOD} AS annual, count(*)::BIGINT AS filings FROM ({FILINGS_SQL}) GROUP BY ALL",
+    "status_report": f"""{_STATUS} SELECT k AS row_no, company_number, status AS turnover_status, CASE WHEN rule IN (6, 10, 11) THEN round_even(amount, 0) END AS turnover,
+  CASE WHEN rule >= 10 THEN round_even(amount / 2, 0) END AS cash, currency, CASE WHEN rule = 6 THEN '2025-03-31' WHEN found AND rule >= 6 THEN filed_on::VARCHAR END AS period_end, nullif({_NOTE}, '') AS note FROM s""",
     "status_summary": _summary(),
 }
