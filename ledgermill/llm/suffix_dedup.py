@@ -81,7 +81,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(7):
         key <<= 9
-        key[: n - k] += text[k:].astype(np.int64) + 1
+        key[: max(n - k, 0)] += text[k:].astype(np.int64) + 1
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -286,7 +286,8 @@ def _bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``key, start, end`` of repeated bytes of rows ``key, text``; spans of a row may overlap."""
     found = occurrences(rows, length, gram)
-    again = found.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a")
+    # stored apart, so that the join's own shuffles can be split where an anchor is very frequent
+    again, _ = save(found.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "again")
     held, _ = save(found.join(again, F.col("anchor") == F.col("a")).drop("a"), "anchors")
     kinds, _ = save(held.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "starts")).alias("one")), "contexts")
     twice = kinds.filter("n > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d"))
