@@ -4,7 +4,7 @@ Linked documents start in shards dealt by a hash and move, in rounds, to the sha
 Documents without links fill what is left. The law is ``rows``: counts of shards are at most one apart, so a shard's capacity is fixed from the start.
 
 Links are given by groups: the documents of a group are linked with each other (for the query: equal texts), which needs a row a document and not one a
-pair. All steps are joins, groupings and ranks over DataFrames; the driver sees a few numbers a shard. A group larger than a shard's room is cut: its
+pair; a document may be in several groups, and a plain link is a group of two. All steps are joins, groupings and ranks over DataFrames; the driver sees a few numbers a shard. A group larger than a shard's room is cut: its
 members fill one shard after the other.
 """
 
@@ -39,63 +39,89 @@ def _admitted(wishes: DataFrame, n: int, room: list[int]) -> DataFrame:
     return order.filter(F.col("rank") < _pick(room, F.col("to"))).select("id", "to")
 
 
-def propagate(linked: DataFrame, n: int, room: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``id, grp, label`` of stored rows ``id, grp`` in groups of two or more; label -1 where no shard had room in any round.
+def members_of_links(links: DataFrame) -> DataFrame:
+    """``id, grp`` of plain links (two columns of ids): each link is a group of two."""
+    a, b = links.columns[:2]
+    pair = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct().withColumn("grp", F.xxhash64("a", "b"))
+    return pair.select(F.explode(F.array("a", "b")).alias("id"), "grp")
 
-    First each group asks for one shard by its hash. Then, in each round, members that are outside the shard where most of their group's are, of those
-    with room, ask for it; a shard admits what fits.
+
+def propagate(members: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
+    """``id, first, label`` of stored memberships ``id, grp`` in groups of two or more, an id in any number of groups (``first``: its least); label -1 where
+    no shard had room in any round.
+
+    First each document asks for one shard by the hash of its first group. Then, in each round, every document counts its neighbours (members of its
+    groups, itself included once, which keeps pairs from swapping for ever) in each shard, and asks for the one with most of those with room if it has more
+    there than in its own; a shard admits what fits. In every other round documents may ask for full shards too, and as many move between two shards one
+    way as the other. It ends after two rounds without a move.
     """
-    spark, shards = linked.sparkSession, len(room)
-    first = linked.withColumn("to", F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int"))
-    start, path = save(first, "wishes")
-    label = start.select("id", "grp").join(_admitted(start, n, room).withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left")
-    now, now_path = save(label.select("id", "grp", F.coalesce("to", F.lit(-1)).alias("label")), "labels")
+    spark, shards = members.sparkSession, len(room)
+    ids = members.groupBy("id").agg(F.min("grp").alias("grp"), F.count(F.lit(1)).alias("groups"))
+    start, path = save(ids.withColumn("to", F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int")), "wishes")
+    n = start.count()
+    label = start.select("id", F.col("grp").alias("first"), "groups").join(_admitted(start, n, room).withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left")
+    now, now_path = save(label.select("id", "first", "groups", F.coalesce("to", F.lit(-1)).alias("label")), "labels")
     forget(spark, path)
+    still = 0
     for step in range(rounds):
+        swap = step % 2 == 1
         free = [max(0, q - x) for q, x in zip(room, _loads(now, shards), strict=True)]
-        has_room = _pick(free, F.col("label")) > 0
-        held = now.filter("label >= 0").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-        most = held.groupBy("grp").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"), F.max(F.when(has_room, F.struct("n", (-F.col("label")).alias("l")))).alias("open"))
-        # to a shard of the group with room, else (unplaced members) to the roomiest shards in turn
-        roomy = sorted((k for k in range(shards) if free[k]), key=lambda k: -free[k])
-        if not roomy:
-            break
-        other = _pick(roomy, (F.pmod(F.xxhash64("grp", F.lit(step)), F.lit(len(roomy)))).cast("int")).cast("int")
-        joined = now.join(most.withColumnRenamed("grp", "g"), F.col("grp") == F.col("g"), "left").join(
-            held.select(F.col("grp").alias("hg"), F.col("label").alias("hl"), F.col("n").alias("own")), (F.col("grp") == F.col("hg")) & (F.col("label") == F.col("hl")), "left"
-        )
+        # unplaced documents without a neighbour in a shard with room go to the roomiest shards in turn
+        roomy = sorted((k for k in range(shards) if free[k]), key=lambda k: -free[k]) or [0]
+        placed = now.filter("label >= 0").select(F.col("id").alias("p"), "label")
+        held = members.join(placed, F.col("id") == F.col("p")).groupBy(F.col("grp").alias("g"), "label").agg(F.count(F.lit(1)).alias("n"))  # a row a group and shard
+        votes = members.join(held, F.col("grp") == F.col("g")).groupBy(F.col("id").alias("v"), F.col("label").alias("there")).agg(F.sum("n").alias("n"))
+        seen = now.join(votes, F.col("id") == F.col("v"), "left")
+        seen = seen.withColumn("n", F.when(F.col("there") == F.col("label"), F.col("n") - F.col("groups") + 1).otherwise(F.col("n")))  # itself once, not in each group
+        seen = seen.groupBy("id", "first", "label")
+        usable = F.col("there").isNotNull() if swap else _pick(free, F.col("there")) > 0
+        best = seen.agg(F.max(F.when(usable, F.struct("n", (-F.col("there")).alias("l")))).alias("open"), F.coalesce(F.max(F.when(F.col("there") == F.col("label"), F.col("n"))), F.lit(0)).alias("own"))
         target = -F.col("open.l")
-        gain = F.col("open").isNotNull() & (target != F.col("label")) & ((F.col("open.n") > F.coalesce("own", F.lit(0))) | ((F.col("open.n") == F.col("own")) & (target < F.col("label"))))
-        to = F.when(gain, target).when(F.col("label") < 0, other)
-        asked, asked_path = save(joined.select("id", "grp", to.cast("int").alias("to")).filter(F.col("to").isNotNull()), "wishes")
-        n_asked = asked.count()
-        if not n_asked:
-            forget(spark, asked_path)
+        gain = F.col("open").isNotNull() & (target != F.col("label")) & ((F.col("open.n") > F.col("own")) | ((F.col("open.n") == F.col("own")) & (target < F.col("label"))))
+        if swap:  # every other document, so that neighbours don't just change places
+            to = F.when(gain & (F.col("label") >= 0) & (F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0), target)
+        else:
+            to = F.when(gain, target).when((F.col("label") < 0) & F.lit(any(free)), _pick(roomy, F.pmod(F.xxhash64("first", F.lit(step)), F.lit(len(roomy))).cast("int")))
+        wishes = best.select("id", F.col("first").alias("grp"), F.col("label").alias("own_label"), to.cast("int").alias("to")).filter(F.col("to").isNotNull())
+        asked, asked_path = save(wishes, "wishes")
+        if swap:
+            ways = {(r["own_label"], r["to"]): r["n"] for r in asked.groupBy("own_label", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # two shards a row
+            both_ways = [min(ways.get((a, b), 0), ways.get((b, a), 0)) for a in range(shards) for b in range(shards)]
+            n_moved, n_asked = sum(both_ways), sum(ways.values())
+        else:
+            n_moved = n_asked = asked.count()
+        still = 0 if n_moved else still + 1
+        if n_moved:
+            if swap:
+                order = ranked(asked, ["own_label", "to"], ["grp", "id"], n_asked)
+                moved = order.filter(F.col("rank") < _pick(both_ways, F.col("own_label") * shards + F.col("to"))).select(F.col("id").alias("m"), "to")
+            else:
+                moved = _admitted(asked, n_asked, free).withColumnRenamed("id", "m")
+            new, new_path = save(now.join(moved, F.col("id") == F.col("m"), "left").select("id", "first", "groups", F.coalesce("to", "label").alias("label")), "labels")
+            forget(spark, now_path)
+            now, now_path = new, new_path
+        forget(spark, asked_path)
+        if still == 2:
             break
-        moved = _admitted(asked, n_asked, free).withColumnRenamed("id", "m")
-        new, new_path = save(now.join(moved, F.col("id") == F.col("m"), "left").select("id", "grp", F.coalesce("to", "label").alias("label")), "labels")
-        for old in (asked_path, now_path):
-            forget(spark, old)
-        now, now_path = new, new_path
     return now
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``shard`` and ``slot`` to stored rows ``id`` (unique), ``grp`` (long; null: no links): counts of shards are at most one apart and slots are
-    gapless from 0. An empty table gives none."""
+def shard(rows: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """Add ``shard`` and ``slot`` to stored rows with a unique ``id``, linked by ``members`` (``id, grp``; groups of one and rows with a null link nothing):
+    counts of shards are at most one apart and slots are gapless from 0. An empty table gives none."""
     n = rows.count()
     room = quotas(n, shards)
-    sizes = rows.filter(F.col("grp").isNotNull()).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("grp").alias("g"))
-    linked, _ = save(rows.select("id", "grp").join(sizes, F.col("grp") == F.col("g")).select("id", "grp"), "linked")
-    n_linked = linked.count()
-    placed = propagate(linked, n_linked, room, rounds).filter("label >= 0")
+    members = members.filter(F.col("grp").isNotNull() & F.col("id").isNotNull())
+    sizes = members.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    linked, _ = save(members.join(sizes, F.col("grp") == F.col("g")).select("id", "grp"), "linked")
+    placed = propagate(linked, room, rounds).filter("label >= 0")
     loads = _loads(placed, shards)
-    both, _ = save(rows.join(placed.select(F.col("id").alias("p"), "label"), F.col("id") == F.col("p"), "left").drop("p"), "placed")
-    own = ranked(both.filter(F.col("label").isNotNull()), ["label"], ["grp", "id"], max(1, sum(loads)))
-    own = own.select(*rows.columns, F.col("label").cast("int").alias("shard"), F.col("rank").alias("slot"))
+    both, _ = save(rows.join(placed.select(F.col("id").alias("p"), F.col("first").alias("__first"), F.col("label").alias("__label")), F.col("id") == F.col("p"), "left").drop("p"), "placed")
+    own = ranked(both.filter(F.col("__label").isNotNull()), ["__label"], ["__first", "id"], max(1, sum(loads)))
+    own = own.select(*rows.columns, F.col("__label").cast("int").alias("shard"), F.col("rank").alias("slot"))
     free = [q - x for q, x in zip(room, loads, strict=True)]
     ends = [sum(free[: k + 1]) for k in range(shards)]
-    rest = ranked(both.filter(F.col("label").isNull()), [], ["id"], max(1, n - sum(loads))).withColumn("shard", position(F.col("rank"), ends).cast("int"))
+    rest = ranked(both.filter(F.col("__label").isNull()), [], ["id"], max(1, n - sum(loads))).withColumn("shard", position(F.col("rank"), ends).cast("int"))
     starts = [e - f for e, f in zip(ends, free, strict=True)]
     rest = rest.withColumn("slot", F.col("rank") - _pick(starts, F.col("shard")) + _pick(loads, F.col("shard")))
     return own.union(rest.select(*rows.columns, "shard", "slot"))
@@ -109,7 +135,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     # of equal ids with equal texts, each row has a number of its own
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("grp"))
     stored, _ = save(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    found = shard(stored, shards)
+    found = shard(stored, stored.select("id", "grp"), shards)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

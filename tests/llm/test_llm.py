@@ -316,16 +316,27 @@ def test_sharding(docs, texts):
 def test_sharding_of_groups(spark, group):
     n, shards = 400, 8
     stored, _ = save(spark.createDataFrame([(k, group(k)) for k in range(n)], "id long, grp long"), "t")
-    rows = sharding.shard(stored, shards).collect()
+    rows = sharding.shard(stored.select("id"), stored, shards).collect()
     assert sorted(r["id"] for r in rows) == list(range(n))
     shard_checks(rows, shards)
-    sizes, cut = collections.Counter(r["grp"] for r in rows), collections.defaultdict(set)
+    sizes, cut = collections.Counter(group(k) for k in range(n)), collections.defaultdict(set)
     for r in rows:
-        cut[r["grp"]].add(r["shard"])
+        cut[group(r["id"])].add(r["shard"])
     largest, k = sizes.most_common(1)[0]
     assert len(cut[largest]) <= -(-k // (n // shards)) + 2  # a large group lies in few shards more than it needs
 
 
+def test_sharding_of_plain_links(spark):
+    """Clusters of a graph with a few links between them: far fewer links are cut than by chance."""
+    rng, n, shards = random.Random(9), 240, 4
+    links = [(a, b) for a in range(n) for b in rng.sample(range(a // 12 * 12, a // 12 * 12 + 12), 4)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(20)]
+    members, _ = save(sharding.members_of_links(spark.createDataFrame(links, "a long, b long")), "t")
+    rows = sharding.shard(spark.range(n), members, shards, rounds=14).collect()
+    shard_checks(rows, shards)
+    at = {r["id"]: r["shard"] for r in rows}
+    assert sum(at[a] != at[b] for a, b in links) < 0.5 * len(links) * (1 - 1 / shards)
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
