@@ -26,7 +26,7 @@ from .ranks import ranked
 
 MAX_TOKENS, END_ID = 2048, 1
 #: Words whose ids a Python worker remembers, in two generations; those that are met again move to the newer one.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
