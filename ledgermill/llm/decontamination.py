@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Texts are lower-cased and cut into words at white space and ASCII punctuation. Every run of ``GRAM`` words of a test item is a possible seed (of a shorter
-item, all its words); a first pass over all documents counts in how many of them each occurs. An item's seeds are its runs in at most one document of
-``RARE`` and, whatever their counts, the rarer half of its runs, so no item is without seeds however often it was copied. A second pass takes from each
-document the places of seeds with the words around them, joins them to items by seed, and aligns item and place by Smith-Waterman over words
-(match 2, other -1, gap -1). A pair counts if its score is ``LEAST`` of the item's best possible score or more: what is left where one word in five was
-replaced, a similarity of 0.8.
+Texts are lower-cased and cut into words at white space and ASCII punctuation. An item and a place of a document count as a pair if their Smith-Waterman
+score over words (match 2, other -1, gap -1) is ``LEAST`` of the item's best possible score or more: what is left where one word in five was replaced, a
+similarity of 0.8.
+
+Seeds lose no such pair. A score of ``LEAST`` leaves a certain number of an item's runs of ``GRAM`` words whole, however the edits lie (:func:`intact`), so
+that many runs less one can be left out as seeds, whichever they are: a pair still holds a seed. A first pass over all documents counts in how many of them
+each run occurs, and the most frequent are left out. An item too short for such a bound has single words as runs. A second pass takes from each document
+the places of seeds with the words around them, as far as an alignment can reach, joins them to items by seed, and aligns item and place.
 
 Documents are filtered in their own tasks by a bit table of 2**``BITS`` bits of seed hashes, whose size doesn't depend on the benchmark; the joins that
 follow go by hash, and Spark chooses how.
@@ -13,6 +15,8 @@ follow go by hash, and Spark chooses how.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import Chunk, documents, row_chunks, save
 
-GRAM, RARE, LEAST, BITS, AROUND = 3, 2000, 0.7, 22, 8
+GRAM, LEAST, BITS = 2, 0.7, 22
 
 _SPACES = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
 
@@ -72,21 +76,35 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return rows.mapInArrow(run, "item_id long, words array<long>").filter(F.size("words") > 0)
 
 
-def item_grams(words: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``item_id, gram, n, place`` of every run of ``n = gram`` words, or of all ``n`` words of a shorter item."""
+def spare(length: int, least: float = LEAST) -> int:
+    """The most that an alignment of an item of ``length`` words can lose and still count, so also the most gaps that it can have."""
+    return 2 * length - math.ceil(2 * least * length - 1e-9)
+
+
+def intact(length: int, n: int, least: float = LEAST) -> int:
+    """How many of an item's runs of ``n`` words every alignment that counts leaves whole, at least. Of all words matched, each break costs 1 and ``n - 1``
+    runs; a word not matched costs 2 or more and breaks ``n`` at most."""
+    lost = spare(length, least)
+    return length - lost // 2 if n == 1 else length - (n - 1) * (lost + 1)
+
+
+def item_grams(words: DataFrame, gram: int = GRAM, least: float = LEAST) -> DataFrame:
+    """``item_id, gram, n, place, seeds`` of every run of ``n`` words: ``gram``, or fewer where no such run need be whole. Any ``seeds`` of them find it."""
 
     def run(batches):
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], [], []]
+            ids, out = b.column(0).to_pylist(), [[], [], [], [], []]
             for k, w in zip(ids, b.column(1), strict=True):
                 h = w.values.to_numpy().view(np.uint64)
-                n = min(gram, len(h))
+                n = next((n for n in range(gram, 1, -1) if intact(len(h), n, least) > 0), 1)
                 g, _ = _grams(h, np.zeros(len(h), np.int64), n)
-                for column, x in zip(out, ([k] * len(g), g.view(np.int64).tolist(), [n] * len(g), range(len(g))), strict=True):
+                enough = len(g) - max(intact(len(h), n, least), 1) + 1
+                for column, x in zip(out, ([k] * len(g), g.view(np.int64).tolist(), [n] * len(g), range(len(g)), [enough] * len(g)), strict=True):
                     column += x
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["item_id", "gram", "n", "place"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["item_id", "gram", "n", "place", "seeds"])
 
-    return words.mapInArrow(run, "item_id long, gram long, n int, place int")
+    return words.mapInArrow(run, "item_id long, gram long, n int, place int, seeds int")
 
 
 def _bit(g: np.ndarray) -> np.ndarray:
@@ -121,13 +139,11 @@ def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return found.join(grams.select("gram").distinct(), "gram", "left_semi")
 
 
-def seeds(grams: DataFrame, counts: DataFrame, n_docs: int, rare: int = RARE) -> DataFrame:
-    """``item_id, gram, n, place`` of the runs that search for their item."""
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``item_id, gram, n, place`` of the runs that search for their item: as many as it needs, the rarest."""
     with_df = grams.join(counts.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    of_item = Window.partitionBy("item_id")
-    order = F.row_number().over(of_item.orderBy("df", "gram", "place"))
-    total = F.count(F.lit(1)).over(of_item)
-    return with_df.withColumn("order", order).withColumn("total", total).filter((F.col("order") * 2 <= F.col("total") + 1) | (F.col("df") * rare <= n_docs)).select("item_id", "gram", "n", "place")
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "gram", "place"))
+    return with_df.withColumn("order", order).filter(F.col("order") <= F.col("seeds")).select("item_id", "gram", "n", "place")
 
 
 def _places(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
@@ -195,7 +211,7 @@ def align(item: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return best, last
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, gram: int = GRAM, rare: int = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, gram: int = GRAM) -> DataFrame:
     """``doc_id, item_id, score, end_word`` of every pair of a document and a test item that it holds, wholly or edited: the best alignment's share of the
     item's best possible score, and the document's word where it ends.
 
@@ -204,18 +220,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words, _ = save(item_words(items), "items")
-    grams, _ = save(item_grams(words, gram), "grams")
+    grams, _ = save(item_grams(words, gram, least), "grams")
     longest = words.agg(F.max(F.size("words"))).first()[0]
-    n_docs = rows.select("doc_id").count()
-    found, _ = save(seeds(grams, gram_counts(rows, grams), n_docs, rare), "seeds")
-    reach = (longest or 0) + (longest or 0) // 4 + AROUND
+    found, _ = save(seeds(grams, gram_counts(rows, grams)), "seeds")
+    reach = (longest or 0) + spare(longest or 0, least) + 1
     stretches, _ = save(_places(rows, found, reach), "stretches")
     hits = stretches.select("part", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("part", F.col("s.grams").alias("g"), F.col("s.places").alias("p"))
     where = F.col("p") - F.col("place")
     pairs = hits.join(found, F.col("g") == F.col("gram")).groupBy("part", "item_id").agg(F.min(where).alias("low"), F.max(where).alias("high"))
     cut = words.withColumnRenamed("words", "item").withColumnRenamed("item_id", "i")
     met = pairs.join(stretches.select(F.col("part").alias("s"), "doc_id", "first", "words"), F.col("part") == F.col("s")).join(cut, F.col("item_id") == F.col("i"))
-    slack = F.floor(F.size("item") / 4).cast("int") + AROUND
+    slack = F.ceil(F.size("item") * F.lit(2 - 2 * least)).cast("int") + 1  # not less than spare()
     start = F.greatest(F.col("low") - slack, F.lit(0))
     near = F.slice("words", start + 1, F.greatest(F.col("high") + F.size("item") + slack - start, F.lit(1)))
     rows = met.select("doc_id", "item_id", (F.col("first") + start).alias("from"), "item", near.alias("near"))

@@ -159,6 +159,30 @@ def test_decontamination_of_edited_copies(spark):
     assert decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(None, "x"), (1, None), (2, "!!")], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2500])
+def test_decontamination_finds_every_edited_copy(spark, copies):
+    """One word in five replaced, or words inserted up to what a score of 0.7 allows, in one or in thousands of documents, against brute force."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 7, 10, 15, 25, 40, 55])]
+    rows = []
+    for _, t in items:
+        w = t.split()
+        tenth = [word() if p % 5 == 2 else x for p, x in enumerate(w)]
+        some = rng.sample(range(len(w)), len(w) // 5)
+        edits = [w, tenth, [word() if p in some else x for p, x in enumerate(w)]]
+        edits += [[y for p, x in enumerate(w) for y in ([word(), x] if p % step == 1 else [x])] for step in (2, 3, 5)]
+        edits += [w[len(w) // 5 :] + w[: len(w) // 5], w[: -(-len(w) * 7 // 10)], w[: len(w) // 2] + [word() for _ in range(len(w) * 3 // 5)] + w[len(w) // 2 :]]
+        rows += [" ".join([word(), word(), *e, word()]) for e in edits]
+    want = {(d, k) for d, r in enumerate(rows) for k, t in items if align_one(t.split(), r.split()) >= 0.7 * 2 * len(t.split()) - 1e-9}
+    many = [(c * len(rows) + d, r) for c in range(copies) for d, r in enumerate(rows) if c == 0 or d % 9 < 2]
+    table = spark.createDataFrame(many, "doc_id long, text string")
+    found = decontamination.contaminated(table, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["d"], r["item_id"]): r["n"] for r in found.groupBy((F.col("doc_id") % len(rows)).alias("d"), "item_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(got) == want
+    assert all(n == (copies if d % 9 < 2 else 1) for (d, _), n in got.items())
+
+
 def reach(values, radius):
     root = {v: v for v in values}
 
