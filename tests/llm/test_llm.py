@@ -303,6 +303,22 @@ def test_line_dedup(docs, texts):
     assert all(hashlib.sha256(new[i].encode()).hexdigest() == got[i]["kept_sha256"] for i in texts)
 
 
+def test_op6_removes_every_repeated_run(spark, texts):
+    """Against brute force over runs of lines: those of documents with lesser ids, and earlier ones of the same document that don't overlap."""
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_line_dedup"](spark, SF).collect()}
+    seen, removed = set(), 0
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        both = list(zip(lines, lines[1:], strict=False))
+        again = {k for k, p in enumerate(both) if p in seen or p in both[: max(0, k - 1)]}
+        seen |= set(both)
+        kept = [x for k, x in enumerate(lines) if not again & {k - 1, k}]
+        removed += len(lines) - len(kept)
+        assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+        assert (got[i]["n_lines"], got[i]["n_removed_lines"]) == (len(lines), len(lines) - len(kept))
+    assert removed > 150
+
+
 def test_line_chunks_resist_shifts():
     """An inserted line changes no chunk but those around it."""
     lines = [f"line {k * 7919 % 1000}" for k in range(300)]
