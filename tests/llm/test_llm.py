@@ -319,6 +319,21 @@ def test_op6_removes_every_repeated_run(spark, texts):
     assert removed > 150
 
 
+def test_rows_without_an_id_lose_lines(spark):
+    """They lose to documents with an id, and keep nothing back."""
+    passage = "\n".join(f"line {k * 7919 % 1000}" for k in range(40))
+    other = "\n".join(f"row {k}" for k in range(40))
+    rows = [(5, passage), (None, passage), (None, passage + "\nend"), (None, other), (None, other)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (line_dedup.deduped(table), line_dedup.deduped_runs(table)):
+        lost = sorted((r["n_lines"], r["n_removed_lines"], r["doc_id"] is None) for r in found.collect())
+        assert [x for _, x, null in lost if not null] == [0]
+        assert sum(x > 0 for _, x, null in lost if null) == 2
+    assert sorted(r["n_removed_lines"] for r in line_dedup.deduped_runs(table).collect()) == [0, 0, 0, 40, 40]
+    left = sorted(len(r["text"]) for r in line_dedup.dedup_lines(table).collect())
+    assert sum(n < len(other) for n in left) == 2
+
+
 def test_line_chunks_resist_shifts():
     """An inserted line changes no chunk but those around it."""
     lines = [f"line {k * 7919 % 1000}" for k in range(300)]
