@@ -12,6 +12,7 @@ is first cut down, without loss, to where repeats can be:
    at shared limits; slices between the same limits meet and what is in two shards is found by binary search of one slice in the other.
 5. Repeated starts of a document are joined to its text, which is cut in its task.
 
+Texts longer than a block are cut into blocks that overlap by ``LENGTH - 1`` bytes, each with its own starts, so that places in them fit the bits for them.
 Rows are known by a hash of id and text, so null and repeated ids are kept, and repeated rows count as occurrences of each other's strings.
 """
 
@@ -59,18 +60,29 @@ def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return row[first], first, starts, mark, h[mark].view(np.int64), digest.view(np.int64)
 
 
-def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _blocks(c: Chunk, block: int, length: int):
+    """(first byte, chunk) of the blocks of a chunk. Only a text that is a chunk of its own is longer than one."""
+    if len(c.buf) <= block:
+        yield 0, c
+        return
+    for at in range(0, len(c.buf), block):
+        part = c.buf[at : at + block + length - 1]
+        yield at, Chunk(part, np.array([0, len(part)]))
+
+
+def occurrences(rows: DataFrame, length: int, gram: int, block: int = BLOCK) -> DataFrame:
     """``anchor, digest, key, lo, starts`` of every context of rows ``key, text``."""
 
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy()
-            for i, _, c in text_chunks(b.column(1), BLOCK):
-                row, first, starts, _, anchor, digest = contexts(c, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(digest), pa.array(keys[i + row]), pa.array((first - c.off[row]).astype(np.int64)), pa.array(starts.astype(np.int32))],
-                    ["anchor", "digest", "key", "lo", "starts"],
-                )
+            for i, _, whole in text_chunks(b.column(1), block):
+                for at, c in _blocks(whole, block, length):
+                    row, first, starts, _, anchor, digest = contexts(c, length, gram)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), pa.array(digest), pa.array(keys[i + row]), pa.array((at + first - c.off[row]).astype(np.int64)), pa.array(starts.astype(np.int32))],
+                        ["anchor", "digest", "key", "lo", "starts"],
+                    )
 
     return rows.mapInArrow(run, "anchor long, digest long, key long, lo long, starts int")
 
@@ -283,9 +295,9 @@ def _bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return met.select("text", "want").mapInArrow(cut, "anchor long, digest long, n long, key long, lo long, body binary")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """``key, start, end`` of repeated bytes of rows ``key, text``; spans of a row may overlap."""
-    found = occurrences(rows, length, gram)
+    found = occurrences(rows, length, gram, block)
     # stored apart, so that the join's own shuffles can be split where an anchor is very frequent
     again, _ = save(found.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "again")
     held, _ = save(found.join(again, F.col("anchor") == F.col("a")).drop("a"), "anchors")
@@ -327,11 +339,11 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bodies: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bodies: bool = False, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (with ``bodies``, also ``kept``, the remaining bytes). Null text counts as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
-    spans = repeated_spans(rows.select("key", "text"), length, gram, crowd)
+    spans = repeated_spans(rows.select("key", "text"), length, gram, crowd, block)
     lists = spans.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
 
     def run(batches):

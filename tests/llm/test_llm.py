@@ -269,6 +269,27 @@ def test_suffix_dedup_of_shared_passages(spark, crowd):
         assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
+def test_suffix_dedup_in_a_long_text(spark):
+    """A repeat beyond byte 2**24 of a text."""
+    rng = random.Random(6)
+    passage = rng.randbytes(2500).hex()
+    rows = [(1, rng.randbytes((1 << 23) + 9000).hex() + passage + "end"), (2, "begin " + passage)]
+    got = {r["doc_id"]: r for r in suffix_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2)] == [(5000, 1)] * 2
+
+
+@pytest.mark.parametrize("block", [40, 50, 64, 100])
+def test_suffix_dedup_in_blocks(spark, block):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    passage = word(150)
+    rows = [word(rng.randrange(200)) + passage[rng.randrange(40) : rng.randrange(60, 150)] + word(rng.randrange(200)) for _ in range(25)] + ["ab" * 150, "é" * 90, "a" * 90 + passage, ""]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.deduped(frame, length=40, gram=16, block=block).collect()}
+    for i, want in enumerate(repeats([t.encode() for t in rows], 40)):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(7)
     for size in (1, 2, 50, 400):
