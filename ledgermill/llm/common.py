@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +16,13 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where unset (tests), one is made and set."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset and Spark runs in this process alone, it is put below the
+    warehouse; on a cluster there is no safe default, so it must be set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -49,13 +51,30 @@ def held_out(doc_id) -> "F.Column":
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def bit_table(df: DataFrame, name: str, most: int = 27) -> tuple[np.ndarray, int]:
+    """Which ranges of the hashes in column ``name`` of a stored table hold one: little-endian bits, and that there are 2**n of them. ``n`` follows the number
+    of rows up to ``most``, so the driver gets at most 2**27 bits, put together by Spark. It only spares a shuffle what can't match; beyond, it spares less."""
+    n = min(most, max(15, (16 * df.count()).bit_length()))
+    bit = F.shiftrightunsigned(name, 64 - n)
+    parts = df.groupBy(F.shiftright(bit, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    table = np.zeros(1 << n >> 3, np.uint8)
+    for r in parts.collect():
+        table[r["part"] << 12 : r["part"] + 1 << 12] = np.frombuffer(r["bits"], np.uint8)
+    return table, n
+
+
+def has_bit(table: np.ndarray, n: int, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set in an unpacked :func:`bit_table`."""
+    return table[(hashes.view(np.uint64) >> np.uint64(64 - n)).astype(np.int64)]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off

@@ -1,19 +1,20 @@
 """Removal of repeated byte strings by suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else too. Suffix arrays over all text would sort mostly what is unique, so text
-is first cut down, without loss, to where repeats can be:
+is first cut down, without loss, to where repeats can be, and then suffix arrays decide:
 
 1. Every string of ``LENGTH`` bytes has an anchor, the least of its ``GRAM``-byte hashes (leftmost of ties), which equal strings share. Consecutive starts
    with one anchor form a context: the bytes that their strings cover, some 260 for 60 starts. An anchor that occurs once in all documents has no repeat.
-2. A context that occurs twice or more, by two 64-bit hashes, is repeated as a whole. What is left are anchors in different contexts.
-3. Their different contexts go, by anchor, to shards of bounded size. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy; common
-   prefixes of neighbours follow from Kasai's rule, and a start is repeated if it shares ``LENGTH`` bytes with a neighbour.
-4. An anchor with more than ``CROWD`` contexts is dealt to several shards. Each sorts the hashes of its different strings and cuts them by binary search
-   at shared limits; slices between the same limits meet and what is in two shards is found by binary search of one slice in the other.
-5. Repeated starts of a document are joined to its text, which is cut in its task.
-
-Texts longer than a block are cut into blocks that overlap by ``LENGTH - 1`` bytes, each with its own starts, so that places in them fit the bits for them.
-Rows are known by a hash of id and text, so null and repeated ids are kept, and repeated rows count as occurrences of each other's strings.
+2. Contexts are the same if 128 bits of their SHA-256 are, and are worked on once; texts likewise. Of a context in two places or more, two go on.
+3. Contexts go, by anchor, to shards of bounded size. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy; common prefixes of neighbours
+   follow from Kasai's rule, and a start is repeated if it shares ``LENGTH`` bytes with a neighbour. Nothing else makes a start repeated, but for step 4.
+4. An anchor with more than ``CROWD`` contexts is dealt to several shards. Each cuts its sorted strings at limits that all shards of the anchor share;
+   slices between the same limits meet and are merged two by two by binary search, comparing bytes. A string of two shards is repeated.
+5. What is found goes back to all places of a context, and each document is cut in its task. A text that occurs twice goes whole if it has ``LENGTH`` bytes.
+
+Texts are cut into blocks that overlap by ``LENGTH - 1`` bytes, each with its own starts, so a task never works on more than a block of a long text.
+
+Nulls and edge cases: a null text is empty; null and repeated ids are kept, a row each; repeated rows are repeats of each other; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,22 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, documents, save, text_chunks
+from .common import Chunk, bit_table, documents, has_bit, save, text_chunks
 
-LENGTH, GRAM, CROWD, BLOCK, BITS = 200, 80, 4096, 1 << 20, 24
+LENGTH, GRAM, CROWD, BLOCK = 200, 80, 1024, 1 << 20
+#: Bytes of contexts that a task sorts, block by block, and strings in a row of a slice.
+SHARD_BYTES, SLICE = 8 << 20, 4096
 
 _MARK = np.uint64(0xFFFFFF)
 
 
 def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, starts, anchor's place, anchor, digest) of every context; places count from the chunk's first byte."""
+    """(row, first start, starts, anchor) of every context; places count from the chunk's first byte."""
     n = len(c.buf)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none
     at = np.arange(n - gram + 1)
     h = c.hashes(at, at + gram)
-    least = (h & ~_MARK) | at.astype(np.uint64)  # ties go to the left
+    least = (h & ~_MARK) | at.astype(np.uint64)  # ties go to the left; a chunk is shorter than 2**24
     width, window = 1, length - gram + 1
     while 2 * width <= window:
         least = np.minimum(least[:-width], least[width:])
@@ -52,39 +55,51 @@ def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     whole = np.arange(len(place)) + length <= c.off[row + 1]
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]) & whole
     first = np.flatnonzero(new)
-    group = np.cumsum(new)[whole] - 1
-    starts = np.bincount(group, minlength=len(first))
-    mark = place[first]
-    body = c.hashes(first, first + starts + length - 1)
-    digest = body ^ ((mark - first).astype(np.uint64) << np.uint64(48))
-    return row[first], first, starts, mark, h[mark].view(np.int64), digest.view(np.int64)
+    starts = np.bincount(np.cumsum(new)[whole] - 1, minlength=len(first))
+    return row[first], first, starts, h[place[first]].view(np.int64)
+
+
+def blocks(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """``key, at, raw`` of rows ``key, text``: the bytes from each multiple ``at`` of ``block`` on, with those that strings starting there reach into."""
+    raw, n = F.col("text").cast("binary"), F.octet_length("text")
+    cuts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / block), F.lit(0)).cast("int"))
+    parts = rows.filter(n >= length).select("key", n.alias("n"), raw.alias("raw"), F.explode(cuts).alias("k"))
+    part = F.when(F.col("n") <= block, F.col("raw")).otherwise(F.substring("raw", F.col("k") * block + 1, F.lit(block + length - 1)))
+    return parts.select("key", (F.col("k").cast("long") * block).alias("at"), part.alias("raw"))
+
 
+def repeated_anchors(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """``a``: the anchors of two contexts or more, those of repeated texts too."""
 
-def _blocks(c: Chunk, block: int, length: int):
-    """(first byte, chunk) of the blocks of a chunk. Only a text that is a chunk of its own is longer than one."""
-    if len(c.buf) <= block:
-        yield 0, c
-        return
-    for at in range(0, len(c.buf), block):
-        part = c.buf[at : at + block + length - 1]
-        yield at, Chunk(part, np.array([0, len(part)]))
+    def run(batches):
+        for b in batches:
+            for _, _, c in text_chunks(b.column(0), block):
+                anchor, n = np.unique(contexts(c, length, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+    found = parts.select("raw").mapInArrow(run, "anchor long, n long")
+    return found.groupBy(F.col("anchor").alias("a")).agg(F.sum("n").alias("c")).filter("c > 1").select("a")
 
 
-def occurrences(rows: DataFrame, length: int, gram: int, block: int = BLOCK) -> DataFrame:
-    """``anchor, digest, key, lo, starts`` of every context of rows ``key, text``."""
+def occurrences(parts: DataFrame, again: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """``anchor, digest, key, lo, starts`` of every context of a repeated anchor."""
+    table, bits = bit_table(again, "a")
 
     def run(batches):
+        known = np.unpackbits(table, bitorder="little").view(bool)
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for i, _, whole in text_chunks(b.column(1), block):
-                for at, c in _blocks(whole, block, length):
-                    row, first, starts, _, anchor, digest = contexts(c, length, gram)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(digest), pa.array(keys[i + row]), pa.array((at + first - c.off[row]).astype(np.int64)), pa.array(starts.astype(np.int32))],
-                        ["anchor", "digest", "key", "lo", "starts"],
-                    )
+            keys, base = b.column(0), b.column(1).to_numpy()
+            for i, _, c in text_chunks(b.column(2), block):
+                row, first, starts, anchor = contexts(c, length, gram)
+                some = np.flatnonzero(has_bit(known, bits, anchor))
+                row, first, starts, anchor = row[some], first[some], starts[some], anchor[some]
+                raw = c.buf.tobytes()
+                digests = [hashlib.sha256(raw[s:e]).digest()[:16] for s, e in zip(first.tolist(), (first + starts + length - 1).tolist(), strict=True)]
+                lo = base[i + row] + first - c.off[row]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digests, pa.binary()), keys.take(pa.array(i + row)), pa.array(lo), pa.array(starts.astype(np.int32))], ["anchor", "digest", "key", "lo", "starts"])
 
-    return rows.mapInArrow(run, "anchor long, digest long, key long, lo long, starts int")
+    found = parts.mapInArrow(run, "anchor long, digest binary, key binary, lo long, starts int")
+    return found.join(again, F.col("anchor") == F.col("a")).drop("a")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -94,7 +109,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for k in range(7):
         key <<= 9
         key[: max(n - k, 0)] += text[k:].astype(np.int64) + 1
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -105,9 +120,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     depth, open_ = 7, np.flatnonzero(~single)
     while len(open_):
         suffix = order[open_]
-        group = rank[suffix]
-        pair = group * (n + 1) + rank[np.minimum(suffix + depth, n)] + 1
-        by = np.argsort(pair, kind="stable")
+        pair = rank[suffix] * (n + 1) + rank[np.minimum(suffix + depth, n)] + 1
+        by = np.argsort(pair)
         suffix, pair = suffix[by], pair[by]
         order[open_] = suffix
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -148,23 +162,54 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.maximum(shared[run] - (np.arange(n) - run), 0)
 
 
+class Shard:
+    """The suffix array of some byte strings side by side."""
+
+    def __init__(self, bodies: list[bytes], length: int):
+        self.length = length
+        parts = []
+        for k, body in enumerate(bodies):
+            parts += [body, b"\xff", k.to_bytes(8, "little")]  # 0xff is in no UTF-8 text, and the number ends all that is shared
+        size = np.array([len(b) for b in bodies], np.int64)
+        self.begin = np.cumsum(size + 9) - size - 9
+        self.starts = np.maximum(size - length + 1, 0)
+        self.text = np.frombuffer(b"".join(parts), np.uint8)
+        self.order = suffix_array(self.text)
+        hit = common_prefixes(self.text, self.order) >= length
+        self.twice = hit.copy()  # by place
+        self.twice[self.order[:-1]] |= hit[self.order[1:]]
+
+    def repeated(self, k: int) -> np.ndarray:
+        """At which starts of string ``k`` one of ``length`` bytes lies that starts anywhere else too."""
+        return self.twice[self.begin[k] : self.begin[k] + self.starts[k]]
+
+    def strings(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different strings of ``length`` bytes in byte strings ``first`` to ``last - 1``, in the array's order; of those that occur once there, the number
+        of the byte string and the start, of others -1."""
+        at = self.order[(self.order >= self.begin[first]) & (self.order < self.begin[last - 1] + self.starts[last - 1])]
+        owner = np.searchsorted(self.begin, at, side="right") - 1
+        start = at - self.begin[owner]
+        whole = start < self.starts[owner]
+        at, owner, start = at[whole], owner[whole], start[whole]
+        found = fixed(np.lib.stride_tricks.sliding_window_view(self.text, self.length)[at], self.length) if len(at) else np.zeros(0, f"S{self.length}")
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        once = np.diff(np.append(new, len(found))) == 1
+        return found[new], np.where(once, owner[new], -1), np.where(once, start[new], -1)
+
+
+def fixed(raw, length: int) -> np.ndarray:
+    """Strings of one length, compared by their bytes."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw).reshape(-1, length).view(f"S{length}").ravel()
+
+
+def _bytes(strings: np.ndarray) -> bytes:
+    return strings.tobytes()
+
+
 def repeated_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of different byte strings, at which of its starts a string of ``length`` bytes lies that starts anywhere else in them."""
-    parts = []
-    for k, body in enumerate(bodies):
-        parts += [body, b"\xff", k.to_bytes(8, "little")]  # 0xff is in no UTF-8 text, and the number ends all that is shared
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    order = suffix_array(text)
-    shared = common_prefixes(text, order)
-    hit = shared >= length
-    twice = hit.copy()
-    twice[order[:-1]] |= hit[order[1:]]
-    out, at = [], 0
-    for body in bodies:
-        n = max(0, len(body) - length + 1)
-        out.append(twice[at : at + n])
-        at += len(body) + 9
-    return out
+    """For each byte string, at which of its starts a string of ``length`` bytes lies that starts anywhere else in them."""
+    shard = Shard(bodies, length)
+    return [shard.repeated(k) for k in range(len(bodies))]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -172,155 +217,180 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _hashes(body: bytes, length: int) -> np.ndarray:
-    c = Chunk(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-    at = np.arange(max(0, len(body) - length + 1))
-    return c.hashes(at, at + length)
-
+SORTED = "kind int, anchor long, salt int, digest binary, first int, last int, strings binary, digests binary, starts binary"
+_SORTED = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+RUNS, SLICES, LIMITS = 0, 1, 2
 
-def _matched(length: int):
-    """Over rows ``anchor, salt, salts, n, key, lo, body`` sorted by anchor and salt: repeated spans (kind 0), and of anchors in several shards the sorted
-    hashes of their different strings, cut at shared limits (kind 1)."""
-    names = ["kind", "key", "start", "end", "anchor", "part", "salt", "hashes"]
 
-    def batch(spans, slices):
-        rows = [(0, k, s, e, None, None, None, None) for k, s, e in spans] + [(1, None, None, None, a, p, s, h) for a, p, s, h in slices]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+def _sorted(length: int):
+    """Over rows ``anchor, salt, salts, digest, body`` sorted by anchor and salt: RUNS of repeated starts (``first`` to ``last - 1``) of each context, and of
+    anchors in several shards SLICES of sorted strings with the contexts and starts of those that occur once; of the first shard the LIMITS to cut them at."""
+    names = SORTED.replace(",", "").split()[::2]
 
     def solve(rows):
-        spans, slices = [], []
-        for r, flags in zip(rows, repeated_starts([r[6] for r in rows], length), strict=True):
-            if r[3] == 1:
-                spans += [(r[4], r[5] + a, r[5] + b + length - 1) for a, b in _runs(flags)]
+        shard, out, seen = Shard([r[4] for r in rows], length), [], set()
+        for k, (anchor, _, _, digest, _) in enumerate(rows):
+            if (anchor, digest) not in seen:
+                seen.add((anchor, digest))
+                out += [(RUNS, anchor, None, digest, a, b, None, None, None) for a, b in _runs(shard.repeated(k))]
         at = 0
         while at < len(rows):
             end = at
             while end < len(rows) and rows[end][:2] == rows[at][:2]:
                 end += 1
-            if (salts := rows[at][2]) > 1:
-                h = np.unique(np.concatenate([_hashes(r[6], length) for r in rows[at:end]]))
-                limits = (np.arange(1, salts, dtype=np.float64) * (2.0**64 / salts)).astype(np.uint64)
-                cut = np.concatenate([[0], np.searchsorted(h, limits), [len(h)]])
-                slices += [(rows[at][0], p, rows[at][1], h[cut[p] : cut[p + 1]].view(np.int64)) for p in range(salts)]
+            anchor, salt, salts = rows[at][:3]
+            if salts > 1:
+                found, owner, start = shard.strings(at, end)
+                digests = np.frombuffer(b"".join(r[3] for r in rows) + bytes(16), np.uint8).reshape(-1, 16)[owner]  # -1: nothing but zeros
+                for i in range(0, len(found), SLICE):
+                    j = i + SLICE
+                    out.append((SLICES, anchor, salt, None, None, None, _bytes(found[i:j]), digests[i:j].tobytes(), start[i:j].astype("<i4").tobytes()))
+                if salt == 0:
+                    out.append((LIMITS, anchor, None, None, None, None, _bytes(found[len(found) * np.arange(1, salts) // salts]), None, None))
             at = end
-        return batch(spans, slices)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_SORTED)], names)
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if size > BLOCK and held[-1][:2] != r[:2]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[6])
+                size += len(r[4])
         if held:
             yield solve(held)
 
     return run
 
 
-MATCHED = "kind int, key long, start long, end long, anchor long, part int, salt int, hashes array<long>"
+def merge(a: tuple, b: tuple) -> tuple[tuple, list]:
+    """Merge two slices (different sorted strings, digests, starts) by binary search; also the (digest, start) of strings in both that were not found before.
+    Strings in both have start -1 afterwards."""
+    place = np.searchsorted(a[0], b[0])
+    both = np.zeros(len(b[0]), bool)
+    inside = np.flatnonzero(place < len(a[0]))
+    both[inside] = a[0][place[inside]] == b[0][inside]
+    new, mine = np.flatnonzero(both), place[both]
+    found = [(x[1][k].tobytes(), int(x[2][k])) for x, at in ((a, mine), (b, new)) for k in at[x[2][at] >= 0].tolist()]
+    own = a[2].copy()
+    own[mine] = -1
+    rest = np.flatnonzero(~both)
+    put = lambda x, y: np.insert(x, place[rest], y[rest], axis=0)
+    return (put(a[0], b[0]), put(a[1], b[1]), put(own, b[2])), found
 
 
-def _across(slices: DataFrame) -> DataFrame:
-    """``anchor, salt, hash`` of the strings that two shards of an anchor hold."""
+def _across(cut: DataFrame, length: int) -> DataFrame:
+    """``anchor, digest, first, last`` of runs of starts whose strings two shards of an anchor hold, from slices cut at shared limits."""
 
     def run(batches):
         held: list = []
 
         def solve():
-            for k, (a, _, salt, h) in enumerate(held):
-                mine, found = np.array(h, np.int64).view(np.uint64), np.zeros(len(h), bool)
-                for j, other in enumerate(held):
-                    if j != k and len(h) and len(other[3]):
-                        them = np.array(other[3], np.int64).view(np.uint64)
-                        at = np.minimum(np.searchsorted(them, mine), len(them) - 1)
-                        found |= them[at] == mine
-                hit = mine[found].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), pa.int64()), pa.array([salt] * len(hit), pa.int32()), pa.array(hit)], ["anchor", "salt", "hash"])
+            anchor, todo, found = held[0][0], [], []
+            by_salt: dict[int, list] = {}
+            for _, _, salt, strings, digests, starts in held:
+                by_salt.setdefault(salt, []).append((fixed(strings, length), np.frombuffer(digests, np.uint8).reshape(-1, 16), np.frombuffer(starts, "<i4")))
+            for slices in by_salt.values():
+                slices.sort(key=lambda s: s[0][0])
+                todo.append(tuple(np.concatenate(x) for x in zip(*slices, strict=True)))
+            while len(todo) > 1:
+                todo.append(None)
+                merged = []
+                for a, b in zip(todo[:-1:2], todo[1::2], strict=False):
+                    if b is not None:
+                        a, more = merge(a, b)
+                        found += more
+                    merged.append(a)
+                todo = merged
+            found.sort()
+            runs: list[list] = []
+            for digest, start in found:
+                if runs and runs[-1][0] == digest and runs[-1][2] == start:
+                    runs[-1][2] += 1
+                else:
+                    runs.append([digest, start, start + 1])
+            columns = [pa.array([anchor] * len(runs), pa.int64()), *(pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32())))]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "first", "last"])
 
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if held and held[-1][:2] != r[:2]:
-                    yield from solve()
-                    held = []
+                    yield solve()
+                    held.clear()
                 held.append(r)
-        yield from solve()
+        if held:
+            yield solve()
 
-    dealt = slices.select("anchor", "part", "salt", "hashes").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "anchor long, salt int, hash long")
+    dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(run, "anchor long, digest binary, first int, last int")
 
 
-def _hash_starts(crowded: DataFrame, length: int) -> DataFrame:
-    """``anchor, salt, hash, key, start`` of every string of contexts in several shards that occur once."""
+def _cut(slices: DataFrame, limits: DataFrame, length: int) -> DataFrame:
+    """``anchor, part, salt, strings, digests, starts`` of slices, cut at the limits of their anchor by binary search."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         for b in batches:
-            for anchor, salt, n, key, lo, body in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if n == 1:
-                    h = _hashes(body, length).view(np.int64)
-                    full = lambda x, t, m=len(h): pa.array([x] * m, t)
-                    yield pa.RecordBatch.from_arrays([full(anchor, pa.int64()), full(salt, pa.int32()), pa.array(h), full(key, pa.int64()), pa.array(lo + np.arange(len(h)))], ["anchor", "salt", "hash", "key", "start"])
+            for anchor, salt, strings, digests, starts, limit in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                found = fixed(strings, length)
+                edge = [0, *np.searchsorted(found, fixed(limit, length)).tolist(), len(found)]
+                out = [(anchor, p, salt, strings[i * length : j * length], digests[16 * i : 16 * j], starts[4 * i : 4 * j]) for p, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["anchor", "part", "salt", "strings", "digests", "starts"])
 
-    return crowded.select("anchor", "salt", "n", "key", "lo", "body").mapInArrow(run, "anchor long, salt int, hash long, key long, start long")
+    met = slices.join(limits.select(F.col("anchor").alias("l"), F.col("strings").alias("limit")), F.col("anchor") == F.col("l"))
+    return met.select("anchor", "salt", "strings", "digests", "starts", "limit").mapInArrow(run, "anchor long, part int, salt int, strings binary, digests binary, starts binary")
 
 
-def _bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of contexts ``wanted`` (``key, lo, starts, ...``). Rows whose key isn't in a bit table of 2**BITS bits of the wanted keys aren't shuffled."""
-    bits = wanted.select(F.shiftrightunsigned("key", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()
-    table = np.zeros(1 << BITS, bool)
-    table[bits] = True
-    packed = np.packbits(table)
+def _bodies(parts: DataFrame, wanted: DataFrame, length: int, block: int) -> DataFrame:
+    """``anchor, salt, salts, digest, body``: the bytes of contexts ``wanted`` (``anchor, salt, salts, digest, key, lo, starts``). Blocks of texts whose key isn't
+    in a bit table of the wanted keys aren't shuffled."""
+    table, bits = bit_table(wanted.select(F.xxhash64("key").alias("mark")).distinct(), "mark")
 
     def some(batches):
-        table = np.unpackbits(packed).view(bool)
+        known = np.unpackbits(table, bitorder="little").view(bool)
         for b in batches:
-            at = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-            yield b.filter(pa.array(table[at]))
+            yield b.filter(pa.array(has_bit(known, bits, b.column(0).to_numpy())))
 
     def cut(batches):
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
             out = []
-            for raw, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = raw.encode()
-                out += [(w["anchor"], w["digest"], w["n"], w["key"], w["lo"], raw[w["lo"] : w["lo"] + w["starts"] + length - 1]) for w in want]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["anchor", "digest", "n", "key", "lo", "body"])
+            for raw, at, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out += [(w["anchor"], w["salt"], w["salts"], w["digest"], raw[w["lo"] - at : w["lo"] - at + w["starts"] + length - 1]) for w in want]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["anchor", "salt", "salts", "digest", "body"])
 
-    per_row = wanted.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "digest", "n", "key", "lo", "starts")).alias("want"))  # a document's own
-    # of equal rows, one
-    met = rows.mapInArrow(some, "key long, text string").join(per_row, F.col("key") == F.col("k")).dropDuplicates(["key"])
-    return met.select("text", "want").mapInArrow(cut, "anchor long, digest long, n long, key long, lo long, body binary")
+    begin = (F.floor(F.col("lo") / block) * block).cast("long")
+    per_block = wanted.groupBy(F.col("key").alias("k"), begin.alias("b")).agg(F.collect_list(F.struct("anchor", "salt", "salts", "digest", "lo", "starts")).alias("want"))  # of one block
+    near = parts.select(F.xxhash64("key").alias("mark"), "key", "at", "raw").mapInArrow(some, "mark long, key binary, at long, raw binary")
+    one = near.groupBy("key", "at").agg(F.first("raw").alias("raw"))  # of equal texts
+    met = one.join(per_block, (F.col("key") == F.col("k")) & (F.col("at") == F.col("b")))
+    return met.select("raw", "at", "want").mapInArrow(cut, "anchor long, salt int, salts int, digest binary, body binary")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """``key, start, end`` of repeated bytes of rows ``key, text``; spans of a row may overlap."""
-    found = occurrences(rows, length, gram, block)
-    # stored apart, so that the join's own shuffles can be split where an anchor is very frequent
-    again, _ = save(found.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "again")
-    held, _ = save(found.join(again, F.col("anchor") == F.col("a")).drop("a"), "anchors")
-    kinds, _ = save(held.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "starts")).alias("one")), "contexts")
-    twice = kinds.filter("n > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d"))
-    whole = held.join(twice, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))).select("key", F.col("lo").alias("start"), (F.col("lo") + F.col("starts") + length - 1).alias("end"))
-    # anchors in different contexts, one of which occurs once
-    mixed = kinds.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("a", "m")
-    wanted, _ = save(kinds.join(mixed, F.col("anchor") == F.col("a")).select("anchor", "digest", "n", "m", "one.*"), "wanted")
-    shards = F.ceil(F.col("m") / crowd).cast("int")
-    many = wanted.select("anchor", "m").distinct().withColumnRenamed("anchor", "a")
-    bodies = _bodies(rows, wanted.drop("m"), length).join(many, F.col("anchor") == F.col("a"))
-    bodies, _ = save(bodies.select("anchor", F.pmod(F.xxhash64("digest"), shards).cast("int").alias("salt"), shards.alias("salts"), "n", "key", "lo", "body"), "bodies")
-    dealt = bodies.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    matched, _ = save(dealt.mapInArrow(_matched(length), MATCHED), "matched")
-    spans = whole.union(matched.filter("kind = 0").select("key", "start", "end"))
-    if bodies.filter("salts > 1").head(1):
-        common, _ = save(_across(matched.filter("kind = 1")), "across")
-        common = common.select(F.col("anchor").alias("a"), F.col("salt").alias("s"), F.col("hash").alias("h"))
-        starts = _hash_starts(bodies.filter("salts > 1"), length)
-        met = starts.join(common, (F.col("anchor") == F.col("a")) & (F.col("salt") == F.col("s")) & (F.col("hash") == F.col("h")), "left_semi")
-        spans = spans.union(met.select("key", "start", (F.col("start") + length).alias("end")))
-    return spans
+    """``key, start, end`` of repeated bytes of rows ``key, text``, equal texts counted as one; spans of a text may overlap."""
+    parts = blocks(rows, length, block)
+    again, _ = save(repeated_anchors(parts, length, gram, block), "again")
+    # stored, so that the join's own shuffles can be split where an anchor is very frequent
+    held, _ = save(occurrences(parts, again, length, gram, block), "contexts")
+    place = F.struct("key", "lo", "starts")
+    kinds, _ = save(held.groupBy("anchor", "digest").agg(F.min(place).alias("one"), F.max(place).alias("two")), "kinds")
+    places = F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
+    many = kinds.groupBy(F.col("anchor").alias("a")).agg(F.sum(F.size(places)).alias("m")).filter("m > 1")
+    salts = F.ceil(F.col("m") / crowd).cast("int")
+    each = kinds.join(many, F.col("anchor") == F.col("a")).select("anchor", "digest", salts.alias("salts"), F.explode(places).alias("p"))
+    wanted, _ = save(each.select("anchor", F.pmod(F.xxhash64("digest"), "salts").cast("int").alias("salt"), "salts", "digest", "p.*"), "wanted")
+    size = wanted.agg(F.sum(F.col("starts") + length)).first()[0] or 0
+    bodies, _ = save(_bodies(parts, wanted, length, block), "bodies")
+    dealt = bodies.repartition(1 + min(size // SHARD_BYTES, 20_000), "anchor", "salt").sortWithinPartitions("anchor", "salt")
+    sorted_, _ = save(dealt.mapInArrow(_sorted(length), SORTED), "sorted")
+    of = lambda kind: sorted_.filter(F.col("kind") == kind)
+    across = _across(_cut(of(SLICES), of(LIMITS), length), length)
+    found = of(RUNS).select("anchor", "digest", "first", "last").union(across).withColumnsRenamed({"anchor": "a", "digest": "d"})
+    met = held.join(found, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")))
+    return met.select("key", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length - 1).alias("end"))
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -340,26 +410,30 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bodies: bool = False, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (with ``bodies``, also ``kept``, the remaining bytes). Null text counts as empty."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (with ``bodies``, also ``kept``, the remaining bytes)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     spans = repeated_spans(rows.select("key", "text"), length, gram, crowd, block)
-    lists = spans.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
+    lists = spans.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one text
+    copied = rows.groupBy(F.col("key").alias("c")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
     def run(batches):
         for b in batches:
             out = []
-            for name, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for name, raw, found, copies in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = raw.encode()
-                kept, removed, runs = remove(raw, [(s["start"], s["end"]) for s in found or ()])
+                twice = copies and len(raw) >= length
+                kept, removed, runs = remove(raw, [(0, len(raw))] if twice else [(s["start"], s["end"]) for s in found or ()])
                 out.append((name, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept if bodies else None))
             types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * bodies
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if bodies else "")
-    return rows.join(lists, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    met = rows.join(lists, F.col("key") == F.col("k"), "left").join(copied, F.col("key") == F.col("c"), "left")
+    return met.select("doc_id", "text", "spans", "copies").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of all documents."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of all documents. A null text is empty (0 bytes), null and repeated ids keep a row each, equal
+    texts of 200 bytes or more lose every byte, and an empty table gives no row."""
     return deduped(documents(spark, sf_dir))
