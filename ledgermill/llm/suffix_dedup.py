@@ -31,8 +31,11 @@ from .common import Chunk, bit_table, documents, has_bit, save, text_chunks
 LENGTH, GRAM, CROWD, BLOCK = 200, 80, 1024, 1 << 20
 #: Bytes of contexts that a task sorts, block by block, and strings in a row of a slice.
 SHARD_BYTES, SLICE = 8 << 20, 4096
+#: Bytes of short texts that numpy works on at once, so that its arrays stay in a core's cache.
+GROUP = 1 << 18
 
 _MARK = np.uint64(0xFFFFFF)
+_APART = bytes.maketrans(b"01234567", bytes(range(0xF5, 0xFD)))
 
 
 def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -41,9 +44,9 @@ def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none
-    at = np.arange(n - gram + 1)
-    h = c.hashes(at, at + gram)
-    least = (h & ~_MARK) | at.astype(np.uint64)  # ties go to the left; a chunk is shorter than 2**24
+    h = c.rolling(gram)
+    least = h & ~_MARK
+    least |= np.arange(len(h), dtype=np.uint64)  # ties go to the left; a chunk is shorter than 2**24
     width, window = 1, length - gram + 1
     while 2 * width <= window:
         least = np.minimum(least[:-width], least[width:])
@@ -51,12 +54,16 @@ def contexts(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     if width < window:
         least = np.minimum(least[: len(least) - (window - width)], least[window - width :])
     place = (least & _MARK).astype(np.int64)  # of the anchor of the string that starts here
-    row = c.row_of(np.arange(len(place)))
-    whole = np.arange(len(place)) + length <= c.off[row + 1]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]) & whole
-    first = np.flatnonzero(new)
-    starts = np.bincount(np.cumsum(new)[whole] - 1, minlength=len(first))
-    return row[first], first, starts, h[place[first]].view(np.int64)
+    size = np.diff(c.off)
+    whole = np.zeros(len(place), bool)  # starts with a string inside their row
+    for i in np.flatnonzero(size >= length).tolist():
+        whole[c.off[i] : c.off[i + 1] - length + 1] = True
+    edge = np.append(np.flatnonzero(np.diff(place)) + 1, c.off[:-1][size >= length])
+    new = np.zeros(len(place), bool)
+    new[edge] = True
+    first = np.flatnonzero(new & whole)
+    ends = np.minimum(np.append(first[1:], len(place)), c.off[c.row_of(first) + 1] - length + 1)
+    return c.row_of(first), first, ends - first, h[place[first]].view(np.int64)
 
 
 def blocks(rows: DataFrame, length: int, block: int) -> DataFrame:
@@ -73,7 +80,7 @@ def repeated_anchors(parts: DataFrame, length: int, gram: int, block: int) -> Da
 
     def run(batches):
         for b in batches:
-            for _, _, c in text_chunks(b.column(0), block):
+            for _, _, c in text_chunks(b.column(0), min(block, GROUP)):
                 anchor, n = np.unique(contexts(c, length, gram)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
 
@@ -89,7 +96,7 @@ def occurrences(parts: DataFrame, again: DataFrame, length: int, gram: int, bloc
         known = np.unpackbits(table, bitorder="little").view(bool)
         for b in batches:
             keys, base = b.column(0), b.column(1).to_numpy()
-            for i, _, c in text_chunks(b.column(2), block):
+            for i, _, c in text_chunks(b.column(2), min(block, GROUP)):
                 row, first, starts, anchor = contexts(c, length, gram)
                 some = np.flatnonzero(has_bit(known, bits, anchor))
                 row, first, starts, anchor = row[some], first[some], starts[some], anchor[some]
@@ -102,31 +109,40 @@ def occurrences(parts: DataFrame, again: DataFrame, length: int, gram: int, bloc
     return found.join(again, F.col("anchor") == F.col("a")).drop("a")
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order of bytes by Larsson-Sadakane refinement: each round doubles the sorted depth and sorts only groups that aren't single yet."""
+def suffix_array(text: np.ndarray, enough: int | None = None) -> np.ndarray:
+    """Suffix order of bytes by Larsson-Sadakane refinement: each round doubles the sorted depth and sorts only groups that aren't single yet. With ``enough``,
+    suffixes that share so many bytes may stay in any order."""
     n = len(text)
+    symbol = np.cumsum(np.bincount(text, minlength=256) > 0)[text]  # from 1 on
+    bits = max(1, int(symbol.max(initial=1)).bit_length())
+    depth = 63 // bits
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key <<= 9
-        key[: max(n - k, 0)] += text[k:].astype(np.int64) + 1
+    for k in range(depth):
+        key <<= bits
+        key[: max(n - k, 0)] += symbol[k:]
     order = np.argsort(key)
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    rank = np.empty(n + 1, np.int64)  # from 1 on; 0 is the end
+    rank[n] = 0
     heads = np.flatnonzero(new)
-    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n))) + 1
     single = new & np.append(new[1:], True)
-    depth, open_ = 7, np.flatnonzero(~single)
-    while len(open_):
+    open_ = np.flatnonzero(~single)
+    width = n.bit_length()
+    while len(open_) and (enough is None or depth < enough):
         suffix = order[open_]
-        pair = rank[suffix] * (n + 1) + rank[np.minimum(suffix + depth, n)] + 1
-        by = np.argsort(pair)
-        suffix, pair = suffix[by], pair[by]
+        pair = rank[suffix] << width | rank[np.minimum(suffix + depth, n)]
+        if 3 * width < 64:  # the suffix fits below the pair, and plain sorting is faster
+            pair = np.sort(pair << width | suffix)
+            suffix, pair = pair & ((1 << width) - 1), pair >> width
+        else:
+            by = np.argsort(pair)
+            suffix, pair = suffix[by], pair[by]
         order[open_] = suffix
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         heads = np.flatnonzero(new)
-        rank[suffix] = np.repeat(open_[heads], np.diff(np.append(heads, len(open_))))
+        rank[suffix] = np.repeat(open_[heads], np.diff(np.append(heads, len(open_)))) + 1
         open_ = open_[~(new & np.append(new[1:], True))]
         depth *= 2
     return order
@@ -169,12 +185,12 @@ class Shard:
         self.length = length
         parts = []
         for k, body in enumerate(bodies):
-            parts += [body, b"\xff", k.to_bytes(8, "little")]  # 0xff is in no UTF-8 text, and the number ends all that is shared
+            parts += [body, b"\xff", (b"%08o" % k).translate(_APART)]  # bytes that are in no UTF-8 text; the number ends all that is shared
         size = np.array([len(b) for b in bodies], np.int64)
         self.begin = np.cumsum(size + 9) - size - 9
         self.starts = np.maximum(size - length + 1, 0)
         self.text = np.frombuffer(b"".join(parts), np.uint8)
-        self.order = suffix_array(self.text)
+        self.order = suffix_array(self.text, length)
         hit = common_prefixes(self.text, self.order) >= length
         self.twice = hit.copy()  # by place
         self.twice[self.order[:-1]] |= hit[self.order[1:]]
