@@ -5,8 +5,9 @@ of two. So the order of paragraphs doesn't matter, and a paragraph is inserted o
 The vector has two banks:
 
 * 32 lanes modulo 2**32, drawn from SHAKE-128 of the paragraph: two multisets of paragraphs are equal if these sums are;
-* 512 lanes modulo 2**16, to which each run of three words (fewer words: all of them) adds 1 or -1 in a lane, both chosen by its hash. Inner products of
-  these sums estimate how many runs two texts share (standard error about 0.04), from which :func:`likeness` takes a cosine.
+* 512 lanes modulo 2**32, to which each run of three words (fewer words: all of them) adds 1 or -1 in a lane, both chosen by its hash. Inner products of
+  these sums estimate how many runs two texts share (standard error about 0.04), from which :func:`likeness` takes a cosine. Lanes are read with a sign, so
+  likeness holds for texts with fewer than 2**31 runs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Chunk, documents, per_row, text_buffer
 
 EXACT, SKETCH, RUN = 32, 512, 3
+#: Bytes of text that a range of ids holds, until there are as many ranges as ``MOST_PARTS``, which bounds what passes through the driver.
+PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,17 +56,17 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane = (run[use] >> np.uint64(55)).astype(np.int64)
     sign = 1.0 - 2.0 * ((run[use] >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
     sketch = np.bincount(owner * SKETCH + lane, weights=sign, minlength=c.rows * SKETCH).reshape(c.rows, SKETCH)
-    return exact, sketch.astype(np.int64).astype(np.uint16)
+    return exact, sketch.astype(np.int64).astype(np.uint32)
 
 
 def encode(exact: np.ndarray, sketch: np.ndarray) -> list[str]:
-    raw = np.concatenate([exact.astype("<u4").view(np.uint8).reshape(len(exact), -1), sketch.astype("<u2").view(np.uint8).reshape(len(sketch), -1)], axis=1)
+    raw = np.concatenate([exact.astype("<u4").view(np.uint8).reshape(len(exact), -1), sketch.astype("<u4").view(np.uint8).reshape(len(sketch), -1)], axis=1)
     return [x.tobytes().hex() for x in raw]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u2")
+    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u4")
 
 
 def fingerprint(text: str | None) -> str:
@@ -91,7 +94,7 @@ def delete(fingerprint: str, paragraph: str) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Cosine of the word-run banks, 0 to 1; 1 if all lanes agree, 0 if one text has no words."""
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    x, y = a[1].astype(np.int32).astype(np.float64), b[1].astype(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.where(norm > 0, norm, 1), 0, 1)
     return np.where((a[0] == b[0]).all(1) & (a[1] == b[1]).all(1), 1.0, cosine)
@@ -125,23 +128,23 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def with_next(rows: DataFrame, parts: int) -> DataFrame:
-    """Deal rows ``doc_id, text`` to ``parts`` ranges of descending ids. The first row of each range also goes, marked ``head``, to the range before it
-    (of the first range, to the last), so that every document meets the next one; equal ids are ordered by their text and null ids come last.
-    Only range limits, one id a range, pass through the driver."""
-    ids = rows.select("doc_id").filter(F.col("doc_id").isNotNull())
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    """Deal rows ``doc_id, text`` to ``parts`` ranges in the order of descending ids and, for equal ids, of descending hashes of their texts; null ids come
+    last. So an id that very many rows have, or null, takes several ranges. The first row of each range also goes, marked ``head``, to the range before it (of
+    the first range, to the last): every document meets the next one. Only range limits, one a range, pass through the driver."""
+    ids = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
+    cuts = sorted(int(x) for x in ids.approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else []
     limits = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
-    def part_of(s):
-        known = s.notna().to_numpy()
-        at = np.full(len(s), len(limits), np.int32)
-        at[known] = len(limits) - np.searchsorted(limits, s[known].astype("int64").to_numpy(), side="right")
+    def part_of(ids, keys):
         import pandas as pd
 
-        return pd.Series(at)
+        v, share = ids.to_numpy("int64"), (keys.to_numpy("int64").astype(np.float64) + 2.0**63) / 2.0**64
+        low, high = np.searchsorted(limits, v, side="left"), np.searchsorted(limits, v, side="right")
+        inside = np.minimum(np.floor(share * (high - low)), np.maximum(high - low - 1, 0)).astype(np.int64)  # an id that is several limits
+        return pd.Series((len(limits) - np.where(high > low, low + 1 + inside, low)).astype(np.int32))
 
-    dealt = rows.withColumn("part", part_of("doc_id"))
+    dealt = rows.withColumn("part", part_of(F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")))
     # the highest (id, text) of each part: a row for each of at most ``parts`` ranges
     firsts = dealt.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text"))).alias("top")).orderBy("part").collect()
     if not firsts:
@@ -164,9 +167,10 @@ def edited(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", te
 
     Null text counts as empty. Rows with equal ids follow each other in the order of their texts' hashes; null ids come last. An empty table gives none.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
     dealt = with_next(rows, parts).withColumn("key", F.xxhash64("text"))
     sort = ["part", "head", F.col("doc_id").desc_nulls_last(), F.col("key").desc()]
 
@@ -217,10 +221,11 @@ def edited(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", te
         if len(held) > 1 and (got := step(held, True)) is not None:
             yield got
 
-    spread = dealt.repartition(parts, "part").sortWithinPartitions(*sort)
+    spread = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions(*sort)
     return spread.select("part", "head", "doc_id", "text").mapInArrow(run, EDITED)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of all documents."""
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of all documents. A null text is empty; null and repeated ids
+    keep a row each and are ordered as :func:`with_next` says; repeated rows follow each other; one row alone is its own next; an empty table gives no row."""
     return edited(documents(spark, sf_dir))
