@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import BARE, DECIMAL, DOTTED, DOTTED_DECIMAL, WHOLE, ZERO_WORDS
 from .text import bound
 
-ZERO_WORDS = ["0", "-", "–", "—", "nil"]
-WHOLE, BARE = r"^(?:\d{1,3}(?:,\d{3})+|\d{3,})$", r"^\d{1,2}$"
-DOTTED, DECIMAL, DOTTED_DECIMAL = r"^\d{1,3}(?:\.\d{3})+$", r"^\d{1,3}(?:,\d{3})*\.\d{1,2}$", r"^\d{1,3}(?:\.\d{3})+\.\d{1,2}$"
-
 
 def _word(token: Column, in_units: Column) -> Column:
     """``value, negative, small (a decimal under 1000), bare (one or two digits)`` of a word; null value if it is no amount."""
@@ -50,7 +47,7 @@ def amounts(rest: Column, in_units: Column) -> Column:
 
     def without_note(a: Column) -> Column:
         lone = (F.size(a) >= 3) & (F.size(F.filter(a, lambda x: x["bare"])) == 1) & F.get(a, F.lit(0))["bare"]
-        return F.when(lone, F.slice(a, 2, 1000)).otherwise(a)
+        return F.when(lone, F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
 
     def without_small(a: Column) -> Column:
         return F.when(F.size(F.filter(a, lambda x: x["small"])) < 2, F.filter(a, lambda x: ~x["small"])).otherwise(a)

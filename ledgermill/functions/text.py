@@ -27,8 +27,7 @@ def _replaced(c: Column, *steps: tuple[str, str]) -> Column:
 def normalised_name(name: Column) -> Column:
     """A company name in capitals without legal form, leading THE and punctuation; null gives the empty string."""
     c = F.replace(F.upper(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" AND "))
-    c = _replaced(c, (r"\bP\.\s*L\.\s*C\.?", "PLC"), (r"\bL\.\s*T\.\s*D\.?", "LTD"), (r"[^\w\s]", " "), (r"\bLTD\b", "LIMITED"), (r"\bPLC\b", "PUBLIC LIMITED COMPANY"))
-    c = _replaced(c, (r"\b(?:PUBLIC LIMITED COMPANY|LIMITED LIABILITY PARTNERSHIP|LIMITED|COMPANY)\b", " "))
+    c = _replaced(c, *K.NAME_STEPS)
     return strip(_replaced(strip(c), (r"^THE\s+", ""), (r"\s+", " ")))
 
 
@@ -63,22 +62,20 @@ def money(value: Column, currency: Column) -> Column:
 
 def page_currency(text: Column) -> Column:
     """EUR, USD or GBP by the first of these whose sign or word the text shows, else the empty string."""
-    return (
-        F.when(text.rlike(r"(?iU)€|\beuros?\b"), "EUR")
-        .when(text.rlike(r"(?U)US\$|\$m|\$'?000|\bUSD\b|dollars"), "USD")
-        .when(text.rlike(r"(?U)£|\b[Ef][m’']\b|\bE\s*000|\bGBP\b|sterling"), "GBP")
-        .otherwise("")
-    )
+    found = F.lit("")
+    for currency, pattern in reversed(K.CURRENCIES):
+        found = F.when(text.rlike(pattern), currency).otherwise(found)
+    return found
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)[\s|]+"), lambda t: t != "")
+def _has_word(text: Column, word: str) -> Column:
+    """Whether one of the words between white space and bars is wholly of this form."""
+    return text.rlike(rf"(?U)(?<![^\s|])(?:{word})(?![^\s|])")
 
 
 def unit_multiplier(text: Column) -> Column:
     """What a heading says figures are in: 1,000,000 or 1,000 or 1. Null counts as no heading."""
-    millions, thousands = (lambda x: x.rlike(K.MILLIONS_TOKEN)), (lambda x: x.rlike(K.THOUSANDS_TOKEN))
-    return bound(tokens(F.coalesce(text, F.lit(""))), lambda t: F.when(F.exists(t, millions), 1_000_000).when(F.exists(t, thousands), 1_000).otherwise(1))
+    return F.when(_has_word(text, K.MILLIONS_WORD), 1_000_000).when(_has_word(text, K.THOUSANDS_WORD), 1_000).otherwise(1)
 
 
 def unit_label(multiplier: Column) -> Column:
@@ -87,7 +84,7 @@ def unit_label(multiplier: Column) -> Column:
 
 def is_heading_line(line: Column) -> Column:
     """Nothing but heading words, and at least one."""
-    return bound(tokens(line), lambda t: (F.size(t) > 0) & F.forall(t, lambda x: x.rlike(K.HEADING_TOKEN)))
+    return line.rlike(rf"(?iU)^[\s|]*{K.HEADING_WORD}(?:[\s|]+{K.HEADING_WORD})*[\s|]*$")
 
 
 def why_missing(description: Column) -> Column:

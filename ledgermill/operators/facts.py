@@ -151,7 +151,7 @@ def read_documents(docs: DataFrame, id_col: str = "doc_id", html_col: str = "htm
                 for name, html in zip(b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist(), strict=True):
                     try:
                         out.append({"doc_id": name, **parse(html or ""), "error": None})
-                    except (ValueError, RecursionError, AssertionError) as e:
+                    except Exception as e:  # whatever odd markup does, it costs its own document only
                         out.append({"doc_id": name, "error": f"{type(e).__name__}: {e}"})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 

@@ -22,18 +22,19 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
 
 def box_rows(boxes: DataFrame) -> DataFrame:
     """``doc_id, page, row_no, line, first``: OCR boxes ``doc_id, page, y_mid, x_left, height, text`` in rows. By descending place a row ends where the gap
-    to the next box is over 0.6 of the page's upper median height; ``first`` is the text of the leftmost box."""
+    to the next box is over 0.6 of the page's upper median height; ``first`` is the text of the leftmost box. Boxes of one place are put together and heights are
+    counted before a page is looked at as a whole."""
     page = Window.partitionBy("doc_id", "page")
-    order = page.orderBy("y_mid", "x_left", "text")
-    middle = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("height")).alias("h"))
-    tolerance = F.element_at("h", F.floor(F.size("h") / 2).cast("int") + 1) * 0.6
-    limits = middle.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), tolerance.alias("tolerance"))
-    rows = boxes.join(limits, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("page").eqNullSafe(F.col("__p")))
+    counts = boxes.groupBy("doc_id", "page", "height").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(page.orderBy("height").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(page))
+    middle = upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(F.col("doc_id").alias("__d"), F.col("page").alias("__p")).agg((F.min("height") * 0.6).alias("tolerance"))
+    places = boxes.groupBy("doc_id", "page", "y_mid").agg(F.collect_list(F.struct("x_left", "text")).alias("l"))
+    rows = places.join(middle, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("page").eqNullSafe(F.col("__p")))
+    order = page.orderBy("y_mid")
     gap = F.col("y_mid") - F.lag("y_mid").over(order)
     rows = rows.withColumn("starts", F.coalesce((gap > F.col("tolerance")).cast("int"), F.lit(0)))
     rows = rows.withColumn("row_no", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("x_left", "text")))
-    out = rows.groupBy("doc_id", "page", "row_no").agg(listed.alias("l"))
+    out = rows.groupBy("doc_id", "page", "row_no").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
     return out.select("doc_id", "page", "row_no", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("line"), F.element_at("l", 1)["text"].alias("first"))
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import MATCH_THRESHOLD, MISMATCH_THRESHOLD
-from ..functions.text import clean_number, normalised_name, strip
+from ..functions.text import bound, clean_number, normalised_name, strip
+
+#: Letters counted one by one before names are scored; others count together.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789"
 
 
 def common_length(a: str, b: str) -> int:
@@ -86,33 +89,58 @@ def unmatched(companies: DataFrame, register: DataFrame) -> DataFrame:
     return companies.filter("number_key != ''").join(register, F.col("number_key") == F.col("company_number"), "left_anti")
 
 
+def _sorted_words(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(name, " ")), " ")
+
+
+def _runs(text: Column) -> Column:
+    """The runs of three letters of a text, once each; of four letters or fewer, the whole text."""
+    runs = bound(text, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
+    return F.when(F.length(text) < 5, F.array(F.concat(F.lit("="), text))).otherwise(runs)
+
+
 def blocks(name: Column) -> Column:
-    """Blocking keys of a normalised name: each word of three letters or more, and each run of three letters of the name without blanks."""
-    words = F.filter(F.split(name, " "), lambda w: F.length(w) >= 3)
-    solid = F.replace(name, F.lit(" "), F.lit(""))
-    grams = F.when(F.length(solid) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(solid) - 2, F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(solid, i, F.lit(3)))))
-    return F.array_distinct(F.concat(words, F.coalesce(grams, F.expr("cast(array() as array<string>)"))))
+    """Blocking keys of a normalised name: the runs of three letters of the name as it is and with its words sorted."""
+    return F.when(F.contains(name, F.lit(" ")), F.array_distinct(F.concat(_runs(name), _runs(_sorted_words(name))))).otherwise(_runs(name))
+
+
+def lost_runs(length: Column) -> Column:
+    """How many runs of three letters of a name of ``length`` letters a name that reaches the threshold can lack, at most. With u letters left out and v put in,
+    the score is 200 * (length - u) / (2 * length - u + v), each left out breaks three runs and each put in two."""
+    spare = (200.0 - 2 * MATCH_THRESHOLD) / MATCH_THRESHOLD
+    most = F.transform(F.sequence(F.lit(0), F.floor(length * (spare / (1 + spare))).cast("int")), lambda u: u + 2 * F.floor((length - u) * spare + 1e-9).cast("int"))
+    return F.array_max(most)
 
 
-def candidates(names: DataFrame, register: DataFrame, keys_per_name: int = 8) -> DataFrame:
-    """``searched, company_number, company_name, registered`` (the last normalised) of pairs to score: equal normalised names, and else names that share
-    one of the searched name's rarest blocking keys and whose lengths allow the threshold.
+def candidates(names: DataFrame, register: DataFrame) -> DataFrame:
+    """``searched, company_number, company_name, registered`` (the last normalised) of pairs to score: every pair that can reach the threshold, and others.
 
-    A name is searched by its ``keys_per_name`` keys of least frequency in the register, so a frequent word such as GROUP brings pairs only to names that
-    have no rarer key. Both sides are joined on the key; nothing is broadcast.
+    A name reaches it as it is or with sorted words. Either way it shares more runs of three letters with the registered one than :func:`lost_runs` says it
+    can lack, so of its runs in one form, that many and one more find it, whichever they are: those of least frequency in the register are taken. A frequent run
+    brings pairs only to names that have nothing rarer. Both sides are joined on the key; nothing is broadcast. Pairs whose lengths, or whose letters, however
+    ordered, can't reach the threshold drop before they are shuffled again and scored.
     """
+    letters = lambda c: F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
     reg = register.select("company_number", "company_name", normalised_name(F.col("company_name")).alias("registered"))
     own = names.select("searched").distinct()
     exact = own.join(reg, F.col("searched") == F.col("registered"))
-    keys = reg.filter("registered != ''").select("company_number", "company_name", "registered", F.explode(blocks(F.col("registered"))).alias("key"))
+    keys = reg.filter("registered != ''").withColumn("r_letters", letters(F.col("registered"))).select("*", F.explode(blocks(F.col("registered"))).alias("key"))
     frequency = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("df"))
-    asked = own.filter("searched != ''").select("searched", F.explode(blocks(F.col("searched"))).alias("q")).join(frequency, F.col("q") == F.col("k"))
-    rarest = F.row_number().over(Window.partitionBy("searched").orderBy("df", "q"))
-    asked = asked.withColumn("r", rarest).filter(F.col("r") <= keys_per_name).select("searched", "q")
+    both = F.when(F.contains("searched", F.lit(" ")), F.array(F.col("searched"), _sorted_words(F.col("searched")))).otherwise(F.array("searched"))
+    forms = own.filter("searched != ''").select("searched", F.posexplode(both).alias("form", "text"))
+    asked = forms.select("searched", "form", "text", F.explode(_runs(F.col("text"))).alias("q")).join(frequency, F.col("q") == F.col("k"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # a run that a name has several times is lost as often
+    times = F.regexp_count("text", F.concat(F.lit("(?=\\Q"), F.col("q"), F.lit("\\E)")))
+    order = Window.partitionBy("searched", "form").orderBy("df", "q").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = asked.withColumn("before", F.coalesce(F.sum(times).over(order), F.lit(0))).filter((F.col("before") <= lost_runs(F.length("text"))) & (F.col("df") > 0))
+    asked = ranked.select("searched", "q").distinct().withColumn("s_letters", letters(F.col("searched")))
     a, b = F.length("searched"), F.length("registered")
     # 200 * min / (a + b), the best ratio of the two lengths
     possible = 200.0 * F.least(a, b) >= MATCH_THRESHOLD * (a + b)
-    near = asked.join(keys, F.col("q") == F.col("key")).filter(possible).select("searched", "company_number", "company_name", "registered")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    common = total(F.zip_with("s_letters", "r_letters", lambda x, y: F.least(x, y))) + F.least(a - total(F.col("s_letters")), b - total(F.col("r_letters")))  # others than LETTERS
+    near = asked.join(keys, F.col("q") == F.col("key")).filter(possible).filter(200.0 * common >= MATCH_THRESHOLD * (a + b))
+    near = near.select("searched", "company_number", "company_name", "registered")
     return exact.select(*near.columns).union(near).distinct()
 
 

@@ -23,6 +23,10 @@ def in_order(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     return rows.filter(F.col("order_pos") < max_pages) if max_pages else rows
 
 
+def page_rows(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\f\x0b\x85\u2028\u2029]")
+
+
 def coverage(pages: DataFrame) -> DataFrame:
     """``doc_id, pages, pages_checked, scanned_pages, any_scanned``: how much of each document was read, by ``method``."""
     scanned = F.coalesce(F.col("method").contains("OCR"), F.lit(False))
@@ -36,8 +40,7 @@ def page_figures(pages: DataFrame, max_pages: int | None = None, balance_reach:
     ``balance_reach``: balance pages count only up to so many pages after the turnover's (15 when no keywords are searched; null: all). Only statement and
     balance pages are cut into lines.
     """
-    rows = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\f\x0b\x85\u2028\u2029]")
-    read = in_order(pages, max_pages).withColumn("rows", rows)
+    read = in_order(pages, max_pages).withColumn("rows", page_rows(F.col("text")))
     flagged = read.withColumns({"statement": is_statement_page(F.col("rows")), "balance": is_balance_page(F.col("rows"))}).filter("statement or balance")
     lines = flagged.select("doc_id", "page", "order_pos", "method", "statement", "balance", page_currency(F.col("text")).alias("currency"), F.posexplode("rows").alias("line_no", "line"))
     keys = ["doc_id", "page", "order_pos", "method", "currency"]
