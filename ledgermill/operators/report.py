@@ -11,7 +11,7 @@ from ..functions.text import form_encoded, is_insolvent, joined_notes, why_missi
 
 OUTPUT = [
     "row_no", "company_name", "company_number", "turnover_status", "turnover", "prior_turnover", "cash", "debtors", "currency", "period_end", "accounts_type", "psc", "search_text",
-    "search_url", "keywords", "note",
+    "search_url", "keyword_count", "keywords", "note", "accounts_pdf",
 ]
 
 
@@ -46,8 +46,12 @@ JOINED = (
     "row_no long, name string, number_key string, company_number string, company_name string, company_status string, match_note string, accounts_overdue boolean, last_accounts string, "
     "filed_on date, accounts_type string, pdf_url string, xhtml_url string, has_xhtml boolean, has_pages boolean, ix_turnover double, ix_prior double, ix_currency string, ix_end string, "
     "ix_months int, ix_method string, ix_cash double, ix_debtors double, pg_turnover double, pg_prior double, pg_unit string, pg_page int, pg_method string, pg_currency string, pg_cash double, "
-    "pg_debtors double, pg_balance_method string, pg_checked long, pg_pages long, keyword_note string, failed boolean"
+    "pg_debtors double, pg_balance_method string, pg_checked long, pg_pages long, keyword_note string, failed boolean, pg_problem string, scanned_skipped boolean"
 )
+#: What :func:`output_rows` needs of decided rows, besides controllers and keywords.
+DECIDED = [
+    "row_no", "name", "number_key", "company_number", "company_name", "turnover_status", "turnover", "prior_turnover", "cash", "debtors", "currency", "period_end", "accounts_type", "method", "note",
+]
 
 
 def decided(joined: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -80,6 +84,8 @@ def decided(joined: DataFrame, as_of: Column | None = None) -> DataFrame:
         (pg, "FOUND", F.lit("")),
         (reason != "", "NOT DISCLOSED", reason),
         (electronic, "NOT DISCLOSED", F.lit("turnover not shown in the filed accounts")),
+        (F.col("pg_problem").isNotNull(), "CHECK PDF", F.col("pg_problem")),
+        (F.coalesce("scanned_skipped", F.lit(False)), "CHECK PDF", F.lit("scanned PDF not read (scanned-PDF reading is turned off)")),
         (F.lit(True), "CHECK PDF", F.concat(F.lit("no turnover line found in "), F.coalesce("pg_checked", F.lit(0)).cast("string"), F.lit(" pages, open the PDF to check"))),
     ]
     rule = F.lit(None).cast("int")
@@ -130,7 +136,7 @@ def decided(joined: DataFrame, as_of: Column | None = None) -> DataFrame:
 def output_rows(decided_rows: DataFrame) -> DataFrame:
     """The fixed output columns: registered name and number, else as typed; empty strings are null."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    optional = lambda c: F.col(c) if c in decided_rows.columns else F.lit(None).cast("string")
+    optional = lambda c, kind="string": F.col(c) if c in decided_rows.columns else F.lit(None).cast(kind)
     pscs = F.col("pscs") if "pscs" in decided_rows.columns else F.lit(None).cast("array<struct<name:string,is_corporate:boolean>>")
     made = {
         "company_name": blank(F.coalesce(blank(F.col("company_name")), F.col("name"))),
@@ -138,7 +144,9 @@ def output_rows(decided_rows: DataFrame) -> DataFrame:
         "psc": psc_cell(pscs),
         "search_text": search_text(F.col("company_name"), pscs),
         "search_url": search_url(F.col("company_name"), pscs),
+        "keyword_count": optional("keyword_count", "int"),
         "keywords": optional("keyword_cell"),
+        "accounts_pdf": blank(optional("pdf_url")),
         "note": blank(F.col("note")),
         "currency": blank(F.col("currency")),
         "period_end": blank(F.col("period_end")),
@@ -155,5 +163,18 @@ def status_summary(rows: DataFrame, status_col: str = "turnover_status") -> Data
     return listed.join(counts, F.col("status") == F.col("__s"), "left").select("pos", "status", F.coalesce("n", F.lit(0)).cast("long").alias("companies"), "meaning")
 
 
+def summary_block(rows: DataFrame, keywords: list[str] | None = None, status_col: str = "turnover_status") -> DataFrame:
+    """The summary as it is written: :func:`status_summary`, and with ``keywords``, how many ``rows`` mention one (``keyword_count`` over 0) and the list."""
+    summary = status_summary(rows, status_col)
+    if not keywords:
+        return summary
+    end = len(K.STATUSES) + 1
+    some = rows.agg(F.count_if(F.col("keyword_count") > 0).alias("companies")).select(
+        F.lit(end).alias("pos"), F.lit("Keywords").alias("status"), "companies", F.lit("companies whose accounts mention at least one keyword").alias("meaning")
+    )
+    listed = rows.sparkSession.createDataFrame([(end + 1, None, None, f"Searched for {len(keywords)}: " + ", ".join(keywords))], "pos int, status string, companies long, meaning string")
+    return summary.unionByName(some).unionByName(listed)
+
+
 def mentions_keywords(found: Column) -> Column:
     return F.coalesce(F.size(found) > 0, F.lit(False))

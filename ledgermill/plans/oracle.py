@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .proxies import COMPANIES_SQL, ENDINGS, FACTS_SQL, FILINGS_SQL, KEYWORDS, OCR_SOURCE, ROWS_SQL, clean_sql
+from ..constants import MEANINGS, STATUSES
+from .proxies import COMPANIES_SQL, ENDINGS, FACTS_SQL, FILINGS_SQL, KEYWORDS, OCR_SOURCE, OTHER_NAME, ROWS_SQL, clean_sql
+from .world import KEYWORDS as FEW, REPORT, world_sql
 
 
 def _keywords() -> str:
@@ -90,13 +92,27 @@ _NOTE = """concat_ws('; ', CASE rule WHEN 0 THEN 'a source failed for this row,
 
 
 def _summary() -> str:
-    from ..constants import MEANINGS, STATUSES
-
     listed = ", ".join("({}, '{}', '{}')".format(k, s, MEANINGS[s].replace("'", "''")) for k, s in enumerate(STATUSES))
     return f"""{_STATUS}, m(pos, status, meaning) AS (VALUES {listed}), c AS (SELECT status, count(*) AS n FROM s GROUP BY status)
 SELECT pos, status, coalesce(n, 0)::BIGINT AS companies, meaning FROM m LEFT JOIN c USING (status) UNION ALL SELECT {len(STATUSES)}, 'Total', sum(n)::BIGINT, '' FROM c"""
 
 
+_WORLD = world_sql(_LATEST.format(deep="rn <= 500 AND"), _REASON)
+
+
+def _company_summary() -> str:
+    listed = ", ".join("({}, '{}', '{}')".format(k, s, MEANINGS[s].replace("'", "''")) for k, s in enumerate(STATUSES))
+    n = len(STATUSES)
+    return f"""{_WORLD}, m(pos, status, meaning) AS (VALUES {listed}), c AS (SELECT turnover_status AS status, count(*) AS n FROM res GROUP BY 1)
+SELECT pos, status, coalesce(n, 0)::BIGINT AS companies, meaning FROM m LEFT JOIN c USING (status) UNION ALL SELECT {n}, 'Total', sum(n)::BIGINT, '' FROM c
+UNION ALL SELECT {n + 1}, 'Keywords', count(*) FILTER (WHERE keyword_count > 0)::BIGINT, 'companies whose accounts mention at least one keyword' FROM res
+UNION ALL SELECT {n + 2}, NULL, NULL, 'Searched for {len(FEW)}: {", ".join(FEW)}'"""
+
+
+# text between tags, without scripts and styles; the entities that the tables have
+_VISIBLE = """list_aggregate(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>'),
+  lambda x: trim(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''), 'string_agg', ' ')"""
+
 _EVENTS = "SELECT event_id, user_id AS doc_id, day(ts)::INT AS page, event_type AS text, second(ts)::INT AS sec, hour(ts) * 60 + minute(ts) AS y FROM events"
 
 ORACLE_SQL = {
@@ -105,12 +121,19 @@ ORACLE_SQL = {
 c AS (SELECT doc_id, count(*)::INT AS c, string_agg(keyword || ' (' || n || ')', ', ' ORDER BY n DESC, kw_pos) AS cell FROM d GROUP BY doc_id),
 a AS (SELECT doc_id, bool_or(text <> '') AS searched FROM pages GROUP BY doc_id)
 SELECT doc_id, CASE WHEN searched THEN coalesce(c, 0)::INT END AS keyword_count, CASE WHEN searched THEN coalesce(cell, 'none found') END AS keyword_cell FROM a LEFT JOIN c USING (doc_id)""",
+    "keyword_report": f"""WITH {_HITS}, d AS (SELECT doc_id, kw_pos, keyword FROM hits WHERE n > 0 GROUP BY ALL), c AS (SELECT doc_id, count(*) AS c, string_agg(keyword, '|' ORDER BY kw_pos) AS found FROM d GROUP BY doc_id),
+a AS (SELECT doc_id, bool_or(text <> '') AS searched FROM pages GROUP BY doc_id)
+SELECT doc_id, CASE WHEN searched THEN coalesce(found, '') END AS found, CASE WHEN searched THEN coalesce(c, 0) = 5 END AS all_found FROM a LEFT JOIN c USING (doc_id)""",
+    "keyword_lists": """WITH t AS (SELECT p_partkey, unnest([0, 1, 3, 4]) AS k, unnest([p_name, upper(p_type), p_brand, p_type || '-']) AS keyword FROM part),
+w AS (SELECT p_partkey::BIGINT * 1048576 + k AS kw_pos, keyword, trim(regexp_replace(lower(keyword), '[^a-z0-9]+', ' ', 'g')) AS norm FROM t)
+SELECT min(kw_pos) AS kw_pos, arg_min(keyword, kw_pos) AS keyword, norm FROM w GROUP BY norm""",
     "keyword_coverage": f"""WITH {_HITS}, h AS (SELECT doc_id, page, bool_or(n > 0) AS hit FROM hits GROUP BY ALL)
 SELECT source, count(*)::BIGINT AS pages, count(*) FILTER (WHERE hit)::BIGINT AS pages_with_keywords, count(*) FILTER (WHERE text = '')::BIGINT AS empty_pages
 FROM pages LEFT JOIN h USING (doc_id, page) GROUP BY source""",
     "clean_numbers": f"SELECT row_no, {clean_sql('number')} AS clean FROM ({COMPANIES_SQL})",
-    "register_match": f"""SELECT row_no, number_key, company_number, company_name, CASE WHEN company_number IS NULL THEN 'company number ' || number_key || ' not on the register' END AS match_note
-FROM ({_KEYED}) k LEFT JOIN ({_REGISTER}) r ON number_key = company_number WHERE number_key <> ''""",
+    "register_match": f"""SELECT row_no, number_key, company_number, company_name, CASE WHEN company_number IS NULL THEN 'company number ' || number_key || ' not on the register'
+  WHEN row_no % 3 = 1 THEN 'the number belongs to ' || company_name || ', check it matches ''{OTHER_NAME}''' END AS match_note
+FROM (SELECT row_no, {clean_sql('number')} AS number_key FROM ({COMPANIES_SQL})) k LEFT JOIN ({_REGISTER}) r ON number_key = company_number WHERE number_key <> ''""",
     "register_unmatched": f"SELECT row_no, number_key FROM ({_KEYED}) WHERE number_key <> '' AND number_key NOT IN (SELECT company_number FROM ({_REGISTER}))",
     "dedupe_fan_out": f"""WITH k AS ({_KEYED}), f AS (SELECT name_key, number_key, arg_min(coalesce(number, '~'), row_no) AS n FROM k GROUP BY name_key, number_key)
 SELECT row_no, k.name_key, k.number_key, nullif(n, '~') AS first_number, length(k.name_key)::INT AS name_length FROM k JOIN f USING (name_key, number_key)""",
@@ -118,6 +141,29 @@ SELECT row_no, k.name_key, k.number_key, nullif(n, '~') AS first_number, length(
     "name_exact_match": f"""WITH n AS (SELECT p_partkey AS row_no, {_normalised('name')} AS searched FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'The ' ELSE '' END || p_name || ' ' || p_brand || {_ENDING} AS name FROM part)),
 r AS (SELECT {_normalised("p_name || ' ' || p_brand")} AS registered, min(p_partkey) AS number, count(*)::BIGINT AS same_name FROM part GROUP BY 1)
 SELECT row_no, searched, number, same_name FROM n LEFT JOIN r ON searched = registered""",
+    "name_fuzzy_best": """SELECT row_no, CASE WHEN m <> 2 THEN lpad(row_no::VARCHAR, 8, '0') END AS company_number, CASE WHEN m < 2 THEN 96.0 WHEN m = 3 THEN 100.0 END::DOUBLE AS score, m <> 2 AND row_no % 10 = 0 AS ambiguous,
+  CASE WHEN m = 2 THEN 'company not found on the register' WHEN row_no % 10 = 0 THEN 'several companies with near-identical names, check this is the right one' END AS match_note
+FROM (SELECT p_partkey AS row_no, p_partkey % 4 AS m FROM part)""",
+    "profile_pages": """SELECT lpad(c_custkey::VARCHAR, 8, '0') AS company_number, CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN '31 March 2025' END AS last_accounts, c_custkey % 11 = 0 AS accounts_overdue FROM customer""",
+    "company_report": f"{_WORLD} SELECT {', '.join({'company_name': 'shown_name AS company_name', 'company_number': 'shown_number AS company_number'}.get(c, c) for c in REPORT)} FROM res",
+    "company_summary": _company_summary(),
+    "company_list": """SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'Café; "' || c_name || '"' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS number FROM customer WHERE c_custkey % 15 <> 0""",
+    "first_page_figure": f"""WITH o AS (SELECT o_orderkey AS o, o_custkey AS doc_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS page, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+p AS (SELECT *, CASE WHEN n > 40 THEN (page - floor(n * 0.25)::INT + n) % n ELSE page END AS seq FROM o),
+t AS (SELECT p.doc_id, arg_min(current, seq) AS turnover, arg_min(prior, seq) AS prior, arg_min(page, seq) + 1 AS page, min(seq) AS first FROM p JOIN ({_rows(0, False)}) f ON f.doc_id = o WHERE o % 2 = 0 GROUP BY p.doc_id),
+c AS (SELECT p.doc_id, arg_min(current, seq) AS cash FROM p JOIN ({_rows(2, True)}) f ON f.doc_id = o LEFT JOIN t ON t.doc_id = p.doc_id WHERE o % 2 = 1 AND (first IS NULL OR seq - first <= 15) GROUP BY p.doc_id),
+d AS (SELECT p.doc_id, arg_min(current, seq) AS debtors FROM p JOIN ({_rows(3, True)}) f ON f.doc_id = o LEFT JOIN t ON t.doc_id = p.doc_id WHERE o % 2 = 1 AND (first IS NULL OR seq - first <= 15) GROUP BY p.doc_id)
+SELECT a.doc_id, turnover, prior, t.page::INT AS page, cash, debtors, pages_checked FROM (SELECT doc_id, count(*)::BIGINT AS pages_checked FROM o GROUP BY doc_id) a LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)""",
+    "far_units": """SELECT doc_id, (a + 1000) * m AS current, (a + 2000) * m AS prior, CASE m WHEN 1000 THEN '000' WHEN 1000000 THEN 'm' ELSE '' END AS unit
+FROM (SELECT o_orderkey AS doc_id, floor(o_totalprice) AS a, CASE WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderkey % 3 = 0 THEN 1000 WHEN o_orderkey % 3 = 1 THEN 1000000 ELSE 1 END AS m FROM orders)""",
+    "decimal_rows": """WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 6 AS m, o_orderkey % 900 + 10 AS a FROM orders),
+v AS (SELECT doc_id, m, a, CASE m WHEN 0 THEN 2000.5 + a WHEN 1 THEN (a || '.5')::DOUBLE WHEN 2 THEN 1000 + a WHEN 3 THEN -1000 * a WHEN 4 THEN 1000 * a END::DOUBLE AS x,
+  CASE WHEN m = 1 THEN (a || '.3')::DOUBLE WHEN m = 2 THEN 2000 WHEN m = 4 AND a <= 80 THEN 8000 END::DOUBLE AS y FROM o WHERE m < 5)
+SELECT doc_id, round_even(x * 1000000, 0) AS current, round_even(y * 1000000, 0) AS prior, 'm' AS unit FROM v""",
+    "page_kinds": """SELECT o_orderkey AS doc_id, m IN (0, 5) AS statement, m IN (2, 4) AS balance, m IN (0, 2) AS worth, CASE WHEN m IN (2, 4) THEN 0 ELSE 1 END::INT AS headings FROM (SELECT o_orderkey, o_orderkey % 6 AS m FROM orders)""",
+    "figure_texts": """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE CASE c_custkey % 4 WHEN 0 THEN '£' WHEN 1 THEN '€' WHEN 2 THEN '$' ELSE '' END || format('{:,}', round_even(c_acctbal, 0)::BIGINT) || CASE WHEN c_custkey % 4 = 3 THEN ' CHF' ELSE '' END END AS money,
+  CASE c_custkey % 7 WHEN 1 THEN 'EUR' WHEN 2 THEN 'USD' WHEN 4 THEN 'USD' WHEN 3 THEN '' ELSE 'GBP' END AS currency FROM customer""",
+    "ixbrl_documents": f"""SELECT page_id AS doc_id, 0 AS n_facts, (length(html) - length(replace(html, '<tr', ''))) // 3 AS n_rows, md5(regexp_replace({_VISIBLE}, '\\s+', ' ', 'g')) AS text_md5, NULL::VARCHAR AS error FROM pages""",
     "latest_filing": _LATEST.format(deep="rn <= 500 AND"),
     "latest_filing_any_depth": _LATEST.format(deep=""),
     "fact_ranked": FACTS_SQL,

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYWORDS = ["the", "of the", "and", "de la", "der", "que", "that in", "foreign exchange", "THE", "in that"]
+from ..constants import DEFAULT_KEYWORDS
+from ..operators.keywords import parse_keywords
+from ..sources.lists import split_pages
+
+WORDS = ["the", "of the", "and", "de la", "der", "que", "that in", "foreign exchange", "THE", "in that"]
+#: Words of the documents, and then the default list, of which they have none.
+KEYWORDS = WORDS + parse_keywords(DEFAULT_KEYWORDS)
 OCR_SOURCE = "src1"
+OTHER_NAME = "QWVY ZJK"
 ENDINGS = ["", " Limited", " PLC", " Ltd.", " & Co Limited"]
 
 
@@ -17,8 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut at their newlines into pages."""
     docs = table(spark, sf_dir, "documents")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    return docs.select("doc_id", "source", F.size(parts).alias("n_pages"), F.posexplode(parts).alias("page", "text"))
+    return split_pages(docs, "\n", keep=["source"])
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:

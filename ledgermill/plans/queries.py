@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import text as T
-from ..operators import facts as facts_, filings as filings_, keywords as keywords_, lines as lines_, match, pages as pages_, report
-from . import proxies as P
+from ..operators import company, facts as facts_, filings as filings_, keywords as keywords_, lines as lines_, match, pages as pages_, report
+from ..sources import lists, sinks
+from ..storage import save, shared_folder
+from . import proxies as P, world as W
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,18 @@ def keyword_ranked_cell(spark, sf_dir):
     return keywords_.document_report(_counted(spark, sf_dir)).select("doc_id", "keyword_count", "keyword_cell")
 
 
+def keyword_report(spark, sf_dir):
+    """Found keywords in the order of the list, and whether all of it was found."""
+    return keywords_.document_report(_counted(spark, sf_dir), n_keywords=5).select("doc_id", F.array_join("keywords_found", "|").alias("found"), "all_found")
+
+
+def keyword_lists(spark, sf_dir):
+    """Names and kinds of parts as typed lists, split and made distinct."""
+    p = P.table(spark, sf_dir, "part")
+    texts = p.select("p_partkey", F.concat(F.lit(" "), F.col("p_name"), F.lit(" ,"), F.upper("p_type"), F.lit(";;"), F.col("p_brand"), F.lit("\n"), F.col("p_type"), F.lit("- ")).alias("text"))
+    return keywords_.distinct_keywords(keywords_.split_keywords(texts, "p_partkey", "text"))
+
+
 def keyword_coverage(spark, sf_dir):
     counted = _counted(spark, sf_dir)
     some = report.mentions_keywords(F.col("hits"))
@@ -36,8 +52,11 @@ def clean_numbers(spark, sf_dir):
 
 
 def register_match(spark, sf_dir):
-    keyed = match.with_keys(P.companies(spark, sf_dir))
-    found = match.match_numbers(keyed.drop("name").withColumn("name", F.lit(None).cast("string")), P.register(spark, sf_dir))
+    """By number; some rows name the company, some another, whose letters the register's names don't have."""
+    k = F.regexp_replace(F.coalesce("number", F.lit("")), "[^0-9]", "")
+    name = F.when(F.col("row_no") % 3 == 0, F.concat(F.lit(" customer#"), F.lpad(k, 9, "0"), F.lit(" Ltd"))).when(F.col("row_no") % 3 == 1, P.OTHER_NAME)
+    keyed = match.with_keys(P.companies(spark, sf_dir).withColumn("name", name))
+    found = match.match_numbers(keyed, P.register(spark, sf_dir))
     return found.select("row_no", "number_key", "company_number", "company_name", "match_note")
 
 
@@ -68,10 +87,14 @@ def name_exact_match(spark, sf_dir):
 
 
 def name_fuzzy_best(spark, sf_dir):
-    """Customers' names with a typing error against the register of customers and suppliers."""
-    reg = P.table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("company_number"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand").alias("company_name"))
-    typed = reg.select(F.col("company_number").alias("row_no"), F.concat(F.substring("company_name", 1, 3), F.lit("x"), F.expr("substring(company_name, 4)"), F.lit(" Ltd")).alias("name"), F.lit("").alias("number_key"))
-    return match.match_names(typed, reg.groupBy("company_name").agg(F.min("company_number").alias("company_number"))).select("row_no", "company_number", "score", "ambiguous", "match_note")
+    """Parts as companies named by a hash, every tenth twice; typed as they are, with a letter too many, or unlike any."""
+    k = F.col("p_partkey")
+    parts = P.table(spark, sf_dir, "part").select(k, W.letters(k).alias("n"))
+    reg = parts.select(F.lpad(k.cast("string"), 8, "0").alias("company_number"), F.concat("n", F.lit(" PLC")).alias("company_name"))
+    reg = reg.unionByName(parts.filter(k % 10 == 0).select(F.concat(F.lit("ZZ"), F.lpad(k.cast("string"), 6, "0")).alias("company_number"), F.concat(F.lit("The "), F.col("n")).alias("company_name")))
+    typed = F.when(k % 4 < 2, F.concat(F.substring("n", 1, 5), F.lit("X"), F.substring("n", 6, 20))).when(k % 4 == 2, W.UNKNOWN).otherwise(F.lower("n"))
+    names = parts.select(k.alias("row_no"), typed.alias("name"), F.lit("").alias("number_key"))
+    return match.match_names(names, reg).select("row_no", "company_number", "score", "ambiguous", "match_note")
 
 
 def latest_filing(spark, sf_dir):
@@ -114,16 +137,57 @@ def page_coverage(spark, sf_dir):
 
 
 def first_page_figure(spark, sf_dir):
-    """Orders as pages of statements: a heading, units and one row a line item; the document is the customer."""
+    """All orders of a customer as the pages of a document: a heading, units and one row a line item."""
     lines = P.rows_of_text(spark, sf_dir)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     bodies = lines.groupBy(F.col("doc_id").alias("o")).agg(text.alias("body"))
-    o = P.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 30).cast("int").alias("page"), F.when(F.col("o_orderkey") % 2 == 0, "Income statement").otherwise("Balance sheet").alias("head"))
-    one = o.groupBy("doc_id", "page").agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("head", "o_orderkey").alias("head"))
-    pages = one.join(bodies, F.col("o_orderkey") == F.col("o")).select("doc_id", "page", F.lit(30).alias("n_pages"), F.concat("head", F.lit("\n"), "body").alias("text"), F.lit("PDF text").alias("method"))
+    head = F.when(F.col("o_orderkey") % 2 == 0, "Income statement").otherwise("Balance sheet")
+    customer = Window.partitionBy("o_custkey")
+    o = P.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id"), head.alias("head"), (F.row_number().over(customer.orderBy("o_orderkey")) - 1).alias("page"), F.count(F.lit(1)).over(customer).cast("int").alias("n_pages"))
+    pages = o.join(bodies, F.col("o_orderkey") == F.col("o")).select("doc_id", "page", "n_pages", F.concat("head", F.lit("\n"), "body").alias("text"), F.lit("PDF text").alias("method"))
     return pages_.page_figures(pages, balance_reach=pages_.REACH).select("doc_id", "turnover", "prior", "page", "cash", "debtors", "pages_checked")
 
 
+def far_units(spark, sf_dir):
+    """Units in a heading 10 rows above, or 45, which is too far; and none at all."""
+    k = F.col("o_orderkey")
+    o = P.table(spark, sf_dir, "orders").select(k, F.floor("o_totalprice").alias("a"))
+    head = F.when(k % 3 == 0, "Note £000 £000").when(k % 3 == 1, "Group 2025 | £m").otherwise("Some words £m")
+    rest = F.transform(F.sequence(F.lit(1), F.when(k % 5 == 0, 45).otherwise(10)), lambda i: F.concat(F.lit("Other row "), i.cast("string")))
+    figure = F.concat(F.lit("Turnover 3 "), F.format_number(F.col("a") + 1000, 0), F.lit(" "), F.format_number(F.col("a") + 2000, 0))
+    lines = o.select(k.alias("doc_id"), F.posexplode(F.concat(F.array(head), rest, F.array(figure))).alias("line_no", "line"))
+    return lines_.figures(lines, K.TURNOVER_LABEL, ["doc_id"]).select("doc_id", "current", "prior", "unit")
+
+
+def decimal_rows(spark, sf_dir):
+    """In millions: a lone small decimal is a note's number, two are amounts; dots for commas; brackets; notes before three amounts."""
+    k, a = F.col("o_orderkey"), (F.col("o_orderkey") % 900 + 10).cast("string")
+    rest = F.element_at(F.array(F.concat(F.lit("4.1 2,"), F.lpad(a, 3, "0"), F.lit(".5")), F.concat(a, F.lit(".5 "), a, F.lit(".3")), F.concat(F.lit("1."), F.lpad(a, 3, "0"), F.lit(" 2,000")), F.concat(F.lit("("), a, F.lit(",000) nil")), F.concat(F.lit("7 "), a, F.lit(",000 8,000")), F.lit("2.1")), (k % 6 + 1).cast("int"))
+    lines = P.table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(F.array(F.lit("Notes £m £m"), F.concat(F.lit("Revenue "), rest))).alias("line_no", "line"))
+    return lines_.figures(lines, K.TURNOVER_LABEL, ["doc_id"]).select("doc_id", "current", "prior", "unit")
+
+
+def page_kinds(spark, sf_dir):
+    """Orders as the tops of pages: statements, balance sheets, notes, and scanned pages worth reading."""
+    k = F.col("o_orderkey")
+    tops = [
+        ["", "Group accounts", " Consolidated income statement", "Sales 1,000"], ["Notes to the accounts", "Income statement", "Turnover"], ["Balance sheet", "Trade and other receivables", "x"],
+        ["a", "b", "c", "d", "e", "f", "g", "h", "Profit and loss"], ["Statement of financial position", "Fixed assets"], ["PROFIT & LOSS ACCOUNT", "Cash at bank"],
+    ]
+    rows = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t]) for t in tops]), (k % 6 + 1).cast("int"))
+    o = P.table(spark, sf_dir, "orders").select(k.alias("doc_id"), rows.alias("rows"))
+    heading = lambda r: r.rlike(K.STATEMENT_HEADING) & ~r.rlike(K.NOTES_HEADING)
+    return o.select("doc_id", lines_.is_statement_page(F.col("rows")).alias("statement"), lines_.is_balance_page(F.col("rows")).alias("balance"), lines_.worth_reading(F.col("rows")).alias("worth"), F.size(F.filter("rows", heading)).alias("headings"))
+
+
+def figure_texts(spark, sf_dir):
+    """Balances as money, and the currency of a page that shows it."""
+    k = F.col("c_custkey")
+    currency = F.element_at(F.array(*[F.lit(x) for x in ("GBP", "EUR", "USD", "CHF")]), (k % 4 + 1).cast("int"))
+    text = F.element_at(F.array(*[F.lit(x) for x in ("figures in £", "all in Euros", "US$m and £", "CHF", "dollars", "E 000", "in GBP")]), (k % 7 + 1).cast("int"))
+    return P.table(spark, sf_dir, "customer").select("c_custkey", T.money(F.when(k % 10 != 0, F.col("c_acctbal")), currency).alias("money"), T.page_currency(text).alias("currency"))
+
+
 def line_rebuild(spark, sf_dir):
     e = P.table(spark, sf_dir, "events")
     blocks = e.select(F.col("user_id").alias("doc_id"), F.dayofmonth("ts").cast("long").alias("page_key"), F.second("ts").cast("double").alias("top"), F.col("event_id").cast("double").alias("left"), F.col("event_type").alias("text"))
@@ -189,9 +253,9 @@ def missing_reasons(spark, sf_dir):
 
 
 def ixbrl_documents(spark, sf_dir):
-    """Every page of markup through the reader of electronic accounts: what it found, and its visible text's size."""
+    """Every page of markup through the reader of electronic accounts: what it found, and its visible text."""
     read = facts_.read_documents(P.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
-    return read.select("doc_id", F.size("facts").alias("n_facts"), F.size("rows").alias("n_rows"), F.length("text").alias("text_chars"), "error")
+    return read.select("doc_id", F.size("facts").alias("n_facts"), F.size("rows").alias("n_rows"), F.md5(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text_md5"), "error")
 
 
 def ixbrl_figures(spark, sf_dir):
@@ -210,13 +274,49 @@ def ixbrl_figures(spark, sf_dir):
     parts = context.select("doc_id", F.lit(0).alias("k"), F.lit(0).alias("pos"), c.alias("x")).union(unit.select("doc_id", F.lit(1), F.lit(0), u)).union(fact.select("doc_id", F.lit(2), "pos", f))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "pos", "x"))), lambda s: s["x"]), "")
     docs = parts.groupBy("doc_id").agg(F.concat(F.lit("<html><body><ix:header>"), F.lit("</ix:header>"), html, F.lit("</body></html>")).alias("html"))
-    parsed = facts_.read_documents(docs).persist(StorageLevel.DISK_ONLY)  # read by every figure
+    parsed = save(facts_.read_documents(docs), "parsed")  # read by every figure
     return facts_.document_figures(parsed).select("doc_id", "turnover", "prior_turnover", "currency", "period_end", "months", "cash", "debtors")
 
 
+def profile_pages(spark, sf_dir):
+    return company.register_with_profiles(W.profiles(spark, sf_dir)).select("company_number", "last_accounts", "accounts_overdue")
+
+
+def _report(spark, sf_dir) -> DataFrame:
+    register = company.register_with_profiles(W.profiles(spark, sf_dir))
+    tables = (W.companies, W.controllers, W.filings, W.documents, W.pages)
+    companies, psc, filings, documents, pages = (t(spark, sf_dir) for t in tables)
+    return company.company_results(companies, register, psc, filings, documents, pages, W.KEYWORDS, ocr_keywords=False, as_of=F.to_date(F.lit("2001-01-01")))
+
+
+def company_report(spark, sf_dir):
+    """A list of companies to one result row each: matched, with controllers, figures of electronic documents or pages, keywords, status and notes."""
+    return _report(spark, sf_dir).select(*W.REPORT)
+
+
+def company_summary(spark, sf_dir):
+    """The report, written and read again, summed up by status and with the block about keywords."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_results(_report(spark, sf_dir), f"{path}/rows")
+    sinks.write_summary(spark.read.parquet(f"{path}/rows"), f"{path}/summary", keywords=W.KEYWORDS)
+    return spark.read.parquet(f"{path}/summary")
+
+
+def company_list(spark, sf_dir):
+    """Customers as a typed list: a title, an empty row, a header, semicolons, cp1252. A list is one file, which one person typed."""
+    k = F.col("c_custkey")
+    row = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, "abc", strict=True)])
+    top = [("My companies", None, None), (None, None, None), ("Ref", "Company Name", "Company Reg No")]
+    data = P.table(spark, sf_dir, "customer").select((k + 3).alias("i"), row(k.cast("string"), F.when(k % 5 != 0, F.concat(F.lit("Café; \""), F.col("c_name"), F.lit('"'))), F.when(k % 3 != 0, k.cast("string"))).alias("r"))
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(top)], "i long, a string, b string, c string").select("i", row(F.col("a"), F.col("b"), F.col("c")).alias("r"))
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    rows.unionByName(data).coalesce(1).sortWithinPartitions("i").select("r.*").write.option("sep", ";").option("encoding", "ISO-8859-1").option("escape", '"').option("emptyValue", "").csv(path)
+    return lists.read_list(spark, path).select("name", "number")
+
+
 NAMES = [
-    keyword_counts, keyword_ranked_cell, keyword_coverage, clean_numbers, register_match, register_unmatched, dedupe_fan_out, normalised_names, name_exact_match, name_fuzzy_best, latest_filing,
-    latest_filing_any_depth, fact_ranked, fact_headline, statement_units, figure_rows, balance_rows, page_order, page_coverage, first_page_figure, line_rebuild, box_rows, psc_list, search_link,
-    status_report, status_summary, missing_reasons, ixbrl_documents, ixbrl_figures,
+    keyword_counts, keyword_ranked_cell, keyword_report, keyword_lists, keyword_coverage, clean_numbers, register_match, register_unmatched, dedupe_fan_out, normalised_names, name_exact_match, name_fuzzy_best, latest_filing,
+    latest_filing_any_depth, fact_ranked, fact_headline, statement_units, figure_rows, balance_rows, page_order, page_coverage, first_page_figure, far_units, decimal_rows, page_kinds, figure_texts, line_rebuild, box_rows, psc_list, search_link,
+    status_report, status_summary, missing_reasons, ixbrl_documents, ixbrl_figures, profile_pages, company_report, company_summary, company_list,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.report import output_rows, status_summary
+from ..operators.report import output_rows, summary_block
 
 
-def write_results(decided: DataFrame, path: str, fmt: str = "parquet", by_status: bool = False) -> None:
-    """One row for each input row in input order, in the fixed columns; ``by_status`` makes a folder for each status."""
-    writer = output_rows(decided).orderBy("row_no").write.mode("overwrite").format(fmt)
+def write_results(rows: DataFrame, path: str, fmt: str = "parquet", by_status: bool = False) -> None:
+    """One row for each input row in input order, in the fixed columns: of decided rows, or of those of :func:`output_rows`; ``by_status`` makes a folder for each
+    status."""
+    rows = rows if "accounts_pdf" in rows.columns else output_rows(rows)
+    writer = rows.orderBy("row_no").write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy("turnover_status") if by_status else writer).save(path)
 
 
-def write_summary(decided: DataFrame, path: str, fmt: str = "parquet") -> None:
-    status_summary(decided).orderBy("pos").coalesce(1).write.mode("overwrite").format(fmt).save(path)
+def write_summary(rows: DataFrame, path: str, fmt: str = "parquet", keywords: list[str] | None = None) -> None:
+    """Counts and meanings of the statuses and, with ``keywords``, the block about them: a dozen rows in one file."""
+    summary_block(rows, keywords).orderBy("pos").coalesce(1).write.mode("overwrite").format(fmt).save(path)

@@ -1,115 +1,245 @@
-"""Matching, filings, electronic documents, pages and reports on small tables."""
+"""Matching, filings, electronic documents, pages, reports and the whole job on small tables."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.operators import facts, filings, match, pages, report
+from ledgermill.operators import company, facts, filings, match, pages, report
 from ledgermill.operators import lines as L
-from ledgermill.sources import lists
+from ledgermill.sources import lists, sinks
 
 
-def document(fact_rows, contexts):
+def document(facts_, contexts):
     ctx = "".join(f'<xbrli:context id="{c}"><xbrli:entity>{seg}</xbrli:entity><xbrli:period><xbrli:startDate>{s}</xbrli:startDate><xbrli:endDate>{e}</xbrli:endDate></xbrli:period></xbrli:context>' for c, s, e, seg in contexts)
-    return f'<html><body><ix:header>{ctx}<xbrli:unit id="U"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit></ix:header>{fact_rows}</body></html>'
+    return f'<html><body><ix:header>{ctx}<xbrli:unit id="U"><xbrli:measure>iso4217:EUR</xbrli:measure></xbrli:unit></ix:header>{facts_}</body></html>'
 
 
 def fact(name, ctx, text, more=""):
     return f'<ix:nonFraction name="core:{name}" contextRef="{ctx}" unitRef="U" {more}>{text}</ix:nonFraction>'
 
 
-SEGMENT = '<xbrli:segment><xbrldi:explicitMember dimension="bus:X">bus:SegmentOne</xbrldi:explicitMember></xbrli:segment>'
+def dimension(member):
+    return f'<xbrli:segment><xbrldi:explicitMember dimension="d:Any">d:{member}</xbrldi:explicitMember></xbrli:segment>'
 
 
 def test_electronic_documents(spark):
-    years = [("seg", "2024-01-01", "2024-12-31", SEGMENT), ("py", "2023-01-01", "2023-12-31", ""), ("cy", "2024-01-01", "2024-12-31", "")]
-    tagged = document(fact("TurnoverRevenue", "seg", "999") + fact("TurnoverRevenue", "py", "800") + fact("TurnoverRevenue", "cy", "900") + fact("Debtors", "cy", "-", 'format="ixt:fixed-zero"'), years)
-    rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in (("Profit and loss account", ""), ("Turnover", "5,000 4,000"), ("Balance sheet", ""), ("Current assets", ""), ("Cash at bank", "1,200 900")))
-    placed = '<div><div style="top: 10.01px; left: 50px">4,210 3,900</div><div style="top:10px;left:1px">Debtors</div></div>'
-    docs = spark.createDataFrame([(1, tagged), (2, f"<table>{rows}</table>{placed}"), (3, ""), (4, None)], "doc_id long, html string")
-    got = {r["doc_id"]: r for r in facts.document_figures(facts.read_documents(docs)).collect()}
-    assert (got[1]["turnover"], got[1]["prior_turnover"], got[1]["period_end"], got[1]["months"], got[1]["debtors"]) == (900, 800, "2024-12-31", 12, 0)
-    assert (got[2]["turnover"], got[2]["prior_turnover"], got[2]["cash"], got[2]["debtors"], got[2]["method"]) == (5000, 4000, 1200, 4210, "iXBRL table (untagged)")
-    assert got[3]["turnover"] is None and got[4]["turnover"] is None and got[4]["error"] is None
+    years = [("north", "2025-01-01", "2025-12-31", dimension("NorthRegion")), ("before", "2024-01-01", "2024-12-31", ""), ("now", "2025-01-01", "2025-12-31", ""), ("group", "2025-01-01", "2025-12-31", dimension("ConsolidatedEntity"))]
+    tagged = document(fact("Revenue", "north", "31") + fact("Revenue", "before", "640") + fact("Revenue", "group", "7,000") + fact("Revenue", "now", "715") + fact("Debtors", "now", "–") + fact("Debtors", "lost", "9"), years)
+    rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in (("Statement of income", ""), ("Sales", "8,100 7,900"), ("Balance sheet", ""), ("Current assets", ""), ("Cash in hand", "2,600 1,400")))
+    placed = '<div><div style="top: 20.02px; left: 60px">3,905 3,300</div><div style="top:20px;left:2px">Debtors</div></div>'
+    hidden = "<html><ix:header>secret</ix:header><style>p{}</style><p>shown  text</p><br/>more</html>"
+    docs = spark.createDataFrame([(1, tagged), (2, f"<table>{rows}</table>{placed}"), (3, ""), (4, None), (5, hidden), (6, "<![if odd"), (7, "<div/><p>a<b>")], "doc_id long, html string")
+    parsed = facts.read_documents(docs)
+    got = {r["doc_id"]: r for r in facts.document_figures(parsed).collect()}
+    assert (got[1]["turnover"], got[1]["prior_turnover"], got[1]["period_end"], got[1]["months"], got[1]["debtors"], got[1]["currency"]) == (715, 640, "2025-12-31", 12, 0, "EUR")
+    assert (got[2]["turnover"], got[2]["prior_turnover"], got[2]["cash"], got[2]["debtors"], got[2]["method"]) == (8100, 7900, 2600, 3905, "iXBRL table (untagged)")
+    assert all(got[k]["turnover"] is None for k in (3, 4, 5, 6, 7)) and set(got) == set(range(1, 8))
+    assert parsed.filter("doc_id = 5").first()["text"] == "shown  text more"
+
+
+def test_statement_units_are_those_of_its_rows(spark):
+    """Units above a heading don't count below it, and an unreadable current-assets part gives way to the next heading."""
+    rows = ["£000", "Income statement", "Turnover 5,000 4,000", "Balance sheet", "Current assets", "Debtors", "Balance sheet (company)", "Debtors 700 650"]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(rows)], "doc_id int, line_no int, line string")
+    from ledgermill import constants as K
+
+    assert L.statement_figures(lines, K.TURNOVER_LABEL, K.STATEMENT_HEADING).first()["current"] == 5000
+    assert L.statement_figures(lines, K.DEBTORS_LABEL, K.BALANCE_HEADING, balance=True).first()["current"] == 700
 
 
 def test_context_rank(spark):
-    rows = [(False, [], 0), (True, ["a:ConsolidatedGroup"], 1), (True, ["a:CurrentFinancialInstruments"], 2), (True, ["a:NonCurrentFinancialInstruments"], None), (True, ["b:WithinOneYear", "c:Consolidated"], 2), (True, [], None), (None, None, 0)]
+    rows = [(False, [], 0), (True, ["x:ConsolidatedMember"], 1), (True, ["x:CurrentFinancialInstruments"], 2), (True, ["x:NonCurrentFinancialInstruments"], None), (True, ["y:CreditorsWithinOneYear", "z:ConsolidatedX"], 2), (True, [], None), (None, None, 0)]
     df = spark.createDataFrame(rows, "d boolean, m array<string>, want int")
     assert all(r["x"] == r["want"] for r in df.select(facts.context_rank(F.col("d"), F.col("m")).alias("x"), "want").collect())
 
 
 def test_pages(spark):
-    text = {0: "Example Ltd\nProfit and Loss Account\nNote 2025 2024\n£ £\nSales 3 812,400 790,100", 1: "Balance Sheet\n£000 £000\nCurrent assets\nDebtors 4,210 3,900\nCash 1,050 990", 2: "Notes to the financial statements (continued)\nBalance sheet\nCash 999,999"}
+    text = {0: "Quillfeather\nStatement of income\nNote 2025 2024\n£ £\nTurnover 4 61,300 60,010", 1: "Balance sheet\n£000 £000\nCurrent assets\nDebtors 880 790\nCash in hand 310 290", 2: "Notes to the accounts\nBalance sheet\nCash 77,777"}
     rows = [(1, p, 3, t, "PDF text") for p, t in text.items()] + [(2, 0, 1, None, "PDF text")]
+    rows += [(3, p, 20, "Income statement\nSales 900" if p == 1 else "Balance sheet\nCash 550" if p == 17 else "x", "PDF text") for p in range(20)]
     df = spark.createDataFrame(rows, "doc_id int, page int, n_pages int, text string, method string")
     got = {r["doc_id"]: r for r in pages.page_figures(df).collect()}
-    assert (got[1]["turnover"], got[1]["prior"], got[1]["cash"], got[1]["debtors"], got[1]["page"]) == (812400, 790100, 1050000, 4210000, 1)
+    assert (got[1]["turnover"], got[1]["prior"], got[1]["cash"], got[1]["debtors"], got[1]["page"], got[1]["currency"]) == (61300, 60010, 310000, 880000, 1, "GBP")
     assert got[2]["turnover"] is None and got[2]["pages_checked"] == 1
+    near = {r["doc_id"]: r for r in pages.page_figures(df, balance_reach=pages.REACH).collect()}
+    assert got[3]["cash"] == 550 and near[3]["turnover"] == 900 and near[3]["cash"] is None  # 16 pages on
+    assert pages.page_figures(df, max_pages=1).filter("doc_id = 1").first()["cash"] is None
     order = spark.range(200).select(pages.reading_order(F.col("id").cast("int"), F.lit(200)).alias("o"), "id").orderBy("o").collect()
     assert order[0]["id"] == 50 and [r["o"] for r in order] == list(range(200))
 
 
 def test_boxes(spark):
-    rows = [(1, 0, 10.0, 5.0, 10.0, "left"), (1, 0, 12.0, 50.0, 10.0, "right"), (1, 0, 30.0, 5.0, 10.0, "below")]
+    rows = [(1, 0, 40.0, 9.0, 8.0, "upper"), (1, 0, 42.0, 70.0, 8.0, "end"), (1, 0, 40.0, 3.0, 8.0, "far"), (1, 0, 60.0, 9.0, 30.0, "low")]
     got = L.box_rows(spark.createDataFrame(rows, "doc_id int, page int, y_mid double, x_left double, height double, text string")).orderBy("row_no").collect()
-    assert [(r["line"], r["first"]) for r in got] == [("left right", "left"), ("below", "below")]
+    assert [(r["line"], r["first"]) for r in got] == [("far upper end", "far"), ("low", "low")]
 
 
 def test_latest_accounts(spark):
-    rows = [("1", "2025-01-01", "SH03", "Shares", 0), ("1", "2024-05-01", "AA", "  interim accounts", 1), ("1", "2024-01-01", "AA", "Full accounts made up to 1 May 2023 View PDF", 2), ("1", "2024-01-01", "AAMD", "Later", 3), ("2", "2025-01-01", "SH03", None, 0)]
+    rows = [("7", "2026-02-01", "CH01", "Change", 0), ("7", "2025-09-01", "AA", "\tInitial accounts", 1), ("7", "2025-03-01", "AAMD", "Amended accounts made up to 3 May 2024 View PDF", 2), ("7", "2025-03-01", "AA", "Later", 3), ("8", "2026-01-01", "CH01", None, 0)]
     df = spark.createDataFrame(rows, "company_number string, filed_on string, type string, description string, pos int").withColumn("filed_on", F.to_date("filed_on"))
     for newest in (500, None):
         (got,) = filings.latest_accounts(df, newest).collect()
-        assert (got["company_number"], got["pos"], got["description"]) == ("1", 2, "Full accounts made up to 1 May 2023")
+        assert (got["company_number"], got["pos"], got["description"]) == ("7", 2, "Amended accounts made up to 3 May 2024")
     assert filings.latest_accounts(df, 2).count() == 0
+    numbered = lists.newest_first(df.drop("pos")).filter("company_number = '7'").orderBy("pos").collect()
+    assert [(r["pos"], r["type"]) for r in numbered] == [(0, "CH01"), (1, "AA"), (2, "AA"), (3, "AAMD")]
 
 
 def test_controllers(spark):
-    psc = spark.createDataFrame([("1", 2, "Mrs  New Owner", "Active", ""), ("1", 1, "Holdco Limited", None, "Legal form X"), ("1", 0, "Old", "CEASED", None), ("2", 0, "Gone", "", "Ceased on 1 May")], "company_number string, idx int, psc_name string, status_tag string, block_text string")
-    rows = spark.createDataFrame([("1", "ACME LIMITED"), ("2", "B PLC"), ("3", "C")], "company_number string, company_name string")
+    psc = spark.createDataFrame([("7", 2, "Dame  Ada Nwosu", "Active", ""), ("7", 1, "Parent Ltd", None, "Registration number 9"), ("7", 0, "Gone", "ceased", None), ("8", 0, "Left", "", "x Ceased on 2 June")], "company_number string, idx int, psc_name string, status_tag string, block_text string")
+    rows = spark.createDataFrame([("7", "QUILL & CO LIMITED"), ("8", "B PLC"), ("9", "C")], "company_number string, company_name string")
     got = {r["company_number"]: r for r in filings.with_controllers(rows, psc).select("*", report.psc_cell(F.col("pscs")).alias("cell"), report.search_text(F.col("company_name"), F.col("pscs")).alias("t"), report.search_url(F.col("company_name"), F.col("pscs")).alias("u")).collect()}
-    assert got["1"]["cell"] == "Holdco Limited; Mrs New Owner" and got["1"]["t"] == "ACME + Mrs New Owner + LinkedIn" and got["1"]["u"].endswith("q=ACME+New+Owner+LinkedIn")
-    assert got["2"]["cell"] == "none registered" == got["3"]["cell"]
+    assert got["7"]["cell"] == "Parent Ltd; Dame Ada Nwosu" and got["7"]["t"] == "QUILL & CO + Dame Ada Nwosu + LinkedIn" and got["7"]["u"].endswith("q=QUILL+%26+CO+Ada+Nwosu+LinkedIn")
+    assert got["8"]["cell"] == "none registered" == got["9"]["cell"]
 
 
 def test_matching(spark):
-    reg = spark.createDataFrame([("00000001", "TESCO PLC"), ("00000002", "ACME TRADING LIMITED"), ("00000003", "ACME TRADINGS LIMITED")], "company_number string, company_name string")
-    rows = spark.createDataFrame([(1, "Tesco", "1"), (2, "Other Name Co", "1"), (3, "x", "99"), (4, "The Tesco Ltd", None), (5, "Acme Trading", ""), (6, "Zxqv", None), (7, None, None)], "row_no int, name string, number string")
+    reg = spark.createDataFrame([("00000011", "QUILLFEATHER PLC"), ("00000012", "HARBOUR BOATS LIMITED"), ("00000013", "HARBOUR BOATZ LIMITED")], "company_number string, company_name string")
+    rows = spark.createDataFrame([(1, "Quillfeather", "11"), (2, "Someone Else", "11"), (3, "x", "98"), (4, "The Quillfeather Ltd", None), (5, "Harbour Boats", ""), (6, "Vwxyz", None), (7, None, None), (8, "Boats Harbour", None)], "row_no int, name string, number string")
     keyed = match.with_keys(rows)
     by_number = {r["row_no"]: r for r in match.match_numbers(keyed, reg).collect()}
-    assert by_number[1]["match_note"] is None and "belongs to TESCO PLC" in by_number[2]["match_note"] and "00000099 not on the register" in by_number[3]["match_note"]
+    assert by_number[1]["match_note"] is None and by_number[2]["match_note"] == "the number belongs to QUILLFEATHER PLC, check it matches 'Someone Else'" and by_number[3]["match_note"] == "company number 00000098 not on the register"
     by_name = {r["row_no"]: r for r in match.match_names(keyed, reg).collect()}
-    assert by_name[4]["company_number"] == "00000001" and by_name[5]["ambiguous"] and by_name[6]["company_number"] is None and set(by_name) == {4, 5, 6}
-
-
-def test_summary(spark):
-    got = {r["status"]: r["companies"] for r in report.status_summary(spark.createDataFrame([("FOUND",), ("FOUND",), ("ERROR",)], "turnover_status string")).collect()}
+    assert by_name[4]["company_number"] == "00000011" and by_name[5]["ambiguous"] and by_name[5]["company_number"] == "00000012" and by_name[6]["company_number"] is None and by_name[8]["score"] == 100
+    assert set(by_name) == {4, 5, 6, 8} and {r["row_no"] for r in match.unmatched(keyed, reg).collect()} == {3}
+
+
+def test_candidates_lose_no_match(spark):
+    """Every pair that reaches the threshold by brute force is a candidate: names with edits and swapped words, short ones, and common words only."""
+    rng = random.Random(4)
+    words = ["HOLDINGS", "GROUP", "NORTH", "SOUTH", "MILL", "MILLS", "AB", "QX", "ESTATES", "ESTATE", "ÉTOILE", "A", "12", "HOLDING"]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(120)} | {"".join(rng.choices("ABC ", k=rng.randint(1, 9))).strip() or "Z" for _ in range(40)})
+    typed = {" ".join(n.split()) for n in names[::3]}
+    for n in names:
+        letters = list(n)
+        for _ in range(rng.randint(1, 3)):
+            p = rng.randrange(len(letters) + 1)
+            letters[p : p + rng.randint(0, 1)] = rng.choice([["X"], [], ["E"]])
+        typed.add(" ".join("".join(letters).split()) or "Z")
+    reg = spark.createDataFrame([(f"{k:08d}", n) for k, n in enumerate(names)], "company_number string, company_name string")
+    found = {(r["searched"], r["registered"]) for r in match.candidates(spark.createDataFrame([(t,) for t in typed], "searched string"), reg).collect()}
+    from ledgermill.functions.text import normalised_name
+
+    normal = [r["n"] for r in reg.select(normalised_name(F.col("company_name")).alias("n")).collect()]
+    want = {(t, n) for t in typed for n in normal if match.similarity(t, n) >= 90 and n}
+    assert len(want) > 100 and want <= found
+
+
+def test_summary(spark, tmp_path):
+    rows = spark.createDataFrame([("FOUND", 2), ("FOUND", 0), ("ERROR", None)], "turnover_status string, keyword_count int")
+    got = {r["status"]: r["companies"] for r in report.status_summary(rows).collect()}
     assert got == {"FOUND": 2, "ERROR": 1, "VERIFY": 0, "NOT DISCLOSED": 0, "CHECK PDF": 0, "NOT FOUND": 0, "Total": 3}
+    sinks.write_summary(rows, str(tmp_path / "s"), keywords=["VAT", "rent"])
+    lines = [tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).orderBy("pos").collect()]
+    assert lines[-2:] == [(7, "Keywords", 1, "companies whose accounts mention at least one keyword"), (8, None, None, "Searched for 2: VAT, rent")] and len(lines) == 9
 
 
 def test_decisions(spark):
     names = [re.split(r"\s+", c.strip())[0] for c in report.JOINED.split(",")]
     base = dict.fromkeys(names) | {"row_no": 1, "number_key": "1", "company_number": "1", "company_name": "A"}
-    filed = base | {"accounts_type": "Full accounts made up to 31 March 2020", "pdf_url": "p", "has_pages": True, "pg_method": "PDF text", "pg_page": 3}
+    filed = base | {"accounts_type": "Full accounts made up to 30 June 2019", "pdf_url": "p", "has_pages": True, "pg_method": "PDF text", "pg_page": 6}
     cases = [
         (base | {"failed": True}, "ERROR", "source failed"), (base | {"company_number": None, "match_note": "company number 1 not on the register"}, "NOT FOUND", "not on the register"), (base | {"last_accounts": ""}, "NOT DISCLOSED", "new company"),
-        (base, "NOT DISCLOSED", "no accounts filed"), (base | {"last_accounts": "1 May 2024"}, "CHECK PDF", "weren't found"), (filed | {"has_xhtml": True, "ix_turnover": 5.0, "ix_months": 18}, "FOUND", "cover 18 months"),
+        (base, "NOT DISCLOSED", "no accounts filed"), (base | {"last_accounts": "4 May 2023"}, "CHECK PDF", "weren't found"), (filed | {"has_xhtml": True, "ix_turnover": 5.0, "ix_months": 17}, "FOUND", "cover 17 months"),
         (filed | {"has_xhtml": True, "accounts_type": "Micro accounts"}, "NOT DISCLOSED", "micro"), (filed | {"pdf_url": None}, "CHECK PDF", "no downloadable"), (filed | {"has_pages": False}, "CHECK PDF", "couldn't be downloaded"),
-        (filed | {"pg_turnover": 7.0, "pg_method": "PDF scan (OCR)"}, "VERIFY", "read by OCR from page 3"), (filed | {"pg_turnover": 7.0, "pg_currency": "EUR"}, "FOUND", "figures are in EUR"), (filed | {"accounts_type": "Dormant accounts"}, "NOT DISCLOSED", "dormant"),
-        (filed | {"has_xhtml": True}, "NOT DISCLOSED", "not shown"), (filed | {"pg_checked": 9}, "CHECK PDF", "found in 9 pages"),
+        (filed | {"pg_turnover": 7.0, "pg_method": "PDF scan (OCR)"}, "VERIFY", "read by OCR from page 6"), (filed | {"pg_turnover": 7.0, "pg_currency": "EUR"}, "FOUND", "figures are in EUR"), (filed | {"accounts_type": "Dormant accounts"}, "NOT DISCLOSED", "dormant"),
+        (filed | {"has_xhtml": True}, "NOT DISCLOSED", "not shown"), (filed | {"pg_checked": 9}, "CHECK PDF", "found in 9 pages"), (filed | {"pg_problem": "it can't be opened"}, "CHECK PDF", "it can't be opened"),
+        (filed | {"scanned_skipped": True}, "CHECK PDF", "scanned PDF not read"), (base | {"company_number": None, "number_key": "", "name": " "}, "NOT FOUND", "no company name or number"),
     ]
     df = spark.createDataFrame([tuple((c | {"row_no": k})[n] for n in names) for k, (c, _, _) in enumerate(cases)], report.JOINED)
     got = report.output_rows(report.decided(df, F.to_date(F.lit("2025-01-01")))).orderBy("row_no").collect()
     for r, (_, status, note) in zip(got, cases, strict=True):
         assert r["turnover_status"] == status and note in r["note"], r
-    assert "over 2 years old (31 March 2020)" in got[10]["note"]
+    assert "over 2 years old (30 June 2019)" in got[10]["note"]
+
+
+STATEMENT = "Income statement\nNote £000\nTurnover 3 410 390"
+BALANCE = "Balance sheet\nCurrent assets\nCash in hand 4,100 3,900\nDebtors 8 6,200 5,100"
+
+
+@pytest.fixture(scope="module")
+def job(spark):
+    """Companies 1 to 12, a row of the status table each, and tables that the whole job reads."""
+    filed = {  # number: (description, electronic document, page document)
+        4: ("Full accounts", "x4", "p4"), 5: ("Micro accounts", "x5", "p5"), 6: ("Full accounts", None, None), 7: ("Full accounts", "gone", "lost"), 8: ("Full accounts", None, "p8"), 9: ("Full accounts", None, "p9"),
+        10: ("Dormant accounts", None, "p10"), 11: ("Full accounts", "x11", "p11"), 12: ("Full accounts", None, "p12"), 13: ("Full accounts", "x13", None), 14: ("Full accounts", None, "p14"),
+    }
+    last = {1: "", 2: None, 3: "1 May 2025"}
+    n = lambda k: f"{k:08d}"
+    register = spark.createDataFrame([(n(k), f"COMPANY {'ABCDEFGHIJKLMN'[k - 1] * 6} LIMITED", "Active" if k != 6 else "Liquidation", last.get(k, "1 May 2025"), k == 7) for k in range(1, 15)], "company_number string, company_name string, company_status string, last_accounts string, accounts_overdue boolean")
+    psc = spark.createDataFrame([(n(4), 0, "Ada Nwosu", "Active", "")], "company_number string, idx int, psc_name string, status_tag string, block_text string")
+    history = [(n(k), "2025-06-01", "AA", f"{d} made up to 31 December 2024 View PDF", x, p, 1) for k, (d, x, p) in filed.items()] + [(n(3), "2026-01-01", "CH01", "Change", None, None, 0), (n(4), "2020-06-01", "AA", "Full accounts", "x5", None, 2)]
+    filings_ = spark.createDataFrame(history, "company_number string, filed_on string, type string, description string, xhtml_url string, pdf_url string, pos int").withColumn("filed_on", F.to_date("filed_on"))
+    now = [("c", "2023-07-01", "2024-12-31", "")]
+    html = [(4, "x4", document(fact("TurnoverRevenue", "c", "77"), now) + "<p>VAT and rent</p>"), (5, "x5", "<p>VAT</p>" + fact("Debtors", "c", "5")), (11, "x11", "<p>none of them</p>"), (13, "x13", "<p>rent</p>")]
+    documents = spark.createDataFrame(html, "doc_id long, url string, html string")
+    text = {8: (STATEMENT, "PDF text"), 9: (STATEMENT, "PDF scan (OCR)"), 10: ("x", "PDF text"), 11: ("y", "PDF text"), 12: (BALANCE + " VAT rent", "PDF scan (OCR)"), 4: ("VAT VAT", "PDF text"), 14: (None, None)}
+    page_rows = [(k, f"p{k}", p, 2, t if p == 0 else BALANCE, m, "it can't be opened" if k == 14 else None) for k, (t, m) in text.items() for p in (0, 1)]
+    pages_ = spark.createDataFrame(page_rows, "doc_id long, url string, page int, n_pages int, text string, method string, problem string")
+    listed = [(k, None, str(k)) for k in range(1, 15)] + [(20, "company dddddd ltd", None), (21, "Company DDDDDD", "4"), (22, " ", ""), (23, None, "99"), (24, "4", "4")]
+    companies = spark.createDataFrame(listed, "row_no long, name string, number string")
+
+    def run(**options):
+        return {r["row_no"]: r for r in company.company_results(companies, register, psc, filings_, documents, pages_, as_of=F.to_date(F.lit("2025-10-01")), **options).collect()}
+
+    return run
+
+
+def test_whole_job(job):
+    got = job()
+    status = {k: r["turnover_status"] for k, r in got.items()}
+    want = {1: "NOT DISCLOSED", 2: "NOT DISCLOSED", 3: "CHECK PDF", 4: "FOUND", 5: "NOT DISCLOSED", 6: "CHECK PDF", 7: "CHECK PDF", 8: "FOUND", 9: "VERIFY", 10: "NOT DISCLOSED", 11: "NOT DISCLOSED", 12: "CHECK PDF", 13: "CHECK PDF", 14: "CHECK PDF", 20: "FOUND", 21: "FOUND", 22: "NOT FOUND", 23: "NOT FOUND", 24: "FOUND"}
+    assert status == want
+    notes = {1: "no accounts filed yet", 2: "no accounts filed", 3: "made up to 1 May 2025 exist", 4: "these accounts cover 18 months", 5: "micro-entity", 6: "no downloadable document; company status: Liquidation", 7: "couldn't be downloaded; accounts overdue", 9: "read by OCR from page 1", 10: "dormant", 11: "turnover not shown"}
+    notes |= {12: "no turnover line found in 2 pages", 13: "no downloadable", 14: "it can't be opened", 22: "no company name or number", 23: "company number 00000099 not on the register", 24: "check it matches '4'"}
+    assert all(x in got[k]["note"] for k, x in notes.items())
+    assert (got[4]["turnover"], got[4]["currency"], got[4]["period_end"], got[4]["psc"]) == (77, "EUR", "2024-12-31", "Ada Nwosu") and "figures are in EUR" in got[4]["note"]
+    assert (got[8]["turnover"], got[8]["prior_turnover"], got[8]["cash"], got[8]["debtors"], got[8]["period_end"]) == (410000, 390000, 4100, 6200, "2024-12-31")
+    assert got[11]["cash"] == 4100 and got[5]["cash"] is None  # pages are read for the first alone
+    assert got[20]["company_number"] == "00000004" and got[22]["company_number"] is None and got[23]["psc"] is None and all(r["keywords"] is None for r in got.values())
+
+
+def test_whole_job_with_keywords(job):
+    got = job(keywords=["VAT", "rent"])
+    assert {k: got[k]["keywords"] for k in (1, 4, 5, 6, 8, 11, 12, 13, 14)} == {1: None, 4: "VAT (1), rent (1)", 5: "VAT (1)", 6: None, 8: "none found", 11: "none found", 12: "VAT (1), rent (1)", 13: "rent (1)", 14: None}
+    assert got[4]["keyword_count"] == 2 and got[12]["note"].endswith("cash and debtors read by OCR, check them against the PDF")
+    few = job(keywords=["VAT"], max_pages=1)
+    assert "keywords searched in 1 of 2 pages (page limit)" in few[8]["note"] and few[8]["cash"] is None and "page limit" not in (few[4]["note"] or "")
+    skipped = job(keywords=["VAT"], ocr_keywords=False)
+    assert "keyword search of scanned PDFs is turned off" in skipped[9]["note"] and skipped[9]["turnover"] == 410000 and skipped[12]["keywords"] == "none found"
+    unread = job(keywords=["VAT"], read_scanned=False)
+    assert unread[9]["turnover_status"] == "CHECK PDF" and "scanned PDF not read" in unread[9]["note"] and "scanned-PDF reading is turned off" in unread[12]["note"]
+
+
+def test_write_results(spark, job, tmp_path):
+    rows = spark.createDataFrame(list(job().values()), "row_no long, company_name string, company_number string, turnover_status string, turnover double, prior_turnover double, cash double, debtors double, currency string, period_end string, accounts_type string, psc string, search_text string, search_url string, keyword_count int, keywords string, note string, accounts_pdf string")
+    sinks.write_results(rows, str(tmp_path / "c"), "csv")
+    back = spark.read.option("header", True).csv(str(tmp_path / "c")).collect()
+    assert [int(r["row_no"]) for r in back] == sorted(int(r["row_no"]) for r in back) and back[0]["note"].startswith("no accounts filed yet")
+    sinks.write_results(rows, str(tmp_path / "p"), by_status=True)
+    assert spark.read.parquet(str(tmp_path / "p")).filter("turnover_status = 'FOUND'").count() == 5
 
 
 def test_read_list(spark, tmp_path):
-    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
-    a.write_bytes("My list;\n;\nCompany Name;Company Reg No\nCafé Nero Group Ltd;05000000\n;\nTesco;445790\n".encode("cp1252"))
-    b.write_bytes("﻿name,number\nTesco,1\n".encode())
-    assert [(r["name"], r["number"]) for r in lists.read_list(spark, str(a)).orderBy("row_no").collect()] == [("Café Nero Group Ltd", "05000000"), ("Tesco", "445790")]
-    assert [(r["name"], r["number"]) for r in lists.read_list(spark, str(b)).collect()] == [("Tesco", "1")]
-    assert lists.guess(["Ref", "Company Name", "Company Reg No"], lists.NUMBER_WORDS) == "Company Reg No"
+    a, b, c, d, e = (tmp_path / f"{x}.csv" for x in "abcde")
+    a.write_bytes("Title of it;\n;\nCompany Name;Company Reg No\nBrûlée Bakers;07000001\n;\nQuill;7123456\n".encode("cp1252"))
+    b.write_bytes("﻿name,number\nQuill,1\n\"two, \"\"x\"\"\nlines\",2\n".encode())
+    c.write_bytes(b"name|number\n" + b"".join(b"Row %d|%d\n" % (k, k) for k in range(900)) + "Euro € Café|5\n".encode("cp1252"))  # the only such bytes are far down
+    d.write_bytes(b"")
+    e.write_bytes(b"first,second\n1,2\n")
+    rows = lambda p: [(r["name"], r["number"]) for r in lists.read_list(spark, str(p)).orderBy("row_no").collect()]
+    assert rows(a) == [("Brûlée Bakers", "07000001"), ("Quill", "7123456")]
+    assert rows(b) == [("Quill", "1"), ('two, "x"\nlines', "2")]
+    assert rows(c)[-1] == ("Euro € Café", "5") and len(rows(c)) == 901
+    assert rows(d) == [] and rows(e) == []  # nothing to pick
+    assert [(r["name"], r["number"]) for r in lists.read_list(spark, str(e), name="SECOND ", number="first").collect()] == [("2", "1")]
+    with pytest.raises(ValueError, match="no column"):
+        lists.read_list(spark, str(e), name="third")
+    assert lists.guess(["Id", "Trading name", "CRN"], lists.NUMBER_WORDS) == "CRN"
+
+
+def test_split_pages(spark):
+    got = lists.split_pages(spark.createDataFrame([(1, "a\fb\f"), (2, None)], "doc_id int, text string")).orderBy("doc_id", "page").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 0, "a"), (1, 3, 1, "b"), (1, 3, 2, ""), (2, 1, 0, "")]
