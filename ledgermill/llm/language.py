@@ -4,8 +4,12 @@ A line of text is a chain of words. Features of a word are its beginning and end
 to ``BUCKETS`` weights for each language; transitions between the languages of neighbours are learnt too. Forward-backward labels every word, so texts that
 switch languages get a label a word; a text's language is the one with the greatest sum of its words' marginals.
 
-The field is fitted by AdaGrad on a bounded sample: at most ``SAMPLE_DOCS`` labelled documents a language of at most ``SAMPLE_CHARS`` code points each,
-drawn by a hash over all of them, whose word runs are also joined at random to code-switched chains of ``CHAIN`` words.
+The field is fitted by AdaGrad on a bounded sample of labelled documents, whose word runs are also joined at random to code-switched chains of ``CHAIN``
+words: at most ``SAMPLE_DOCS`` documents a language and ``SAMPLE_TOTAL`` in all, but one at least of each, drawn by a hash over all documents of a language; of
+a longer document, a stretch of ``SAMPLE_CHARS`` code points. The ``LANGUAGES`` most frequent languages are learnt, which bounds the model.
+
+Forward-backward is exact for lines of any length: a line longer than a block is worked on block by block at once, with the product of its transition
+matrices carried from block to block.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Chunk, documents, held_out, ragged, text_chunks
 
-BUCKETS, SAMPLE_DOCS, SAMPLE_CHARS, CHAIN, CHAINS, EPOCHS, STEP = 1 << 16, 300, 20_000, 40, 4000, 3, 0.15
+BUCKETS, CHAIN, CHAINS, EPOCHS, STEP = 1 << 16, 40, 4000, 3, 0.15
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS, LANGUAGES = 300, 2400, 20_000, 256
 UNKNOWN = "und"
 
 
@@ -71,14 +77,65 @@ class Words:
         return np.stack([np.bincount(self._all, weights=by_word[self._owner, c], minlength=BUCKETS) for c in range(by_word.shape[1])], 1)
 
 
-def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarray, pairs: bool = False):
-    """Marginals of each word's label for chains ``emit[start:end]`` (log scores), each word in one chain; with ``pairs``, also the expected transitions."""
+def _normal(a: np.ndarray) -> np.ndarray:
+    """Each entry of the first axis divided by its sum."""
+    total = a.sum(axis=tuple(range(1, a.ndim)), keepdims=True)
+    return a / np.maximum(total, 1e-300)
+
+
+def _blocks(size: np.ndarray, labels: int, block: int) -> int:
+    """Words of a block, at least ``block``: so many that the transition matrices of all blocks of long chains stay small."""
+    long = int(size[size > block].sum()) if len(size) else 0
+    return max(block, long * labels**2 >> 22)
+
+
+def _carried(score: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks of chains in order, the forward vector just before each and the backward vector just after it; zeros where its chain begins or ends."""
+    n, labels = len(start), step.shape[0]
+    through = np.repeat(np.eye(labels)[None], n, axis=0)  # from before a block to its last word
+    for t in range(int(size.max())):
+        at = np.flatnonzero(size > t)
+        through[at] = _normal((through[at] @ step) * score[start[at] + t][:, None, :])
+    first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))  # these have no transition before their first word
+    ends = score[start[first]]
+    for t in range(1, int(size[first].max())):
+        ends = _normal((ends @ step) * score[start[first] + t])  # a first block of a long chain is full
+    before, after = np.zeros((n, labels)), np.zeros((n, labels))
+    before[first[first + 1 < n] + 1] = _normal(ends[first + 1 < n])
+    for k in range(1, n):
+        if chain[k] == chain[k - 1]:
+            if k > 1 and chain[k - 2] == chain[k]:
+                before[k] = before[k - 1] @ through[k - 1]
+                before[k] /= before[k].sum()
+        else:
+            before[k] = 0
+    for k in range(n - 2, -1, -1):
+        if chain[k] == chain[k + 1]:
+            after[k] = through[k + 1] @ (after[k + 1] if after[k + 1].any() else np.ones(labels))
+            after[k] /= after[k].sum()
+    return before, after
+
+
+def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarray, pairs: bool = False, block: int = 1024):
+    """Marginals of each word's label for chains ``emit[start:end]`` (log scores), each word in one chain; with ``pairs``, also the expected transitions.
+    Chains of more than ``block`` words are worked on in blocks at once, unless ``pairs`` are asked for."""
     n, labels = emit.shape
     if not n or not labels:
         return (emit, np.zeros((labels, labels))) if pairs else emit
     score = np.exp(emit - emit.max(1, keepdims=True))
     step = np.exp(moves - moves.max())
     size = end - start
+    before = after = None
+    if not pairs and size.max() > (block := _blocks(size, labels, block)):
+        count = -(-size // block)
+        chain = np.repeat(np.arange(len(size)), count)
+        place = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+        begin = start[chain] + place * block
+        size = np.minimum(block, end[chain] - begin)
+        start = begin
+        cut = np.flatnonzero(count[chain] > 1)
+        before, after = np.zeros((len(start), labels)), np.zeros((len(start), labels))
+        before[cut], after[cut] = _carried(score, step, start[cut], size[cut], chain[cut])
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # chains longer than t
@@ -86,15 +143,25 @@ def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, moves
     a = None
     for t, m in enumerate(alive.tolist()):
         at = start[:m] + t
-        a = score[at] if a is None else (a[:m] @ step) * score[at]
-        a /= a.sum(1, keepdims=True)
+        if a is None:
+            a = score[at]
+            if before is not None:
+                inside = np.flatnonzero(before[order].any(1))
+                a[inside] = (before[order[inside]] @ step) * a[inside]
+        else:
+            a = (a[:m] @ step) * score[at]
+        a = a / a.sum(1, keepdims=True)
         ahead[at] = a
     expected = np.zeros((labels, labels))
+    last = np.ones((len(start), labels))
+    if after is not None:
+        inside = np.flatnonzero(after[order].any(1))
+        last[inside] = after[order[inside]]
     b = np.zeros((0, labels))
     for t in range(len(alive) - 1, -1, -1):
         m = int(alive[t])
         at = start[:m] + t
-        new = np.ones((m, labels))
+        new = last[:m].copy()
         if len(b):
             later = score[at[: len(b)] + 1] * b
             if pairs:
@@ -168,17 +235,25 @@ def train(texts: list[tuple[str, str]]) -> Field:
     return Field(labels, weights.astype(np.float32), moves)
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``text, lang`` of the bounded sample that :func:`fit` learns from: of the rows with a language that aren't held out, those of the least draws in each
+    language. All rows are drawn from, long ones too; only a few times the sample is sorted."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\S") & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    each = min(SAMPLE_DOCS, max(1, SAMPLE_TOTAL // max(1, len(counts))))
+    # a draw of 63 bits; of n rows, those below this share hold the least `each` but for a chance of less than one in 10**9
+    shares = {lang: min(1.0, (2 * each + 60) / n) for lang, n in counts.items()}
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, min(int(share * 2**63), 2**63 - 1))]), F.col("lang")) if shares else F.lit(-1)
+    drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).filter(F.col("draw") <= limit)
+    least = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).filter(F.col("n") <= each)
+    begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    return least.select(F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """A field from the rows of ``docs`` with a language that aren't held out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE_DOCS / n) * (1 << 20)) + 1).otherwise(share)
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") < share).orderBy("draw", "doc_id").limit(SAMPLE_DOCS * max(1, len(counts)))
-    return train([(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()])
+    """A field from the rows of ``docs`` with a language that aren't held out. Without one, a field without labels."""
+    return train([(r["text"], r["lang"]) for r in sample(docs, id_col, text_col, lang_col).collect()])
 
 
 def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +290,8 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, n_words, n_switches`` of all documents."""
+    """``doc_id, held_out, lang_pred, score, n_words, n_switches`` of all documents. Null texts and texts without a letter are ``und`` with score 0, whether or not
+    anything was learnt; null and repeated ids and repeated rows keep a row each; a null id is held out as the empty text is; an empty table gives no row."""
     docs = documents(spark, sf_dir)
     found = predict(docs, fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
