@@ -249,14 +249,14 @@ def repeats(texts, length):
         yield sum(gone), sum(1 for k in range(len(t)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 2])
 def test_suffix_dedup(docs, texts, crowd):
     got = {r["doc_id"]: r for r in suffix_dedup.deduped(docs, crowd=crowd).collect()}
     for i, want in zip(texts, repeats([t.encode() for t in texts.values()], 200), strict=True):
         assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 3])
 def test_suffix_dedup_of_shared_passages(spark, crowd):
     """Short alphabets, passages in different surroundings, periodic texts."""
     rng = random.Random(4)
@@ -290,6 +290,17 @@ def test_suffix_dedup_in_blocks(spark, block):
         assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
+def test_slices_merge_by_their_bytes():
+    """Strings that agree in all but their last byte stay apart; what two slices hold is named once for each."""
+    tuple_of = lambda strings, of: (suffix_dedup.fixed(b"".join(strings), 4), np.frombuffer(bytes([of]) * 16 * len(strings), np.uint8).reshape(-1, 16), np.arange(len(strings), dtype="<i4"))
+    a, b = tuple_of([b"aaa\0", b"aaab", b"xyz\0"], 1), tuple_of([b"aaa\1", b"aaab", b"xyz\0", b"zzzz"], 2)
+    merged, found = suffix_dedup.merge(a, b)
+    assert merged[0].tolist() == sorted(merged[0].tolist()) and len(merged[0]) == 5
+    assert sorted(found) == [(bytes([1]) * 16, 1), (bytes([1]) * 16, 2), (bytes([2]) * 16, 1), (bytes([2]) * 16, 2)]
+    again, more = suffix_dedup.merge(merged, tuple_of([b"aaab"], 3))
+    assert more == [(bytes([3]) * 16, 0)] and len(again[0]) == 5
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(7)
     for size in (1, 2, 50, 400):
@@ -305,54 +316,49 @@ def test_suffix_array_and_prefixes():
             assert shared[b] == n
 
 
-def test_line_dedup(docs, texts):
-    got = {r["doc_id"]: r for r in line_dedup.deduped(docs).collect()}
-    seen = set()
-    for i in sorted(texts):
-        raw = texts[i].encode()
-        c = Chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        start, end, _, lines = line_dedup.chunk_ends(c)
-        kept = []
-        for s, e, n in zip(start, end, lines, strict=True):
-            if n >= line_dedup.LEAST_LINES and raw[s:e] in seen:
-                continue
-            if n >= line_dedup.LEAST_LINES:
-                seen.add(raw[s:e])
-            kept.append(raw[s:e])
-        assert got[i]["kept_sha256"] == hashlib.sha256(b"\n".join(kept)).hexdigest()
-    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    assert all(hashlib.sha256(new[i].encode()).hexdigest() == got[i]["kept_sha256"] for i in texts)
-
-
-def test_op6_removes_every_repeated_run(spark, texts):
-    """Against brute force over runs of lines: those of documents with lesser ids, and earlier ones of the same document that don't overlap."""
-    got = {r["doc_id"]: r for r in queries.QUERIES["op6_line_dedup"](spark, SF).collect()}
-    seen, removed = set(), 0
-    for i in sorted(texts):
-        lines = texts[i].split("\n")
+def without_repeated_runs(rows):
+    """Of (id, text) pairs, what is left of each text and how many of its lines went: lines go in runs of two or more that a document with a lesser id has, or
+    that the text itself has further up without overlap."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
         both = list(zip(lines, lines[1:], strict=False))
         again = {k for k, p in enumerate(both) if p in seen or p in both[: max(0, k - 1)]}
         seen |= set(both)
         kept = [x for k, x in enumerate(lines) if not again & {k - 1, k}]
-        removed += len(lines) - len(kept)
-        assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
-        assert (got[i]["n_lines"], got[i]["n_removed_lines"]) == (len(lines), len(lines) - len(kept))
-    assert removed > 150
+        out[i] = ("\n".join(kept), len(lines) - len(kept))
+    return out
+
+
+def test_line_dedup(spark, docs, texts):
+    """The query and the texts against brute force over runs of lines."""
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_line_dedup"](spark, SF).collect()}
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    want = without_repeated_runs(texts.items())
+    for i, (left, gone) in want.items():
+        assert got[i]["kept_sha256"] == hashlib.sha256(left.encode()).hexdigest() and new[i] == left
+        assert (got[i]["n_lines"], got[i]["n_removed_lines"]) == (texts[i].count("\n") + 1, gone)
+    assert sum(gone for _, gone in want.values()) > 150
+
+
+@pytest.mark.parametrize("divisor", [1, 3, 50])
+def test_line_dedup_of_mixed_lines(spark, divisor):
+    """Few different lines in many orders, whatever the size of chunks."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "", "c d", "é"]) + str(rng.randrange(3)) for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    rows += [(40 + i, "\n".join(f"long {k}" for k in range(i, i + 30))) for i in range(0, 20, 3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), divisor=divisor).collect()}
+    assert got == {i: left for i, (left, _) in without_repeated_runs(rows).items()}
 
 
 def test_rows_without_an_id_lose_lines(spark):
-    """They lose to documents with an id, and keep nothing back."""
+    """They lose to documents with an id, and keep nothing back; rows with one id don't lose to each other."""
     passage = "\n".join(f"line {k * 7919 % 1000}" for k in range(40))
     other = "\n".join(f"row {k}" for k in range(40))
-    rows = [(5, passage), (None, passage), (None, passage + "\nend"), (None, other), (None, other)]
+    rows = [(5, passage), (None, passage), (None, passage + "\nend"), (None, other), (None, other), (7, "x\ny"), (7, "x\ny"), (9, "x\ny")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for found in (line_dedup.deduped(table), line_dedup.deduped_runs(table)):
-        lost = sorted((r["n_lines"], r["n_removed_lines"], r["doc_id"] is None) for r in found.collect())
-        assert [x for _, x, null in lost if not null] == [0]
-        assert sum(x > 0 for _, x, null in lost if null) == 2
-    assert sorted(r["n_removed_lines"] for r in line_dedup.deduped_runs(table).collect()) == [0, 0, 0, 40, 40]
-    left = sorted(len(r["text"]) for r in line_dedup.dedup_lines(table).collect())
-    assert sum(n < len(other) for n in left) == 2
+    lost = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed_lines"]) for r in line_dedup.deduped(table).collect())
+    assert lost == [(False, 5, 0), (False, 7, 0), (False, 7, 0), (False, 9, 2), (True, 0, 0), (True, 0, 0), (True, 0, 40), (True, 0, 40)]
 
 
 def test_line_chunks_resist_shifts():
@@ -511,8 +517,8 @@ def test_pipeline(spark, docs, texts):
             bad = {r["doc_id"] for r in queries.QUERIES["op9_quality"](spark, SF).filter("predicted = 0").collect()}
             assert bad and set(before) - set(now) == bad
         elif name == "line_dedup":
-            want = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.deduped(kept).collect()}
-            assert set(now) == set(before) and all(hashlib.sha256(r["text"].encode()).hexdigest() == want[i] and r["n_chars"] == len(r["text"]) for i, r in now.items())
+            want = without_repeated_runs((i, r["text"]) for i, r in before.items())
+            assert set(now) == set(before) and all(r["text"] == want[i][0] and r["n_chars"] == len(r["text"]) for i, r in now.items())
         elif name == "simhash":
             fp = {i: simhash.fingerprint(r["text"].encode()) for i, r in before.items()}
             root = reach(set(fp.values()), simhash.RADIUS)
