@@ -7,11 +7,16 @@ Two fingerprints within ``RADIUS`` bits of each other meet in a variant that lie
 Only different fingerprints are hashed. A variant with more than ``RUN`` of them isn't compared pair by pair: its fingerprints emit all 2,081 variants of
 their 64 bits, and whatever meets there is within the radius by construction, so each variant links its fingerprints to the least one. Both ways are
 complete, and both emit links in proportion to the fingerprints, not to pairs.
+
+:func:`similar` finds texts by the similarity of their shingle sets. At a similarity of 0.8, fingerprints differ in some 15 % of their bits, too many for a
+ball around all of them. So samples of a 128-bit fingerprint's bits are ball-hashed, as many as a stated recall takes; what collides is verified on all
+bits, and what is left on the sets of shingles themselves.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, save, text_buffer
+from .common import bit_table, documents, has_bit, mix, save, text_buffer
 from .components import components
 
 RADIUS, RUN, SHINGLE, SEED = 4, 256, 4, 42
@@ -161,16 +166,237 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return stored.join(found, stored["fp"] == found["g"]).select("doc_id", name.alias("fingerprint"), "component_id")
 
+# Similar texts: links of fingerprints are candidates, and their texts decide.
+
+STAGE_SHINGLE, STAGE_LEAST, RECALL, CROWD = 5, 0.8, 0.95, 64
+
+
+def differing(least: float) -> float:
+    """The share of bits in which two texts of similarity ``least`` differ: the angle of their shingle vectors over pi."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def most_bits(bits: int, least: float) -> int:
+    """Differing bits that two texts of similarity ``least`` stay within, but for one pair in a thousand."""
+    p = differing(least)
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+
+
+def sampling(n: int, least: float = STAGE_LEAST, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a sample, samples) for ``n`` fingerprints. A sample has so many bits that few unlike fingerprints meet on a variant of it, and there are so many
+    samples that two texts of similarity ``least`` are within 2 bits in one of them with probability ``recall``; texts that are more alike, more often."""
+    bits, p = min(60, max(12, n.bit_length() + 4)), differing(least)
+    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - near))
+
+
+def _shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    w = text.lower().split()
+    shingles = ([b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))) if w else ()
+    return np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], "<u8")
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each component: that of the least id, and of rows with equal ids, one. Rows with a null id
-    can't be named, so they stay."""
-    found = near_duplicates(docs, id_col, text_col, radius).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(found, F.col(id_col) == F.col("__kept"))
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_SHINGLE) -> DataFrame:
+    """``doc_id, text_key, a, b`` of every row: SimHash in 128 bits, of the shingles' hashes and of a mixture of these, and a hash of the text."""
+
+    def run(batches):
+        for b in batches:
+            buf, off = text_buffer(b.column(2))
+            hashes = [_shingle_hashes(buf[off[k] : off[k + 1]].tobytes(), words) for k in range(len(off) - 1)]
+            pairs = [(_majority(h), _majority(mix(h.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).astype("<u8"))) for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))], ["doc_id", "text_key", "a", "b"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, a long, b long")
+
+
+def _samples(bits: int, samples: int) -> np.ndarray:
+    """Which of the 128 bits each sample takes."""
+    rng = np.random.default_rng(17)
+    return np.stack([rng.permutation(128)[:bits] for _ in range(samples)])
+
+
+def _collisions(radius: int, crowd: int):
+    """Over rows ``key, node, fp`` sorted by key: pairs of nodes that meet on a key and whose ``fp`` are within ``radius`` bits. Of a key with more than ``crowd``
+    rows, all rows are compared with the first ``crowd`` and with those that no earlier one is near; each is linked to the three nearest of them."""
+
+    def result(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["i", "j"])
+
+    def near(x, y):
+        return np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+
+    def small(key, node, fp):
+        """All pairs of whole keys."""
+        ones, others, at, k = [], [], np.arange(len(key)), 1
+        while True:
+            at = at[at + k < len(key)]
+            at = at[key[at] == key[at + k]]
+            if not len(at):
+                break
+            met = at[near(fp[at], fp[at + k])]
+            ones.append(node[met])
+            others.append(node[met + k])
+            k += 1
+        return result(np.concatenate(ones), np.concatenate(others)) if ones else None
+
+    class Crowd:
+        def __init__(self, node, fp):
+            self.node, self.fp = node, fp
+
+        def add(self, node, fp):
+            for at in range(0, len(node), 4096):
+                n, f = node[at : at + 4096], fp[at : at + 4096]
+                apart = np.bitwise_count((f[:, None] ^ self.fp[None, :]).view(np.uint64)).astype(np.int16)
+                order = np.argsort(apart, axis=1, kind="stable")[:, :3]
+                row, place = np.nonzero(np.take_along_axis(apart, order, 1) <= radius)
+                yield result(n[row], self.node[order[row, place]])
+                lone = np.setdiff1d(np.arange(len(n)), row)
+                if len(lone):
+                    if (got := small(np.zeros(len(lone), np.int64), n[lone], f[lone])) is not None:
+                        yield got
+                    self.node, self.fp = np.append(self.node, n[lone]), np.append(self.fp, f[lone])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        crowded = None  # (its key, what it is compared with)
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            if crowded is not None:
+                n = int(np.searchsorted(held[0], crowded[0], side="right"))
+                yield from crowded[1].add(held[1][:n], held[2][:n])
+                held = [h[n:] for h in held]
+                if len(held[0]):
+                    crowded = None
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            yield from whole(*(h[:last] for h in held))
+            held = [h[last:] for h in held]
+            if len(held[0]) > crowd:
+                crowded = held[0][0], Crowd(held[1][:crowd], held[2][:crowd])
+                if (got := small(*(h[:crowd] for h in held))) is not None:
+                    yield got
+                yield from crowded[1].add(held[1][crowd:], held[2][crowd:])
+                held = [h[:0] for h in held]
+        yield from whole(*held)
+
+    def whole(key, node, fp):
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        few = np.repeat(size <= crowd, size)
+        if (got := small(key[few], node[few], fp[few])) is not None:
+            yield got
+        for s, n in zip(start[size > crowd].tolist(), size[size > crowd].tolist(), strict=True):
+            first = Crowd(node[s : s + crowd], fp[s : s + crowd])
+            if (got := small(key[s : s + crowd], node[s : s + crowd], fp[s : s + crowd])) is not None:
+                yield got
+            yield from first.add(node[s + crowd : s + n], fp[s + crowd : s + n])
+
+    return run
+
+
+def candidate_links(nodes: DataFrame, n: int, least: float = STAGE_LEAST, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
+    """``i, j``: pairs of stored, different ``node, a, b`` that meet by ball hashing: every sample of a fingerprint's bits emits its variants within 1 bit, two
+    within 2 bits meet on one, and are verified on 64 bits and then on all 128."""
+    bits, samples = sampling(n, least, recall)
+    places = _samples(bits, samples)
+
+    def keys(batches):
+        for batch in batches:
+            half = [batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)]
+            out = np.zeros((samples, batch.num_rows), np.uint64)
+            for s in range(samples):
+                for k, p in enumerate(places[s].tolist()):
+                    out[s] |= (half[p >> 6] >> np.uint64(p & 63) & np.uint64(1)) << np.uint64(k)
+            # the number of the sample and the bits' value, mixed: variants are told apart by it, and keys spread evenly
+            flat = out.T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * samples), pa.array(flat.ravel()))], ["node", "a", "keys"])
+
+    values = nodes.select("node", "a", "b").mapInArrow(keys, "node long, a long, keys array<long>")
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(bits))]])
+    each = values.select("node", "a", F.posexplode("keys").alias("s", "v")).select("node", "a", "s", "v", F.explode(flips).alias("m"))
+    variants = each.select(F.xxhash64("s", F.col("v").bitwiseXOR(F.col("m"))).alias("key"), "node", F.col("a").alias("fp"))
+    met = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_collisions(most_bits(64, least), crowd), "i long, j long")
+    pairs, _ = save(met.distinct(), "met")
+    side = lambda name: nodes.select(F.col("node").alias(f"__{name}"), F.col("a").alias(f"a_{name}"), F.col("b").alias(f"b_{name}"))
+    both = pairs.join(side("i"), F.col("i") == F.col("__i")).join(side("j"), F.col("j") == F.col("__j"))
+    apart = F.bit_count(F.col("a_i").bitwiseXOR(F.col("a_j"))) + F.bit_count(F.col("b_i").bitwiseXOR(F.col("b_j")))
+    return both.filter(apart <= most_bits(128, least)).select("i", "j")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``node, shingles``: sorted 32-bit hashes of the different shingles of one text of each of stored ``wanted`` (``node, text_key``)."""
+    table, bits = bit_table(wanted, "text_key")
+
+    def some(batches):
+        known = np.unpackbits(table, bitorder="little").view(bool)
+        for b in batches:
+            yield b.filter(pa.array(has_bit(known, bits, b.column(0).to_numpy())))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(t.encode(), words) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    near = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(some, "key long, text string")
+    one = near.groupBy("key").agg(F.first("text").alias("text"))  # of equal texts
+    return one.join(wanted, F.col("key") == F.col("text_key")).select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_SHINGLE, least: float = STAGE_LEAST, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, component_id`` of every row: the least id that it reaches over links of texts whose sets of shingles have a Jaccard similarity of ``least`` or
+    more. Fingerprints bring candidates, with probability ``recall`` or more for each such pair; the sets themselves decide.
+
+    Null and empty texts have the same, empty set; texts with equal fingerprints in 128 bits count as one. Repeated ids are kept; rows with a null id are
+    linked too, and name a component only by others' ids.
+    """
+    stored, _ = save(wide_fingerprints(docs, id_col, text_col, words), "fingerprints")
+    nodes = stored.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
+    nodes, _ = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links, _ = save(candidate_links(nodes, nodes.count(), least, recall, crowd), "candidates")
+    linked = links.select(F.col("i").alias("n")).union(links.select("j")).distinct()
+    wanted, _ = save(nodes.join(linked, F.col("node") == F.col("n"), "left_semi").select("node", "text_key"), "wanted")
+    sets, _ = save(_shingle_sets(docs, wanted, text_col, words), "sets")
+    side = lambda name: sets.select(F.col("node").alias(f"__{name}"), F.col("shingles").alias(f"s_{name}"))
+    both = links.join(side("i"), F.col("i") == F.col("__i")).join(side("j"), F.col("j") == F.col("__j"))
+
+    def alike(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["i", "j"])
+
+    verified = both.select("i", "j", "s_i", "s_j").mapInArrow(alike, "i long, j long")
+    roots = components(verified).withColumnRenamed("node", "r")
+    with_root = nodes.join(roots, F.col("node") == F.col("r"), "left").select("a", "b", "first", F.coalesce("root", "node").alias("root"))
+    least_id = with_root.groupBy(F.col("root").alias("c")).agg(F.min("first").alias("component_id"))
+    found = with_root.join(least_id, F.col("root") == F.col("c")).select(F.col("a").alias("x"), F.col("b").alias("y"), "component_id")
+    return stored.join(found, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component of ``found`` (``doc_id, component_id``): that of the least id, and of rows with equal
+    ids, one. Rows with a null id can't be named, so they stay."""
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"))
     first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(text_col)))
     return named.withColumn("__order", first).filter("__order = 1").select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of all documents."""
+    """``doc_id, fingerprint, component_id`` of all documents. Null and empty texts have fingerprint zero, which is linked like any other; repeated ids and rows keep a
+    row each; a row without an id is linked too, and a component of such rows alone has no id (null); an empty table gives no row."""
     return near_duplicates(documents(spark, sf_dir))
