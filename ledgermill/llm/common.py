@@ -51,10 +51,15 @@ def held_out(doc_id) -> "F.Column":
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def bit_count(rows: int, most: int = 27) -> int:
+    """Bits of a hash that a table of ``rows`` hashes takes: 16 to 32 ranges for each, until ``most``."""
+    return min(most, max(15, (16 * rows).bit_length()))
+
+
 def bit_table(df: DataFrame, name: str, most: int = 27) -> tuple[np.ndarray, int]:
     """Which ranges of the hashes in column ``name`` of a stored table hold one: little-endian bits, and that there are 2**n of them. ``n`` follows the number
     of rows up to ``most``, so the driver gets at most 2**27 bits, put together by Spark. It only spares a shuffle what can't match; beyond, it spares less."""
-    n = min(most, max(15, (16 * df.count()).bit_length()))
+    n = bit_count(df.count(), most)
     bit = F.shiftrightunsigned(name, 64 - n)
     parts = df.groupBy(F.shiftright(bit, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
     table = np.zeros(1 << n >> 3, np.uint8)

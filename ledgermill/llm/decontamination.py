@@ -9,8 +9,8 @@ that many runs less one can be left out as seeds, whichever they are: a pair sti
 each run occurs, and the most frequent are left out. An item too short for such a bound has single words as runs. A second pass takes from each document
 the places of seeds with the words around them, as far as an alignment can reach, joins them to items by seed, and aligns item and place.
 
-Documents are filtered in their own tasks by a bit table of 2**``BITS`` bits of seed hashes, whose size doesn't depend on the benchmark; the joins that
-follow go by hash, and Spark chooses how.
+Documents are filtered in their own tasks by a bit table of seed hashes of a bounded size, which also says how far around a seed an alignment can reach, by the
+longest item in its range of hashes; the joins that follow go by hash, and Spark chooses how.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Chunk, documents, row_chunks, save
+from .common import Chunk, bit_count, documents, row_chunks, save
 
-GRAM, LEAST, BITS = 2, 0.7, 22
+GRAM, LEAST = 2, 0.7
 
 _SPACES = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
 
@@ -89,48 +89,55 @@ def intact(length: int, n: int, least: float = LEAST) -> int:
 
 
 def item_grams(words: DataFrame, gram: int = GRAM, least: float = LEAST) -> DataFrame:
-    """``item_id, gram, n, place, seeds`` of every run of ``n`` words: ``gram``, or fewer where no such run need be whole. Any ``seeds`` of them find it."""
+    """``item_id, gram, n, place, seeds, length`` of every run of ``n`` words: ``gram``, or fewer where no such run need be whole. Any ``seeds`` of them find the
+    item, which has ``length`` words."""
 
     def run(batches):
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], [], [], []]
+            ids, out = b.column(0).to_pylist(), [[], [], [], [], [], []]
             for k, w in zip(ids, b.column(1), strict=True):
                 h = w.values.to_numpy().view(np.uint64)
                 n = next((n for n in range(gram, 1, -1) if intact(len(h), n, least) > 0), 1)
                 g, _ = _grams(h, np.zeros(len(h), np.int64), n)
                 enough = len(g) - max(intact(len(h), n, least), 1) + 1
-                for column, x in zip(out, ([k] * len(g), g.view(np.int64).tolist(), [n] * len(g), range(len(g)), [enough] * len(g)), strict=True):
+                for column, x in zip(out, ([k] * len(g), g.view(np.int64).tolist(), [n] * len(g), range(len(g)), [enough] * len(g), [len(h)] * len(g)), strict=True):
                     column += x
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["item_id", "gram", "n", "place", "seeds"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["item_id", "gram", "n", "place", "seeds", "length"])
 
-    return words.mapInArrow(run, "item_id long, gram long, n int, place int, seeds int")
+    return words.mapInArrow(run, "item_id long, gram long, n int, place int, seeds int, length int")
 
 
-def _bit(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(64 - BITS)).astype(np.int64)
+class Table:
+    """Which ranges of hashes hold a run of a stored table ``gram, n, length``, the lengths of runs, and by range how many bits the longest item's length has.
+    Spark puts it together in bitmaps, at most 2**27 bits for each of some twenty numbers of bits."""
 
+    def __init__(self, grams: DataFrame):
+        self.bits = bit_count(grams.count(), 25)
+        bit = F.shiftrightunsigned("gram", 64 - self.bits)
+        of = grams.select("n", F.length(F.bin(F.col("length").cast("long"))).alias("reach"), F.shiftright(bit, 15).cast("int").alias("part"), bit.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+        self.sizes = sorted(r["n"] for r in of.select("n").distinct().collect())  # GRAM at most
+        self.reach = np.zeros(1 << self.bits, np.uint8)
+        for r in sorted(of.groupBy("reach", "part").agg(F.bitmap_construct_agg("bit").alias("map")).collect(), key=lambda r: r["reach"]):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little"))
+            self.reach[(r["part"] << 15) + at] = r["reach"]
 
-def bit_table(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Which of the 2**BITS hash ranges hold a run, and the lengths of runs. At most 2**BITS small numbers reach the driver."""
-    found = grams.select(F.shiftrightunsigned("gram", 64 - BITS).cast("int").alias("bit"), "n").distinct().toPandas()
-    table = np.zeros(1 << BITS, bool)
-    table[found["bit"].to_numpy()] = True
-    return np.packbits(table), sorted(int(n) for n in found["n"].unique())
+    def of(self, g: np.ndarray) -> np.ndarray:
+        """For each hash, the bits of the longest item's length, 0 where no item is."""
+        return self.reach[(g >> np.uint64(64 - self.bits)).astype(np.int64)]
 
 
 def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """``gram, df``: the number of rows of ``docs`` (``doc_id, text``) with each run of an item; runs in none are not listed."""
-    packed, sizes = bit_table(grams)
+    table = Table(grams)
 
     def run(batches):
-        table = np.unpackbits(packed).view(bool)
         for b in batches:
             for _, _, c in _chunks(b.column(0)):
                 h, row = _words(c)
-                for n in sizes:
+                for n in table.sizes:
                     g, whole = _grams(h, row, n)
-                    at = np.flatnonzero(whole & table[_bit(g)])
+                    at = np.flatnonzero(whole & (table.of(g) > 0))
                     pairs = np.unique(np.stack([row[at].astype(np.uint64), g[at]], 1), axis=0)
                     runs, count = np.unique(pairs[:, 1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(count)], ["gram", "c"])
@@ -140,50 +147,52 @@ def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``item_id, gram, n, place`` of the runs that search for their item: as many as it needs, the rarest."""
+    """``item_id, gram, n, place, length`` of the runs that search for their item: as many as it needs, the rarest."""
     with_df = grams.join(counts.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
     order = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "gram", "place"))
-    return with_df.withColumn("order", order).filter(F.col("order") <= F.col("seeds")).select("item_id", "gram", "n", "place")
+    return with_df.withColumn("order", order).filter(F.col("order") <= F.col("seeds")).select("item_id", "gram", "n", "place", "length")
 
 
-def _places(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
-    """``doc_id, part, first, words, grams, places``: stretches of documents around seeds, ``reach`` words to either side, joined where they meet; ``part``
-    numbers them over all documents."""
-    packed, sizes = bit_table(found)
+def _places(docs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """``doc_id, part, first, words, grams, places``: stretches of documents around seeds, as far to either side as an alignment of the longest item of their
+    ranges of hashes can reach, joined where they meet; ``part`` numbers them over all documents."""
+    table = Table(found)
 
     def run(batches):
-        table = np.unpackbits(packed).view(bool)
-        for b in batches:
+        for b in batches if table.sizes else ():
             ids = b.column(0)
             for i, _, c in _chunks(b.column(1)):
                 h, row = _words(c)
-                at, grams = [], []
-                for n in sizes:
+                hits, grams, far = [], [], []
+                for n in table.sizes:
                     g, whole = _grams(h, row, n)
-                    hit = np.flatnonzero(whole & table[_bit(g)])
-                    at.append(hit)
+                    bits = table.of(g)
+                    hit = np.flatnonzero(whole & (bits > 0))
+                    longest = (1 << bits[hit].astype(np.int64)) - 1
+                    hits.append(hit)
                     grams.append(g[hit])
-                if not sum(map(len, at)):
+                    far.append(np.ceil(longest * (3 - 2 * least)).astype(np.int64) + 2)  # the item and its gaps, see spare()
+                at, grams, far = np.concatenate(hits), np.concatenate(grams), np.concatenate(far)
+                if not len(at):
                     continue
-                at, grams = np.concatenate(at), np.concatenate(grams)
-                order = np.argsort(at, kind="stable")
-                at, grams = at[order], grams[order]
-                apart = np.concatenate([[True], (row[at[1:]] != row[at[:-1]]) | (at[1:] - at[:-1] > 2 * reach)])
-                begin = np.flatnonzero(apart)
-                close = np.append(begin[1:], len(at))
                 bounds = np.searchsorted(row, np.arange(c.rows + 1))
-                first = np.maximum(at[begin] - reach, bounds[row[at[begin]]])
-                last = np.minimum(at[close - 1] + reach, bounds[row[at[begin]] + 1])
-                sizes_ = last - first
-                where = np.repeat(first - np.concatenate([[0], np.cumsum(sizes_)[:-1]]), sizes_) + np.arange(sizes_.sum())
-                edge = np.append(begin, len(at))
+                begin, close = np.maximum(at - far, bounds[row[at]]), np.minimum(at + far, bounds[row[at] + 1])
+                order = np.argsort(begin, kind="stable")
+                at, grams, begin, close = at[order], grams[order], begin[order], close[order]
+                reached = np.maximum.accumulate(close)
+                head = np.flatnonzero(np.concatenate([[True], (begin[1:] > reached[:-1]) | (row[at[1:]] != row[at[:-1]])]))
+                edge = np.append(head, len(at))
+                first, last = begin[head], reached[edge[1:] - 1]
+                size = last - first
+                where = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                of = row[at[head]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(i + row[at[begin]])),
-                        pa.array(first - bounds[row[at[begin]]]),
-                        _lists(h[where].view(np.int64), np.concatenate([[0], np.cumsum(sizes_)])),
+                        ids.take(pa.array(i + of)),
+                        pa.array(first - bounds[of]),
+                        _lists(h[where].view(np.int64), np.concatenate([[0], np.cumsum(size)])),
                         _lists(grams.view(np.int64), edge),
-                        _lists((at - np.repeat(first, close - begin)).astype(np.int32), edge),
+                        _lists((at - np.repeat(first, np.diff(edge))).astype(np.int32), edge),
                     ],
                     ["doc_id", "first", "words", "grams", "places"],
                 )
@@ -221,10 +230,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words, _ = save(item_words(items), "items")
     grams, _ = save(item_grams(words, gram, least), "grams")
-    longest = words.agg(F.max(F.size("words"))).first()[0]
     found, _ = save(seeds(grams, gram_counts(rows, grams)), "seeds")
-    reach = (longest or 0) + spare(longest or 0, least) + 1
-    stretches, _ = save(_places(rows, found, reach), "stretches")
+    stretches, _ = save(_places(rows, found, least), "stretches")
     hits = stretches.select("part", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("part", F.col("s.grams").alias("g"), F.col("s.places").alias("p"))
     where = F.col("p") - F.col("place")
     pairs = hits.join(found, F.col("g") == F.col("gram")).groupBy("part", "item_id").agg(F.min(where).alias("low"), F.max(where).alias("high"))
@@ -268,5 +275,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, item_id, score, end_word`` of every contaminated document and the item that it holds."""
+    """``doc_id, item_id, score, end_word`` of every contaminated document and the item that it holds. Null and empty texts hold nothing; rows with null or
+    repeated ids count as one document, repeated rows too; of equal scores the earliest end is given; an empty table on either side gives no row."""
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
