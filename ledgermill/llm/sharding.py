@@ -128,17 +128,22 @@ def shard(rows: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row: equal texts are linked. Null texts have no bytes and are linked
-    with each other and with empty ones; null and repeated ids are kept, each row apart."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row: equal texts are linked. Rows are told apart by id and text alone, so however the
+    table is cut into files, its shards are the same; of repeated rows, which takes which place makes no difference.
+
+    Null texts have no bytes and are linked with each other and with empty ones; null and repeated ids are kept, each row apart.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     digest = F.sha2(text, 256)
-    # of equal ids with equal texts, each row has a number of its own
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("grp"))
-    stored, _ = save(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    found = shard(stored, stored.select("id", "grp"), shards)
+    stored, path = save(rows, "rows")
+    numbered, _ = save(ranked(stored, [], ["doc_id", "grp", "size"], stored.count(), "id"), "numbered")
+    forget(docs.sparkSession, path)
+    found = shard(numbered, numbered.select("id", "grp"), shards)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of all documents in 16 shards."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of all documents in 16 shards by the law ``rows``. A null text has size 1; null and repeated ids and
+    repeated rows take a place each; with fewer rows than shards some shards are empty; an empty table gives no row."""
     return shard_documents(documents(spark, sf_dir))
