@@ -181,6 +181,8 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of all documents."""
+    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of all documents. A null or empty text is one piece, the end id; null and
+    repeated ids and repeated rows keep their own pieces; pieces of one length are interchangeable, ties between them go by id, start and digest; an empty table
+    gives no row."""
     stored, _ = save(pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return pack(stored)

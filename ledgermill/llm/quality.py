@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Chunk, documents, held_out, mix, save, text_chunks
 
 FEATURES, BINS, RIDGE, WIDTH, THRESHOLD = 320, 1024, 1e-2, 0.4, 0.3
+#: Tasks that sum up normal equations at most, each of which ships one matrix.
+MOST_PARTS = 1024
 
 #: Byte classes: a-z, A-Z, 0-9, blank, newline, full stop, comma, exclamation or question mark, bar, other ASCII mark, first byte of a longer
 #: character, its other bytes, control.
@@ -163,7 +165,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
     def summed(k: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": k["k"][:1], "part": [np.sum(k["part"].to_list(), axis=0)]})
 
-    parts = rows.mapInArrow(equations, "k int, part array<double>").groupBy("k").applyInPandas(summed, "k int, part array<double>")
+    parts = rows.coalesce(MOST_PARTS).mapInArrow(equations, "k int, part array<double>").groupBy("k").applyInPandas(summed, "k int, part array<double>")
     system = np.zeros((FEATURES + 1, FEATURES + 2))
     for r in parts.collect():  # a row for each feature
         system[r["k"]] = r["part"]
@@ -177,7 +179,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
             y = b.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(np.bincount(at, minlength=BINS).astype(np.int64)), pa.array(np.bincount(at, weights=y, minlength=BINS))], ["bin", "n", "y"])
 
-    bins = rows.mapInArrow(raw, "bin int, n long, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").toPandas()
+    bins = rows.coalesce(MOST_PARTS).mapInArrow(raw, "bin int, n long, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").toPandas()
     model.knots = (bins["bin"].to_numpy() + 0.5) / BINS * 2 - 0.5
     model.values = pool_adjacent(bins["n"].to_numpy(float), bins["y"].to_numpy(float))
     return model
@@ -207,7 +209,8 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of all documents; learnt from all labels of documents that aren't held out."""
+    """``doc_id, held_out, score, predicted`` of all documents; learnt from all labels of documents that aren't held out. Null texts count as empty ones, which
+    have a score like others; null and repeated ids and repeated rows keep a row each; without labels every score is 1/2; an empty table gives no row."""
     stats, _ = save(measured(documents(spark, sf_dir)), "stats")
     model = fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -163,5 +163,6 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_words, n_distinct, n_tokens`` of all documents, with the pieces of the public 32k vocabulary."""
+    """``doc_id, n_words, n_distinct, n_tokens`` of all documents, with the pieces of the public 32k vocabulary. Null and empty texts count 0; null and repeated ids
+    and repeated rows keep a row each; of equally good cuts that with fewer tokens counts; an empty table gives no row."""
     return token_counts(documents(spark, sf_dir), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
