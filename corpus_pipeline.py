@@ -15,29 +15,33 @@ from ledgermill.llm.common import save
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more."""
+    """Documents whose quality score is 0.3 or more. Null and empty texts have a score too; null and repeated ids and repeated rows are scored each; without labels
+    every score is 1/2, so all stay; of an empty table nothing."""
     stats, _ = save(quality.measured(docs), "stats")
     model = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that another place keeps; ``n_chars`` follows the text."""
+    """Documents without the runs of two lines or more that an earlier place keeps; ``n_chars`` follows the text. A null text stays null, a text of which nothing is
+    left is empty; rows with a null id lose to documents with an id and keep nothing back; rows with equal ids don't lose to each other."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, texts of a similarity of 0.8 or more in their five-word shingles, that of the least id. Null and empty texts
+    are copies of each other; of rows with equal ids one stays; rows with a null id stay."""
+    return simhash.keep_one(docs, simhash.similar(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item, wholly or edited. Null and empty texts stay; of rows with equal ids, or without one, all go if one holds an item; without
+    items all stay."""
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. Null and empty texts give one piece, the end id; every row, with whatever id, keeps its pieces."""
     stored, _ = save(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return packing.pack(stored)
 
