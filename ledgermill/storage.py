@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SAVED: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset and Spark runs in this process alone, a folder below the warehouse; on a cluster it must be set."""
@@ -17,9 +19,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage: a lost executor costs its own tasks only."""
+def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage: a lost executor costs its own tasks only. Also the table's path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _SAVED.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def save(df: DataFrame, tag: str) -> DataFrame:
+    return store(df, tag)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _SAVED:
+        _SAVED.remove(path)
+
+
+def forget_all(spark: SparkSession) -> int:
+    """Delete all tables that this program has stored, once its results are written; how many there were. Results that aren't written yet need them."""
+    paths = list(_SAVED)
+    for path in paths:
+        forget(spark, path)
+    return len(paths)

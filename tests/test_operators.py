@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgermill.operators import company, facts, filings, match, pages, report
 from ledgermill.operators import lines as L
 from ledgermill.sources import lists, sinks
+from ledgermill.storage import forget_all, save, shared_folder
 
 
 def document(facts_, contexts):
@@ -243,3 +244,10 @@ def test_read_list(spark, tmp_path):
 def test_split_pages(spark):
     got = lists.split_pages(spark.createDataFrame([(1, "a\fb\f"), (2, None)], "doc_id int, text string")).orderBy("doc_id", "page").collect()
     assert [tuple(r) for r in got] == [(1, 3, 0, "a"), (1, 3, 1, "b"), (1, 3, 2, ""), (2, 1, 0, "")]
+
+
+def test_stored_tables(spark):
+    forget_all(spark)
+    a = save(spark.range(5).toDF("x"), "t")
+    assert a.count() == 5 and a.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_folder(spark).lstrip("/"))
+    assert forget_all(spark) == 1 and forget_all(spark) == 0
