@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that numpy works on at once; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 19
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset and Spark runs in this process alone, it is put below the
-    warehouse; on a cluster there is no safe default, so it must be set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from ..storage import forget, shared_folder
+from ..storage import store as save
 
+__all__ = ["CHUNK_BYTES", "Chunk", "bit_count", "bit_table", "documents", "forget", "has_bit", "held_out", "mix", "per_row", "ragged", "row_chunks", "save", "shared_folder", "text_buffer", "text_chunks"]
 
-def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage; also its path, for :func:`forget`."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table that :func:`save` wrote."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Bytes of text that numpy works on at once; bounds the memory of a Python worker.
+CHUNK_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
