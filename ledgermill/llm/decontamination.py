@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Chunk, bit_count, documents, row_chunks, save
+from .common import Chunk, bit_count, documents, forget, row_chunks, save
 
 GRAM, LEAST = 2, 0.7
 
@@ -113,7 +113,7 @@ class Table:
     Spark puts it together in bitmaps, at most 2**27 bits for each of some twenty numbers of bits."""
 
     def __init__(self, grams: DataFrame):
-        self.bits = bit_count(grams.count(), 25)
+        self.bits = bit_count(64 * grams.count(), 25)  # every word of every document is looked up, so few may hit by chance
         bit = F.shiftrightunsigned("gram", 64 - self.bits)
         of = grams.select("n", F.length(F.bin(F.col("length").cast("long"))).alias("reach"), F.shiftright(bit, 15).cast("int").alias("part"), bit.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
         self.sizes = sorted(r["n"] for r in of.select("n").distinct().collect())  # GRAM at most
@@ -231,7 +231,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     words, _ = save(item_words(items), "items")
     grams, _ = save(item_grams(words, gram, least), "grams")
     found, _ = save(seeds(grams, gram_counts(rows, grams)), "seeds")
-    stretches, _ = save(_places(rows, found, least), "stretches")
+    stretches, path = save(_places(rows, found, least), "stretches")
     hits = stretches.select("part", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("part", F.col("s.grams").alias("g"), F.col("s.places").alias("p"))
     where = F.col("p") - F.col("place")
     pairs = hits.join(found, F.col("g") == F.col("gram")).groupBy("part", "item_id").agg(F.min(where).alias("low"), F.max(where).alias("high"))
@@ -265,7 +265,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     aligned = rows.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
     best = aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "end_word")).alias("b"))
-    return best.select("doc_id", "item_id", "score", F.col("b.end_word").alias("end_word"))
+    pairs_found, _ = save(best.select("doc_id", "item_id", "score", F.col("b.end_word").alias("end_word")), "contaminated")
+    forget(docs.sparkSession, path)
+    return pairs_found
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
