@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, documents, held_out, mix, save, text_chunks
+from .common import Chunk, documents, forget, held_out, mix, save, text_chunks
 
 FEATURES, BINS, RIDGE, WIDTH, THRESHOLD = 320, 1024, 1e-2, 0.4, 0.3
 #: Tasks that sum up normal equations at most, each of which ships one matrix.
@@ -144,7 +144,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
     labels = labels.filter(F.col("y").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows, _ = save(stats.join(labels, "doc_id").select("stats", "y"), "labelled")
+    rows, path = save(stats.join(labels, "doc_id").select("stats", "y"), "labelled")
     each = rows.select("y", F.posexplode("stats").alias("k", "x"))
     moments = each.groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("x").alias("n"), F.avg("y").alias("y")).orderBy("k").toPandas()
     if not len(moments):
@@ -182,6 +182,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
     bins = rows.coalesce(MOST_PARTS).mapInArrow(raw, "bin int, n long, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").toPandas()
     model.knots = (bins["bin"].to_numpy() + 0.5) / BINS * 2 - 0.5
     model.values = pool_adjacent(bins["n"].to_numpy(float), bins["y"].to_numpy(float))
+    forget(stats.sparkSession, path)
     return model
 
 

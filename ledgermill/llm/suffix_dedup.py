@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, bit_table, documents, has_bit, save, text_chunks
+from .common import Chunk, bit_table, documents, forget, has_bit, save, text_chunks
 
 LENGTH, GRAM, CROWD, BLOCK = 200, 80, 1024, 1 << 20
 #: Bytes of contexts that a task sorts, block by block, and strings in a row of a slice.
@@ -388,20 +388,22 @@ def _bodies(parts: DataFrame, wanted: DataFrame, length: int, block: int) -> Dat
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """``key, start, end`` of repeated bytes of rows ``key, text``, equal texts counted as one; spans of a text may overlap."""
     parts = blocks(rows, length, block)
-    again, _ = save(repeated_anchors(parts, length, gram, block), "again")
+    again, again_path = save(repeated_anchors(parts, length, gram, block), "again")
     # stored, so that the join's own shuffles can be split where an anchor is very frequent
     held, _ = save(occurrences(parts, again, length, gram, block), "contexts")
     place = F.struct("key", "lo", "starts")
-    kinds, _ = save(held.groupBy("anchor", "digest").agg(F.min(place).alias("one"), F.max(place).alias("two")), "kinds")
+    kinds, kinds_path = save(held.groupBy("anchor", "digest").agg(F.min(place).alias("one"), F.max(place).alias("two")), "kinds")
     places = F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
     many = kinds.groupBy(F.col("anchor").alias("a")).agg(F.sum(F.size(places)).alias("m")).filter("m > 1")
     salts = F.ceil(F.col("m") / crowd).cast("int")
     each = kinds.join(many, F.col("anchor") == F.col("a")).select("anchor", "digest", salts.alias("salts"), F.explode(places).alias("p"))
-    wanted, _ = save(each.select("anchor", F.pmod(F.xxhash64("digest"), "salts").cast("int").alias("salt"), "salts", "digest", "p.*"), "wanted")
+    wanted, wanted_path = save(each.select("anchor", F.pmod(F.xxhash64("digest"), "salts").cast("int").alias("salt"), "salts", "digest", "p.*"), "wanted")
     size = wanted.agg(F.sum(F.col("starts") + length)).first()[0] or 0
-    bodies, _ = save(_bodies(parts, wanted, length, block), "bodies")
+    bodies, bodies_path = save(_bodies(parts, wanted, length, block), "bodies")
     dealt = bodies.repartition(1 + min(size // SHARD_BYTES, 20_000), "anchor", "salt").sortWithinPartitions("anchor", "salt")
     sorted_, _ = save(dealt.mapInArrow(_sorted(length), SORTED), "sorted")
+    for path in (again_path, kinds_path, wanted_path, bodies_path):
+        forget(rows.sparkSession, path)
     of = lambda kind: sorted_.filter(F.col("kind") == kind)
     across = _across(_cut(of(SLICES), of(LIMITS), length), length)
     found = of(RUNS).select("anchor", "digest", "first", "last").union(across).withColumnsRenamed({"anchor": "a", "digest": "d"})
