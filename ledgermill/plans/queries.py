@@ -235,6 +235,7 @@ def _decided(spark, sf_dir) -> DataFrame:
         "ix_method": F.lit("iXBRL tagged figure"), "ix_cash": none("double"), "ix_debtors": none("double"), "pg_turnover": F.when(pos % 8 != 1, F.rint(amount)), "pg_prior": none("double"), "pg_unit": F.lit("000"),
         "pg_page": (pos % 40).cast("int"), "pg_method": F.when(ocr, "PDF scan (OCR)").otherwise("PDF text"), "pg_currency": F.when(pos % 9 == 0, "EUR").otherwise(""), "pg_cash": F.rint(amount / 2), "pg_debtors": none("double"),
         "pg_balance_method": F.lit("PDF text"), "pg_checked": (pos % 50), "pg_pages": F.lit(50).cast("long"), "keyword_note": none("string"), "failed": k % 97 == 0,
+        "pg_problem": none("string"), "scanned_skipped": F.lit(False),
     }
     return report.decided(j.select(*[v.alias(c) for c, v in columns.items()]), F.to_date(F.lit("2001-01-01")))
 
