@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_table, documents, has_bit, mix, save, text_buffer
+from .common import bit_table, documents, forget, has_bit, mix, save, text_buffer
 from .components import components
 
 RADIUS, RUN, SHINGLE, SEED = 4, 256, 4, 42
@@ -224,46 +224,69 @@ def _samples(bits: int, samples: int) -> np.ndarray:
     return np.stack([rng.permutation(128)[:bits] for _ in range(samples)])
 
 
-def _collisions(radius: int, crowd: int):
-    """Over rows ``key, node, fp`` sorted by key: pairs of nodes that meet on a key and whose ``fp`` are within ``radius`` bits. Of a key with more than ``crowd``
-    rows, all rows are compared with the first ``crowd`` and with those that no earlier one is near; each is linked to the three nearest of them."""
+def _collisions(radius: int, crowd: int, nearest: int = 4):
+    """Over rows ``key, node, fp`` sorted by key: pairs of nodes that meet on a key and whose ``fp`` are within ``radius`` bits, and these bits. Each row of a key is
+    linked to the ``nearest`` before it, of keys with more than twice as many rows to half as many, so links grow with rows and not with pairs. Of a key with more
+    than ``crowd`` rows, what a row is compared with are the first ``crowd`` rows and those that no earlier one is near."""
 
-    def result(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["i", "j"])
-
-    def near(x, y):
-        return np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+    def result(a, b, apart):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart.astype(np.int32))], ["i", "j", "apart"])
 
     def small(key, node, fp):
-        """All pairs of whole keys."""
-        ones, others, at, k = [], [], np.arange(len(key)), 1
+        """Links of whole keys."""
+        at, k, found = np.arange(len(key)), 1, []
         while True:
             at = at[at + k < len(key)]
             at = at[key[at] == key[at + k]]
             if not len(at):
                 break
-            met = at[near(fp[at], fp[at + k])]
-            ones.append(node[met])
-            others.append(node[met + k])
+            apart = np.bitwise_count((fp[at] ^ fp[at + k]).view(np.uint64))
+            met = apart <= radius
+            found.append((at[met], at[met] + k, apart[met]))
             k += 1
-        return result(np.concatenate(ones), np.concatenate(others)) if ones else None
+        if not found:
+            return
+        a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((apart, b))
+        a, b, apart = a[order], b[order], apart[order]
+        first = np.searchsorted(b, b, side="left")
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key))))
+        keep = np.arange(len(b)) - first < np.where(size[b] > 2 * nearest, nearest // 2, nearest)
+        yield result(node[a[keep]], node[b[keep]], apart[keep])
 
     class Crowd:
         def __init__(self, node, fp):
             self.node, self.fp = node, fp
 
         def add(self, node, fp):
-            for at in range(0, len(node), 4096):
-                n, f = node[at : at + 4096], fp[at : at + 4096]
-                apart = np.bitwise_count((f[:, None] ^ self.fp[None, :]).view(np.uint64)).astype(np.int16)
-                order = np.argsort(apart, axis=1, kind="stable")[:, :3]
-                row, place = np.nonzero(np.take_along_axis(apart, order, 1) <= radius)
-                yield result(n[row], self.node[order[row, place]])
+            at = 0
+            while at < len(node):
+                step = max(1, min(crowd, (1 << 19) // len(self.node)))  # a few MB, however many rows stand apart
+                n, f = node[at : at + step], fp[at : at + step]
+                at += step
+                apart = np.bitwise_count((f[:, None] ^ self.fp[None, :]).view(np.uint64))
+                order = np.argsort(apart, axis=1, kind="stable")[:, : nearest // 2]
+                bits = np.take_along_axis(apart, order, 1)
+                row, place = np.nonzero(bits <= radius)
+                yield result(n[row], self.node[order[row, place]], bits[row, place])
                 lone = np.setdiff1d(np.arange(len(n)), row)
-                if len(lone):
-                    if (got := small(np.zeros(len(lone), np.int64), n[lone], f[lone])) is not None:
-                        yield got
-                    self.node, self.fp = np.append(self.node, n[lone]), np.append(self.fp, f[lone])
+                yield from small(np.zeros(len(lone), np.int64), n[lone], f[lone])
+                self.node, self.fp = np.append(self.node, n[lone]), np.append(self.fp, f[lone])
+
+    def crowded_key(node, fp):
+        yield from small(np.zeros(crowd, np.int64), node[:crowd], fp[:crowd])
+        rest = Crowd(node[:crowd], fp[:crowd])
+        yield from rest.add(node[crowd:], fp[crowd:])
+        return rest
+
+    def whole(key, node, fp):
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        few = np.repeat(size <= crowd, size)
+        yield from small(key[few], node[few], fp[few])
+        for s, n in zip(start[size > crowd].tolist(), size[size > crowd].tolist(), strict=True):
+            yield from crowded_key(node[s : s + n], fp[s : s + n])
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 3
@@ -282,31 +305,16 @@ def _collisions(radius: int, crowd: int):
             yield from whole(*(h[:last] for h in held))
             held = [h[last:] for h in held]
             if len(held[0]) > crowd:
-                crowded = held[0][0], Crowd(held[1][:crowd], held[2][:crowd])
-                if (got := small(*(h[:crowd] for h in held))) is not None:
-                    yield got
-                yield from crowded[1].add(held[1][crowd:], held[2][crowd:])
+                crowded = held[0][0], (yield from crowded_key(held[1], held[2]))
                 held = [h[:0] for h in held]
         yield from whole(*held)
 
-    def whole(key, node, fp):
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        few = np.repeat(size <= crowd, size)
-        if (got := small(key[few], node[few], fp[few])) is not None:
-            yield got
-        for s, n in zip(start[size > crowd].tolist(), size[size > crowd].tolist(), strict=True):
-            first = Crowd(node[s : s + crowd], fp[s : s + crowd])
-            if (got := small(key[s : s + crowd], node[s : s + crowd], fp[s : s + crowd])) is not None:
-                yield got
-            yield from first.add(node[s + crowd : s + n], fp[s + crowd : s + n])
-
     return run
 
 
 def candidate_links(nodes: DataFrame, n: int, least: float = STAGE_LEAST, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
-    """``i, j``: pairs of stored, different ``node, a, b`` that meet by ball hashing: every sample of a fingerprint's bits emits its variants within 1 bit, two
-    within 2 bits meet on one, and are verified on 64 bits and then on all 128."""
+    """``i, j, apart``: pairs of stored, different ``node, a, b`` that meet by ball hashing: every sample of a fingerprint's bits emits its variants within 1 bit, two
+    within 2 bits meet on one, and are verified on 64 bits, of which ``apart`` differ."""
     bits, samples = sampling(n, least, recall)
     places = _samples(bits, samples)
 
@@ -325,12 +333,8 @@ def candidate_links(nodes: DataFrame, n: int, least: float = STAGE_LEAST, recall
     flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(bits))]])
     each = values.select("node", "a", F.posexplode("keys").alias("s", "v")).select("node", "a", "s", "v", F.explode(flips).alias("m"))
     variants = each.select(F.xxhash64("s", F.col("v").bitwiseXOR(F.col("m"))).alias("key"), "node", F.col("a").alias("fp"))
-    met = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_collisions(most_bits(64, least), crowd), "i long, j long")
-    pairs, _ = save(met.distinct(), "met")
-    side = lambda name: nodes.select(F.col("node").alias(f"__{name}"), F.col("a").alias(f"a_{name}"), F.col("b").alias(f"b_{name}"))
-    both = pairs.join(side("i"), F.col("i") == F.col("__i")).join(side("j"), F.col("j") == F.col("__j"))
-    apart = F.bit_count(F.col("a_i").bitwiseXOR(F.col("a_j"))) + F.bit_count(F.col("b_i").bitwiseXOR(F.col("b_j")))
-    return both.filter(apart <= most_bits(128, least)).select("i", "j")
+    met = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_collisions(most_bits(64, least), crowd), "i long, j long, apart int")
+    return met.distinct()
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -353,6 +357,56 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int)
     return one.join(wanted, F.col("key") == F.col("text_key")).select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
+def _alike(least: float):
+    """Over rows ``i, j`` and their sets of shingles: the pairs of a Jaccard similarity of ``least`` or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["i", "j"])
+
+    return run
+
+
+def _verified_roots(docs: DataFrame, text_col: str, nodes: DataFrame, links: DataFrame, words: int, least: float, steps: tuple[int, ...] = (4,)) -> DataFrame:
+    """``r, root`` of the nodes that verified candidates ``i, j, apart`` link. Each node's nearest candidates are verified first; those whose nodes are linked by then
+    need no more. In the last step all that are left are verified."""
+    spark = docs.sparkSession
+    open_, path = save(links, "candidates")
+    linked = open_.select(F.col("i").alias("n")).union(open_.select("j")).distinct()
+    wanted, wanted_path = save(nodes.join(linked, F.col("node") == F.col("n"), "left_semi").select("node", "text_key"), "wanted")
+    sets, sets_path = save(_shingle_sets(docs, wanted, text_col, words), "sets")
+    used = [wanted_path, sets_path]
+    side = lambda name: sets.select(F.col("node").alias(f"__{name}"), F.col("shingles").alias(f"s_{name}"))
+    good: DataFrame | None = None
+    for most in (*steps, None):
+        order = F.row_number().over(Window.partitionBy("j").orderBy("apart", "i"))  # a node meets few others before it
+        ranked = open_.withColumn("order", order) if most else open_.withColumn("order", F.lit(0))
+        now, now_path = save(ranked, "ranked")
+        chosen = now.filter(F.col("order") <= (most or 0))
+        both = chosen.join(side("i"), F.col("i") == F.col("__i")).join(side("j"), F.col("j") == F.col("__j"))
+        verified, verified_path = save(both.select("i", "j", "s_i", "s_j").mapInArrow(_alike(least), "i long, j long"), "verified")
+        used.append(verified_path)
+        good = verified if good is None else good.union(verified)
+        roots, _ = save(components(good).select(F.col("node").alias("r"), "root"), "roots")
+        if most:
+            rest = now.filter(F.col("order") > most).select("i", "j", "apart")
+            of = lambda name: roots.select(F.col("r").alias(f"r_{name}"), F.col("root").alias(f"root_{name}"))
+            rest = rest.join(of("i"), F.col("i") == F.col("r_i"), "left").join(of("j"), F.col("j") == F.col("r_j"), "left")
+            rest = rest.filter(F.col("root_i").isNull() | F.col("root_j").isNull() | (F.col("root_i") != F.col("root_j"))).select("i", "j", "apart")
+            open_, new_path = save(rest, "candidates")
+            forget(spark, path)
+            path = new_path
+        forget(spark, now_path)
+    for path in [path, *used]:
+        forget(spark, path)
+    return roots
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_SHINGLE, least: float = STAGE_LEAST, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
     """``doc_id, component_id`` of every row: the least id that it reaches over links of texts whose sets of shingles have a Jaccard similarity of ``least`` or
     more. Fingerprints bring candidates, with probability ``recall`` or more for each such pair; the sets themselves decide.
@@ -363,24 +417,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     stored, _ = save(wide_fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = stored.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
     nodes, _ = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links, _ = save(candidate_links(nodes, nodes.count(), least, recall, crowd), "candidates")
-    linked = links.select(F.col("i").alias("n")).union(links.select("j")).distinct()
-    wanted, _ = save(nodes.join(linked, F.col("node") == F.col("n"), "left_semi").select("node", "text_key"), "wanted")
-    sets, _ = save(_shingle_sets(docs, wanted, text_col, words), "sets")
-    side = lambda name: sets.select(F.col("node").alias(f"__{name}"), F.col("shingles").alias(f"s_{name}"))
-    both = links.join(side("i"), F.col("i") == F.col("__i")).join(side("j"), F.col("j") == F.col("__j"))
-
-    def alike(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["i", "j"])
-
-    verified = both.select("i", "j", "s_i", "s_j").mapInArrow(alike, "i long, j long")
-    roots = components(verified).withColumnRenamed("node", "r")
+    roots = _verified_roots(docs, text_col, nodes, candidate_links(nodes, nodes.count(), least, recall, crowd), words, least)
     with_root = nodes.join(roots, F.col("node") == F.col("r"), "left").select("a", "b", "first", F.coalesce("root", "node").alias("root"))
     least_id = with_root.groupBy(F.col("root").alias("c")).agg(F.min("first").alias("component_id"))
     found = with_root.join(least_id, F.col("root") == F.col("c")).select(F.col("a").alias("x"), F.col("b").alias("y"), "component_id")
