@@ -279,3 +279,31 @@ def test_bit_tables(spark):
 def test_without_a_shared_folder(spark):
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert common.shared_folder(spark) == conf.rstrip("/")
+
+
+@pytest.mark.parametrize("size", [5, 64, 65, 900])
+def test_collisions_grow_with_rows_and_not_with_pairs(size):
+    """Near copies on one key: at most four links a row, and together they reach every row, in whatever batches they come."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    fp = np.array([int(x) for x in np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)], np.uint64).view(np.int64)
+    rows = [(7, k, f) for k, f in enumerate(fp)] + [(9, 10_000, 5), (9, 10_001, 5), (11, 10_002, 5)]
+    links = set()
+    cut = sorted({0, len(rows), *rng.integers(0, len(rows), 4).tolist()})
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in range(3)], ["key", "node", "fp"]) for a, b in zip(cut, cut[1:], strict=False)]
+    for out in simhash._collisions(19, 64)(iter(batches)):
+        links |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    assert (10_000, 10_001) in links and not any(10_002 in x for x in links)
+    root = {k: k for k in range(size)}
+    for i, j in sorted(links):
+        if j < size:
+            a, b = min(root[i], root[j]), max(root[i], root[j])
+            root = {k: a if r == b else r for k, r in root.items()}
+    assert len(links) <= 4 * size + 1 and set(root.values()) == {0}
+
+
+def test_sampling_grows_with_the_fingerprints():
+    few, many = simhash.sampling(10**4), simhash.sampling(10**10)
+    assert few[0] < many[0] and few[1] < many[1] and simhash.sampling(0)[0] == 12
+    assert simhash.differing(1.0) == 0 and abs(simhash.differing(0.8) - 0.1515) < 1e-3
