@@ -69,10 +69,9 @@ class WordIds:
 
     def of(self, words: list[bytes]) -> bytes:
         new, old = self.new, self.old
-        for w in words:
-            if w not in new:
-                ids = old.get(w)
-                new[w] = self._ids(w) if ids is None else ids
+        for w in set(words).difference(new):
+            ids = old.get(w)
+            new[w] = self._ids(w) if ids is None else ids
         found = b"".join(map(new.__getitem__, words))
         if len(new) > CACHE_WORDS:
             self.old, self.new = new, {}
