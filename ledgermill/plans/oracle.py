@@ -111,7 +111,7 @@ UNION ALL SELECT {n + 2}, NULL, NULL, 'Searched for {len(FEW)}: {", ".join(FEW)}
 
 # text between tags, without scripts and styles; the entities that the tables have
 _VISIBLE = """list_aggregate(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>'),
-  lambda x: trim(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''), 'string_agg', ' ')"""
+  lambda x: trim(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'))), lambda x: x <> ''), 'string_agg', ' ')"""
 
 _EVENTS = "SELECT event_id, user_id AS doc_id, day(ts)::INT AS page, event_type AS text, second(ts)::INT AS sec, hour(ts) * 60 + minute(ts) AS y FROM events"
 
