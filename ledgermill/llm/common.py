@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import forget, shared_folder
 from ..storage import store as save
 
-__all__ = ["CHUNK_BYTES", "Chunk", "bit_count", "bit_table", "documents", "forget", "has_bit", "held_out", "mix", "per_row", "ragged", "row_chunks", "save", "shared_folder", "text_buffer", "text_chunks"]
+__all__ = ["CHUNK_BYTES", "Chunk", "bit_count", "bit_table", "cut_rows", "documents", "forget", "has_bit", "held_out", "mix", "per_row", "ragged", "row_chunks", "save", "shared_folder", "text_buffer", "text_chunks"]
 
 #: Bytes of text that numpy works on at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 19
@@ -71,6 +71,33 @@ def row_chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def cut_rows(buf: np.ndarray, off: np.ndarray, is_break: np.ndarray, limit: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of pieces of the rows, and the row of each. A row of more than ``limit`` bytes is cut before bytes that ``is_break`` (by value) marks, so memory follows
+    ``limit`` and not the longest text; a run without such a byte isn't cut."""
+    long = np.flatnonzero(np.diff(off) > limit)
+    if not len(long):
+        return off, np.arange(len(off) - 1)
+    more, rows = [], []
+    for r in long.tolist():
+        at, end = int(off[r]), int(off[r + 1])
+        while end - at > limit:
+            back = np.flatnonzero(is_break[buf[at + 1 : at + limit]])
+            step = int(back[-1]) + 1 if len(back) else 0
+            ahead = at + limit
+            while not step and ahead < end:  # a run longer than a piece: to its end
+                found = np.flatnonzero(is_break[buf[ahead : ahead + limit]])
+                step, ahead = (ahead + int(found[0]) - at, ahead) if len(found) else (0, ahead + limit)
+            if not step:
+                break
+            at += step
+            more.append(at)
+            rows.append(r)
+    where = np.concatenate([off, np.array(more, np.int64)])
+    whose = np.concatenate([np.arange(len(off) - 1), np.array(rows, np.int64)])
+    order = np.argsort(whose, kind="stable")  # a row's own start comes before its cuts
+    return np.append(where[np.concatenate([np.arange(len(off) - 1), np.arange(len(off), len(where))])[order]], off[-1]), whose[order]
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, "Chunk"]]:
     """(first row, row after the last, their texts) over a column."""
     buf, off = text_buffer(column)
@@ -138,8 +165,11 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each run without ASCII white space; a run ends with its text."""
+        return self.runs(~((self.buf == 32) | ((self.buf >= 9) & (self.buf <= 13))))
+
+    def runs(self, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each run of bytes of which ``solid`` is true; a run ends with its text."""
         b = self.buf
-        solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
         edge = np.zeros(len(b) + 1, bool)
         edge[self.off] = True
         before = np.concatenate([[False], solid])
