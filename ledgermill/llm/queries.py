@@ -7,6 +7,8 @@ from .lexical_search import SQL as LEXICAL_SQL
 from .lexical_search import op11_lexical_search
 from .line_dedup import op6_line_dedup
 from .packing import op8_packing
+from .passages import SQL as PASSAGES_SQL
+from .passages import op13_substring_dedup
 from .quality import op9_quality
 from .sharding import op7_sharding
 from .simhash import op4_simhash
@@ -28,8 +30,10 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_lexical_search": op11_lexical_search,
     "op12_vector_codes": op12_vector_codes,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op11_lexical_search": LEXICAL_SQL,
     "op12_vector_codes": VECTOR_SQL,
+    "op13_substring_dedup": PASSAGES_SQL,
 }
