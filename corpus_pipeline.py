@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import decontamination, line_dedup, packing, quality, simhash
+from ledgermill.llm import decontamination, line_dedup, packing, quality, similar_texts, simhash
 from ledgermill.llm.common import save
 
 
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, texts of a similarity of 0.8 or more in their five-word shingles, that of the least id. Null and empty texts
-    are copies of each other; of rows with equal ids one stays; rows with a null id stay."""
-    return simhash.keep_one(docs, simhash.similar(docs))
+    are copies of each other, as are texts without a word; of rows with equal ids one stays; rows with a null id stay."""
+    return simhash.keep_one(docs, similar_texts.similar(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,16 @@ from pyspark.sql import functions as F
 from ..storage import forget, shared_folder
 from ..storage import store as save
 
-__all__ = ["CHUNK_BYTES", "Chunk", "bit_count", "bit_table", "cut_rows", "documents", "forget", "has_bit", "held_out", "mix", "per_row", "ragged", "row_chunks", "save", "shared_folder", "text_buffer", "text_chunks"]
+__all__ = [
+    "CHUNK_BYTES", "LOWERED", "SPACE", "Chunk", "bit_count", "bit_table", "cut_rows", "documents", "forget", "has_bit", "hashed_id", "held_out", "mix", "per_row", "ragged", "row_chunks", "runs", "save",
+    "shared_folder", "starts", "text_buffer", "text_chunks", "text_key", "word_hashes",
+]
 
 #: Bytes of text that numpy works on at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 19
+#: Which bytes are ASCII white space; each byte with A to Z in lower case.
+SPACE = np.array([x == 32 or 9 <= x <= 13 for x in range(256)])
+LOWERED = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,3 +203,48 @@ def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``bounds``."""
     sums = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def word_hashes(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, a 64-bit hash of each word, where each row's words begin and end) over a column of texts, some rows at a time.
+    With ``lower``, of words in lower case (ASCII letters only)."""
+    buf, off = text_buffer(column)
+    for i, j in row_chunks(off):
+        part, own = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        if lower:
+            part = LOWERED[part]
+        cuts, owner = cut_rows(part, own, SPACE)
+        found, counts = [], np.zeros(j - i, np.int64)
+        for a, b in row_chunks(cuts):
+            chunk = Chunk(part[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            start, end = chunk.words()
+            counts += np.bincount(owner[a:b][chunk.row_of(start)], minlength=j - i)
+            found.append(chunk.hashes(start, end))
+        yield i, j, np.concatenate([*found, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def runs(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every ``length`` words next to each other."""
+    if len(h) < length:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(h) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:-1])])
+    return mix((sums[length:] - sums[:-length]) * down[: len(h) - length + 1])
+
+
+def starts(bounds: np.ndarray, n: int, window: int) -> np.ndarray:
+    """At which of ``n`` places next to each other a window lies within one row."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return row[:n] == row[window - 1 : window - 1 + n]
+
+
+def text_key(text: bytes) -> tuple[int, int]:
+    """128 bits of a text's SHA-256, by which equal texts are known."""
+    d = hashlib.sha256(text).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)
+
+
+def hashed_id(batches):
+    """Over one column of longs: ``h``, their hashes as :func:`bit_table` takes them."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["h"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Chunk, cut_rows, documents, row_chunks, save, text_buffer
+from .common import LOWERED, Chunk, cut_rows, documents, row_chunks, save, text_buffer
 
 TOP = 10
 #: Items of a block at most, and their terms together (unless one item alone has more).
@@ -31,8 +31,6 @@ REACH = 16
 CELLS = 1 << 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_LOWERED = np.arange(256, dtype=np.uint8)
-_LOWERED[65:91] += 32
 _BREAK = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 
 
@@ -106,7 +104,7 @@ def _counted(vocabulary: np.ndarray):
             cuts, owner = cut_rows(buf, off, _BREAK)
             n, rows, which = np.zeros(b.num_rows, np.int64), [], []
             for i, j in row_chunks(cuts):
-                part = _LOWERED[buf[cuts[i] : cuts[j]]]
+                part = LOWERED[buf[cuts[i] : cuts[j]]]
                 chunk = Chunk(part, cuts[i : j + 1] - cuts[i])
                 start, end = chunk.runs(~_BREAK[part])
                 row = owner[i:j][chunk.row_of(start)]

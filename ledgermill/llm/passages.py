@@ -22,20 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, bit_table, cut_rows, documents, forget, has_bit, mix, row_chunks, save, text_buffer
-from .common import _powers as powers
+from .common import SPACE, bit_table, cut_rows, documents, forget, has_bit, hashed_id, mix, runs, save, starts, text_key, word_hashes
 
 WINDOW, ANCHOR = 50, 20
 #: Windows of a passage, words of an automaton, bytes of text that a block of documents has on average, and that are split into words at once.
 LONGEST, SHARD_WORDS, BLOCK_BYTES, PIECE = 4096, 200_000, 4 << 20, 1 << 19
 #: Where a row without an id stands: behind all others.
 LAST = (1 << 63) - 1
-_SPACE = np.array([x == 32 or 9 <= x <= 13 for x in range(256)])
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in order, those of about ``PIECE`` bytes at a time."""
-    off, _ = cut_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64), _SPACE, PIECE)
+    off, _ = cut_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64), SPACE, PIECE)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         yield text[a:b].split()
 
@@ -52,30 +50,6 @@ def kept_digest(text: bytes, gone: np.ndarray | None = None) -> str:
     return h.hexdigest()
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, a 64-bit hash of each word, where each row's words begin and end) over a column of texts, some rows at a time."""
-    buf, off = text_buffer(column)
-    for i, j in row_chunks(off):
-        part, own = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-        cuts, owner = cut_rows(part, own, _SPACE)
-        found, counts = [], np.zeros(j - i, np.int64)
-        for a, b in row_chunks(cuts):
-            chunk = Chunk(part[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
-            start, end = chunk.words()
-            counts += np.bincount(owner[a:b][chunk.row_of(start)], minlength=j - i)
-            found.append(chunk.hashes(start, end))
-        yield i, j, np.concatenate([*found, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)])
-
-
-def runs(h: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every ``length`` words next to each other."""
-    if len(h) < length:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(h) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:-1])])
-    return mix((sums[length:] - sums[:-length]) * down[: len(h) - length + 1])
-
-
 def anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
     """The least phrase hash of the window that begins at each word."""
     least, width, want = runs(h, anchor), 1, window - anchor + 1
@@ -86,32 +60,21 @@ def anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.nda
     return np.minimum(least[rest:], least[: len(least) - rest]) if rest else least
 
 
-def starts(bounds: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
-    """At which of ``n`` places next to each other a window lies within one row."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return row[:n] == row[window - 1 : window - 1 + n]
-
-
 def _lists(values: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """Values at increasing places, as a list for each row."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), pa.array(values))
 
 
-def _key(text: bytes) -> tuple[int, int]:
-    d = hashlib.sha256(text).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)
-
-
 def _measured(batches):
     """Over ``id, text``: the text's key in 128 bits, its number of words, the digest of all of them, and its anchors."""
     for b in batches:
         for i, j, h, bounds in word_hashes(b.column(1)):
             a = anchors(h)
-            inside = starts(bounds, len(a))
+            inside = starts(bounds, len(a), WINDOW)
             new = inside & np.concatenate([[True], (a[1:] != a[:-1]) | ~inside[:-1]])[: len(a)] if len(a) else inside
             at = np.flatnonzero(new)
             texts = [(x or "").encode() for x in b.column(1).slice(i, j - i).to_pylist()]
-            keys = np.array([_key(t) for t in texts], np.int64).reshape(-1, 2)
+            keys = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
             columns = [b.column(0).slice(i, j - i), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(bounds)), pa.array([kept_digest(t) for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, _lists(a[at].view(np.int64), at, bounds)], ["id", "k1", "k2", "n_words", "kept", "n_bytes", "anchors"])
 
@@ -123,17 +86,12 @@ def _with_key(table: np.ndarray, bits: int):
         known = np.unpackbits(table, bitorder="little").view(bool)
         for b in batches:
             b = b.filter(pa.array(has_bit(known, bits, mix(b.column(0).to_numpy().view(np.uint64)))))
-            keys = np.array([_key((x or "").encode()) for x in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
+            keys = np.array([text_key((x or "").encode()) for x in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), b.column(1)], ["id", "k1", "k2", "text"])
 
     return run
 
 
-def hashed_id(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["h"])
-
-
 def candidates(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """``id, k1, k2, text, anchors``: each different text that has an anchor of another one, once, under its least id, and which of its anchors others have."""
     pairs, path = save(measured.select("id", "k1", "k2", F.explode("anchors").alias("h")).groupBy("h", "k1", "k2").agg(F.min("id").alias("id")), "anchors")
@@ -161,7 +119,7 @@ def _windows(first: tuple[np.ndarray, int] | None = None):
             for i, j, h, bounds in word_hashes(b.column(3)):
                 a = anchors(h)
                 own = wanted.slice(i, j - i)
-                inside = starts(bounds, len(a)) & np.isin(a, own.flatten().to_numpy().view(np.uint64))
+                inside = starts(bounds, len(a), WINDOW) & np.isin(a, own.flatten().to_numpy().view(np.uint64))
                 at = np.flatnonzero(inside)
                 row = np.searchsorted(bounds, at, side="right") - 1
                 w1 = runs(h, WINDOW)[at].view(np.int64)

@@ -51,7 +51,7 @@ def _matrix(column: pa.Array, width: int, scale: int) -> np.ndarray:
     """:func:`integers` of an array column without nulls."""
     off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     if (np.diff(off) == width).all():
-        x = np.floor(values[off[0] : off[-1]].reshape(-1, width) * scale)
+        x = np.floor(values[off[0] : off[-1]].reshape(len(column), width) * scale)
         return np.clip(x, -most(width), most(width)).astype(np.int64)
     return integers([values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], width, scale)
 
@@ -85,7 +85,7 @@ def _columns(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.nd
     for k in range(b.num_rows):
         sizes = b.column(2)[k].values.to_numpy()
         values = np.split(b.column(3)[k].values.to_numpy(), np.cumsum(sizes)[:-1]) if len(sizes) else []
-        yield b.column(0)[k].values, b.column(1)[k].values, values, np.frombuffer(b.column(4)[k].as_buffer(), "<u4").reshape(len(sizes), -1)
+        yield b.column(0)[k].values, b.column(1)[k].values, values, np.frombuffer(b.column(4)[k].as_buffer(), "<u4").reshape(len(sizes), len(b.column(0)[k]))
 
 
 def nearest(values: list[np.ndarray], codes: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

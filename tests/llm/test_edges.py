@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgermill.llm import common, decontamination, fingerprints, language, packing, quality, ranks, sharding, simhash, suffix_dedup, token_counts
+from ledgermill.llm import common, decontamination, fingerprints, language, packing, quality, ranks, sharding, similar_texts, simhash, suffix_dedup, token_counts
 from ledgermill.llm.common import held_out, save
 
 from ..conftest import DATA
@@ -282,28 +282,44 @@ def test_without_a_shared_folder(spark):
 
 
 @pytest.mark.parametrize("size", [5, 64, 65, 900])
-def test_collisions_grow_with_rows_and_not_with_pairs(size):
-    """Near copies on one key: at most four links a row, and together they reach every row, in whatever batches they come."""
+def test_links_of_a_key_grow_with_rows_and_not_with_pairs(size):
+    """Near copies on one key: at most a link a row, and together they reach every row, in whatever batches they come; what is far stays alone in a key of few rows."""
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    fp = np.array([int(x) for x in np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)], np.uint64).view(np.int64)
-    rows = [(7, k, f) for k, f in enumerate(fp)] + [(9, 10_000, 5), (9, 10_001, 5), (11, 10_002, 5)]
-    links = set()
+    fp = np.unique(np.array([int(x) for x in np.uint64(1) << rng.integers(0, 63, size).astype(np.uint64)], np.int64) * 4096 + np.arange(size) % 4096)
+    rows = [(7, f, 0) for f in fp] + [(9, 5, 0), (9, 7, 0), (11, 5, 9), (11, -1, 0)]
+    links = []
     cut = sorted({0, len(rows), *rng.integers(0, len(rows), 4).tolist()})
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in range(3)], ["key", "node", "fp"]) for a, b in zip(cut, cut[1:], strict=False)]
-    for out in simhash._collisions(19, 64)(iter(batches)):
-        links |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
-    assert (10_000, 10_001) in links and not any(10_002 in x for x in links)
-    root = {k: k for k in range(size)}
-    for i, j in sorted(links):
-        if j < size:
-            a, b = min(root[i], root[j]), max(root[i], root[j])
-            root = {k: a if r == b else r for k, r in root.items()}
-    assert len(links) <= 4 * size + 1 and set(root.values()) == {0}
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in range(3)], ["key", "a", "b"]) for a, b in zip(cut, cut[1:], strict=False)]
+    for out in similar_texts._near(32, 64)(iter(batches)):
+        links += zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)
+    names = common.mix(common.mix(np.array([r[1] for r in rows], np.int64).view(np.uint64)) + np.array([r[2] for r in rows], np.uint64)).view(np.int64).tolist()
+    root = {n: n for n in names}
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = {k: a if r == b else r for k, r in root.items()}
+    assert len(links) <= len(rows) and len({root[n] for n in names[: len(fp)]}) == 1
+    assert root[names[len(fp)]] == root[names[len(fp) + 1]] and root[names[-1]] != root[names[-2]]
 
 
 def test_sampling_grows_with_the_fingerprints():
-    few, many = simhash.sampling(10**4), simhash.sampling(10**10)
-    assert few[0] < many[0] and few[1] < many[1] and simhash.sampling(0)[0] == 12
-    assert simhash.differing(1.0) == 0 and abs(simhash.differing(0.8) - 0.1515) < 1e-3
+    few, many = similar_texts.sampling(10**4), similar_texts.sampling(10**10)
+    assert few[0] < many[0] and few[1] < many[1] and similar_texts.sampling(0)[0] == 12
+    assert similar_texts.differing(1.0) == 0 and abs(similar_texts.differing(0.8) - 0.1515) < 1e-3
+
+
+def test_majorities_and_sets():
+    """Against plain loops: rows of no, few, repeated and very many words."""
+    rng = random.Random(4)
+    texts = ["", " ", "a", "A b", "a b c d", "a b c d e", "x " * 50, " ".join(rng.choices("abcdefghij", k=3000)), " ".join(f"w{k}" for k in range(90_000)), "a b c d e f"]
+    import pyarrow as pa
+
+    for i, j, h, bounds in common.word_hashes(pa.array(texts), lower=True):
+        value, own = similar_texts.shingle_sets(h, bounds)
+        got = similar_texts.majority(value, own)
+        for k in range(i, j):
+            w = texts[k].lower().split()
+            mine = value[own[k - i] : own[k - i + 1]]
+            assert len(set(mine.tolist())) == len(mine) == len({tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))} if w else {0})
+            assert int(got[k - i]) & (1 << 64) - 1 == sum(1 << x for x in range(64) if 2 * sum(int(m) >> x & 1 for m in mine) > len(mine))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgermill.llm import components, decontamination, fingerprints, language, line_dedup, packing, quality, queries, ranks, sharding, simhash, suffix_dedup, token_counts
+from ledgermill.llm import components, decontamination, fingerprints, language, line_dedup, packing, quality, queries, ranks, sharding, similar_texts, simhash, suffix_dedup, token_counts
 from ledgermill.llm.common import Chunk, held_out, save
 
 from ..conftest import DATA
@@ -536,9 +536,10 @@ def holds(text, item):
     return score[0] >= 2 * decontamination.LEAST * len(wanted) - 1e-9
 
 
-@pytest.mark.parametrize("crowd", [simhash.CROWD, 10])
-def test_similar_texts(spark, crowd):
-    """Groups of copies with edits around the limit, one of them large, against the sets themselves."""
+@pytest.mark.parametrize("crowd,small", [(similar_texts.CROWD, similar_texts.SMALL), (4, 3)])
+def test_similar_texts(spark, crowd, small):
+    """Groups of copies with edits around the limit, one of them large; texts of one repeated word and words of their own; and many texts with a long passage in
+    common, two of them alike: against the sets themselves."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     rows = []
@@ -550,8 +551,11 @@ def test_similar_texts(spark, crowd):
                 new[p] = word()
             rows.append(" ".join(new))
     rows += [" ".join(word() for _ in range(150)) for _ in range(60)] + ["", " \n", "one two", "One  two", "one two three"]
+    rows += [" ".join(["lorem"] * 120 + [word() for _ in range(90)]) for _ in range(2)]
+    passage, last = [word() for _ in range(120)], [word() for _ in range(60)]
+    rows += [" ".join(passage + [word() for _ in range(60)]) for _ in range(80)] + [" ".join(passage + last), " ".join([*passage, *last[:-1], word()])]
     want = similar_by_sets(dict(enumerate(rows)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), crowd=crowd).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), crowd=crowd, small=small).collect()}
     linked = [i for i, r in want.items() if i != r]
     assert all(got[i] == i for i, r in want.items() if sum(x == r for x in want.values()) == 1)  # nothing alike is left alone
     assert all(want[r] == want[i] for i, r in got.items()) and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
@@ -582,7 +586,7 @@ def test_pipeline(spark, docs, texts):
             root = similar_by_sets({i: r["text"] for i, r in before.items()})
             want = {i for i, r in root.items() if i == r}
             missed = set(now) - want  # candidates are found with a stated probability
-            assert want <= set(now) and len(missed) <= (1 - simhash.RECALL) * (len(before) - len(want))
+            assert want <= set(now) and len(missed) <= (1 - similar_texts.RECALL) * (len(before) - len(want))
             assert all(now[i]["text"] == before[i]["text"] for i in now)
         elif name == "decontamination":
             items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
