@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,9 +10,14 @@ from pyspark.sql.window import Window
 
 from ..constants import MATCH_THRESHOLD, MISMATCH_THRESHOLD
 from ..functions.text import bound, clean_number, normalised_name, strip
+from ..storage import forget, save, store
 
-#: Letters counted one by one before names are scored; others count together.
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789"
+#: Scores down to which names are searched, one after the other, for those that found nothing so alike before: a lower one takes more of a name's runs, 0 takes all.
+LEVELS = (MATCH_THRESHOLD, 85, 0)
+#: Runs of three letters beyond those that a name can lack, that a registered name has to share as well before it is scored.
+SPARE_RUNS = 2
+#: Pairs of names compared at once.
+PAIRS = 4096
 
 
 def common_length(a: str, b: str) -> int:
@@ -40,11 +46,60 @@ def similarity(a: str, b: str) -> float:
     return max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
 
 
+def _letters(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """The code points of texts, a row each, filled up to ``width``."""
+    out = np.full((len(texts), width), fill, np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    out[np.arange(width)[None, :] < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`common_length` of many pairs at once: a row of the table is 64-bit words, a bit for each letter of ``a``, and all pairs go on by a letter of ``b`` together."""
+    out = np.zeros(len(a), np.int64)
+    words = np.fromiter((max(1, -(-len(x) // 64)) for x in a), np.int64, len(a))
+    order = np.lexsort((np.fromiter(map(len, b), np.int64, len(b)), words))
+    for at in range(0, len(order), PAIRS):
+        for w in np.unique(words[order[at : at + PAIRS]]).tolist():
+            rows = order[at : at + PAIRS][words[order[at : at + PAIRS]] == w]
+            one, other = [a[k] for k in rows], [b[k] for k in rows]
+            x, y = _letters(one, -(-max(map(len, one)) // 8) * 8, 0xFFFFFFFF), _letters(other, max(map(len, other)), 0xFFFFFFFE)
+            if max(x.max(initial=0, where=x < 0xFFFFFFFF), y.max(initial=0, where=y < 0xFFFFFFFE)) < 254:  # bytes are compared faster
+                x, y = x.astype(np.uint8), np.minimum(y, 254).astype(np.uint8)
+            row, bits = np.full((len(rows), w), ~np.uint64(0)), np.zeros((len(rows), 8 * w), np.uint8)
+            for t in range(y.shape[1]):
+                bits[:, : x.shape[1] // 8] = np.packbits(x == y[:, t, None], axis=1, bitorder="little")
+                same = bits.view("<u8")
+                kept, carry = row & same, np.zeros(len(rows), np.uint64)
+                total = np.empty_like(row)
+                for k in range(w):  # the sum of long integers, word by word
+                    part = row[:, k] + kept[:, k]
+                    total[:, k] = part + carry
+                    carry = ((part < kept[:, k]) | (total[:, k] < part)).astype(np.uint64)
+                row = total | (row & ~same)
+            out[rows] = 64 * w - np.bitwise_count(row).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`similarity` of many pairs at once."""
+    size = np.fromiter((len(x) + len(y) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    common = common_lengths(a, b)
+    ordered = {x: " ".join(sorted(x.split())) for x in {*a, *b}}
+    worded = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if ordered[x] != x or ordered[y] != y]
+    score = np.where(size > 0, 200.0 * common / np.maximum(size, 1), 100.0)
+    if worded:
+        x, y = [ordered[a[k]] for k in worded], [ordered[b[k]] for k in worded]
+        both = np.fromiter((len(i) + len(j) for i, j in zip(x, y, strict=True)), np.int64, len(x))
+        score[worded] = np.maximum(score[worded], np.where(both > 0, 200.0 * common_lengths(x, y) / np.maximum(both, 1), 100.0))
+    return score
+
+
 def _similarities(a, b) -> Column:
     """:func:`similarity` of two columns, by Arrow batches."""
 
     def scores(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(similarities(x.tolist(), y.tolist()))
 
     return F.pandas_udf(scores, "double")(a, b)
 
@@ -93,74 +148,115 @@ def _sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(name, " ")), " ")
 
 
-def _runs(text: Column) -> Column:
-    """The runs of three letters of a text, once each; of four letters or fewer, the whole text."""
-    runs = bound(text, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
-    return F.when(F.length(text) < 5, F.array(F.concat(F.lit("="), text))).otherwise(runs)
+def _trigrams(text: Column) -> Column:
+    """The runs of three letters of a text, once each; of fewer letters none."""
+    every = bound(text, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
+    return F.when(F.length(text) < 3, F.array().cast("array<string>")).otherwise(every)
+
+
+def _whole(text: Column) -> Column:
+    """The key of a name of four letters or fewer, which is like no other at the threshold."""
+    return F.when(F.length(text) < 5, F.array(F.concat(F.lit("="), text))).otherwise(F.array().cast("array<string>"))
 
 
 def blocks(name: Column) -> Column:
-    """Blocking keys of a normalised name: the runs of three letters of the name as it is and with its words sorted."""
-    return F.when(F.contains(name, F.lit(" ")), F.array_distinct(F.concat(_runs(name), _runs(_sorted_words(name))))).otherwise(_runs(name))
+    """The keys of a normalised name: the runs of three letters of the name as it is and with its words sorted, and all of a short one."""
+    return F.array_distinct(F.concat(_trigrams(name), _trigrams(_sorted_words(name)), _whole(name)))
 
 
-def lost_runs(length: Column) -> Column:
-    """How many runs of three letters of a name of ``length`` letters a name that reaches the threshold can lack, at most. With u letters left out and v put in,
-    the score is 200 * (length - u) / (2 * length - u + v), each left out breaks three runs and each put in two."""
-    spare = (200.0 - 2 * MATCH_THRESHOLD) / MATCH_THRESHOLD
+def lost_runs(length: Column, least: float = MATCH_THRESHOLD) -> Column:
+    """How many runs of three letters of a name of ``length`` letters a name that reaches the score can lack, at most. With u letters left out and v put in, the
+    score is 200 * (length - u) / (2 * length - u + v), each left out breaks three runs and each put in two."""
+    spare = (200.0 - 2 * least) / least
     most = F.transform(F.sequence(F.lit(0), F.floor(length * (spare / (1 + spare))).cast("int")), lambda u: u + 2 * F.floor((length - u) * spare + 1e-9).cast("int"))
     return F.array_max(most)
 
 
-def candidates(names: DataFrame, register: DataFrame) -> DataFrame:
-    """``searched, company_number, company_name, registered`` (the last normalised) of pairs to score: every pair that can reach the threshold, and others.
+def registered_names(register: DataFrame) -> DataFrame:
+    """A stored row for each different normalised name: ``rid, registered``, its company of the least number, and how many have it."""
+    named = register.select("company_number", "company_name", normalised_name(F.col("company_name")).alias("registered"))
+    one = named.groupBy("registered").agg(F.min("company_number").alias("company_number"), F.min_by("company_name", "company_number").alias("company_name"), F.count(F.lit(1)).alias("companies"))
+    return save(one.withColumn("rid", F.monotonically_increasing_id()), "registered")
+
+
+def register_keys(reg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, rid`` of all registered names, stored, and how many names have each key."""
+    keys = save(reg.filter("registered != ''").select("rid", F.explode(blocks(F.col("registered"))).alias("key")), "keys")
+    return keys, keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("df"))
+
 
-    A name reaches it as it is or with sorted words. Either way it shares more runs of three letters with the registered one than :func:`lost_runs` says it
-    can lack, so of its runs in one form, that many and one more find it, whichever they are: those of least frequency in the register are taken. A frequent run
-    brings pairs only to names that have nothing rarer. Both sides are joined on the key; nothing is broadcast. Pairs whose lengths, or whose letters, however
-    ordered, can't reach the threshold drop before they are shuffled again and scored.
+def pairs_at(own: DataFrame, keys: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+    """``sid, rid``: every pair of a name (``sid, searched``) and a registered one that shares a run and can reach the score ``least``, and others.
+
+    A name reaches it as it is or with sorted words. Either way it shares all but :func:`lost_runs` of its runs with the registered one, so that many of its rarest
+    and ``SPARE_RUNS`` + 1 more find it, and the registered one has at least as many of them as are beyond those that can be lost. A frequent run brings pairs only
+    to names that have nothing rarer. Pairs are counted by their ids; nothing is broadcast. With 0 every run is taken.
     """
-    letters = lambda c: F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
-    reg = register.select("company_number", "company_name", normalised_name(F.col("company_name")).alias("registered"))
-    own = names.select("searched").distinct()
-    exact = own.join(reg, F.col("searched") == F.col("registered"))
-    keys = reg.filter("registered != ''").withColumn("r_letters", letters(F.col("registered"))).select("*", F.explode(blocks(F.col("registered"))).alias("key"))
-    frequency = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("df"))
     both = F.when(F.contains("searched", F.lit(" ")), F.array(F.col("searched"), _sorted_words(F.col("searched")))).otherwise(F.array("searched"))
-    forms = own.filter("searched != ''").select("searched", F.posexplode(both).alias("form", "text"))
-    asked = forms.select("searched", "form", "text", F.explode(_runs(F.col("text"))).alias("q")).join(frequency, F.col("q") == F.col("k"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    forms = own.select("sid", F.posexplode(both).alias("form", "text"))
+    # at the threshold a short name finds its equals only
+    runs = F.when(F.length("text") < (5 if least >= MATCH_THRESHOLD else 3), _whole(F.col("text"))).otherwise(_trigrams(F.col("text")))
+    asked = forms.select("sid", "form", "text", F.explode(runs).alias("q")).join(frequency, F.col("q") == F.col("k"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # a run that a name has several times is lost as often
-    times = F.regexp_count("text", F.concat(F.lit("(?=\\Q"), F.col("q"), F.lit("\\E)")))
-    order = Window.partitionBy("searched", "form").orderBy("df", "q").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = asked.withColumn("before", F.coalesce(F.sum(times).over(order), F.lit(0))).filter((F.col("before") <= lost_runs(F.length("text"))) & (F.col("df") > 0))
-    asked = ranked.select("searched", "q").distinct().withColumn("s_letters", letters(F.col("searched")))
-    a, b = F.length("searched"), F.length("registered")
-    # 200 * min / (a + b), the best ratio of the two lengths
-    possible = 200.0 * F.least(a, b) >= MATCH_THRESHOLD * (a + b)
-    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
-    common = total(F.zip_with("s_letters", "r_letters", lambda x, y: F.least(x, y))) + F.least(a - total(F.col("s_letters")), b - total(F.col("r_letters")))  # others than LETTERS
-    near = asked.join(keys, F.col("q") == F.col("key")).filter(possible).filter(200.0 * common >= MATCH_THRESHOLD * (a + b))
-    near = near.select("searched", "company_number", "company_name", "registered")
-    return exact.select(*near.columns).union(near).distinct()
-
-
-def best_by_name(pairs: DataFrame) -> DataFrame:
-    """Per searched name, the candidate of the highest score (ties: the least number), ``accepted`` from the threshold on, and ``ambiguous`` if another
-    company reaches it too."""
-    scored = pairs.withColumn("score", F.when(F.col("searched") == F.col("registered"), 100.0).otherwise(_similarities("searched", "registered")))
-    name = Window.partitionBy("searched")
-    ranked = scored.withColumn("r", F.row_number().over(name.orderBy(F.desc("score"), "company_number"))).withColumn("good", F.count(F.when(F.col("score") >= MATCH_THRESHOLD, 1)).over(name))
-    best = ranked.filter("r = 1")
-    note = F.when(F.col("score") < MATCH_THRESHOLD, F.concat(F.lit("no confident match (closest: "), F.col("company_name"), F.lit(", "), F.format_number(F.rint("score"), 0), F.lit("%)"))).when(
-        F.col("good") > 1, F.lit("several companies with near-identical names, check this is the right one")
-    )
-    return best.select("searched", "company_number", "company_name", "score", (F.col("score") >= MATCH_THRESHOLD).alias("accepted"), (F.col("good") > 1).alias("ambiguous"), note.alias("match_note"))
+    times = F.greatest(F.lit(1), F.regexp_count("text", F.concat(F.lit("(?=\\Q"), F.col("q"), F.lit("\\E)"))))
+    lost = lost_runs(F.length("text"), least) if least else F.lit(1 << 20)
+    form = Window.partitionBy("sid", "form")
+    before = F.sum("times").over(form.orderBy("df", "q").rowsBetween(Window.unboundedPreceding, -1))
+    asked = asked.withColumn("times", times).withColumn("before", F.coalesce(before, F.lit(0))).withColumn("lost", lost).filter(F.col("before") <= F.col("lost") + SPARE_RUNS)
+    asked = asked.withColumn("need", F.greatest(F.lit(1), F.sum("times").over(form) - F.col("lost"))).filter("df > 0").select("sid", "form", "q", "times", "need")
+    met = asked.join(keys, F.col("q") == F.col("key")).groupBy("sid", "form", "rid").agg(F.sum("times").alias("shared"), F.max("need").alias("need"))
+    return met.filter("shared >= need").select("sid", "rid").distinct()
+
+
+def candidates(names: DataFrame, register: DataFrame, least: float = MATCH_THRESHOLD) -> DataFrame:
+    """``searched, registered`` of :func:`pairs_at`."""
+    reg = registered_names(register)
+    own = names.select("searched").distinct().withColumn("sid", F.xxhash64("searched"))
+    return pairs_at(own, *register_keys(reg), least).join(own, "sid").join(reg, "rid").select("searched", "registered")
+
+
+def closest_names(names: DataFrame, register: DataFrame) -> DataFrame:
+    """``searched, company_number, company_name, score, good`` of every different searched name that shares a run of three letters with a registered one: the most alike of
+    these (ties: the least number), and how many companies reach the threshold.
+
+    Names are searched at falling scores. What a name finds at a score or above is the closest there is, and it isn't searched again; so only names that are like none are
+    compared with all that share any run with them.
+    """
+    spark = names.sparkSession
+    reg = registered_names(register)
+    keys, frequency = register_keys(reg)
+    frequency, frequency_path = store(frequency, "frequency")
+    open_, path = store(names.select("searched").filter("searched != ''").distinct().withColumn("sid", F.monotonically_increasing_id()), "open")
+    found: DataFrame | None = None
+    for least in LEVELS:
+        pairs = pairs_at(open_, keys, frequency, least)
+        a, b = F.length("searched"), F.length("registered")
+        both = pairs.join(open_, "sid").join(reg, "rid").filter(200.0 * F.least(a, b) >= least * (a + b))  # the best score of the two lengths
+        same = F.col("searched") == F.col("registered")
+        wanted = ["sid", "searched", "company_number", "company_name", "companies"]
+        scored = both.filter(~same).withColumn("score", _similarities("searched", "registered")).select(*wanted, "score").union(open_.join(reg, same).withColumn("score", F.lit(100.0)).select(*wanted, "score"))
+        place = F.min(F.struct((-F.col("score")).alias("less"), "company_number", "company_name")).alias("best")
+        best = scored.groupBy("sid", "searched").agg(place, F.sum(F.when(F.col("score") >= MATCH_THRESHOLD, F.col("companies")).otherwise(0)).alias("good"))
+        closed = save(best.select("sid", "searched", "best.company_number", "best.company_name", (-F.col("best.less")).alias("score"), "good").filter(F.col("score") >= least), "closest")
+        found = closed if found is None else found.union(closed)
+        before = path
+        open_, path = store(open_.join(closed.select(F.col("sid").alias("c")), F.col("sid") == F.col("c"), "left_anti"), "open")
+        forget(spark, before)
+        if open_.isEmpty():
+            break
+    for p in (path, frequency_path):
+        forget(spark, p)
+    assert found is not None
+    return found.drop("sid")
 
 
 def match_names(companies: DataFrame, register: DataFrame) -> DataFrame:
-    """Companies without a number, with the register's best match for their name; null company_number where none is accepted."""
+    """Companies without a number, with the register's best match for their name; null company_number where none is accepted, and then the note names the closest."""
     rows = companies.filter("number_key = ''").withColumn("searched", normalised_name(F.col("name")))
-    best = best_by_name(candidates(rows, register)).withColumnRenamed("searched", "__s")
+    accepted, several = F.col("score") >= MATCH_THRESHOLD, F.col("good") > 1
+    note = F.when(~accepted, F.concat(F.lit("no confident match (closest: "), F.col("company_name"), F.lit(", "), F.format_number(F.rint("score"), 0), F.lit("%), add the company number")))
+    note = note.when(several, F.lit("several companies with near-identical names, add the company number to be sure"))
+    best = closest_names(rows, register).select(F.col("searched").alias("__s"), "company_number", "company_name", "score", accepted.alias("accepted"), (accepted & several).alias("ambiguous"), note.alias("match_note"))
     joined = rows.join(best, F.col("searched") == F.col("__s"), "left").drop("__s")
     note = F.when(F.col("score").isNull(), "company not found on the register").otherwise(F.col("match_note"))
     keep = lambda c: F.when(F.col("accepted"), F.col(c)).alias(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..constants import MEANINGS, STATUSES
 from .proxies import COMPANIES_SQL, ENDINGS, FACTS_SQL, FILINGS_SQL, KEYWORDS, OCR_SOURCE, OTHER_NAME, ROWS_SQL, clean_sql
-from .world import KEYWORDS as FEW, REPORT, world_sql
+from .world import KEYWORDS as FEW, REPORT, letters_sql, world_sql
 
 
 def _keywords() -> str:
@@ -141,9 +141,10 @@ SELECT row_no, k.name_key, k.number_key, nullif(n, '~') AS first_number, length(
     "name_exact_match": f"""WITH n AS (SELECT p_partkey AS row_no, {_normalised('name')} AS searched FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'The ' ELSE '' END || p_name || ' ' || p_brand || {_ENDING} AS name FROM part)),
 r AS (SELECT {_normalised("p_name || ' ' || p_brand")} AS registered, min(p_partkey) AS number, count(*)::BIGINT AS same_name FROM part GROUP BY 1)
 SELECT row_no, searched, number, same_name FROM n LEFT JOIN r ON searched = registered""",
-    "name_fuzzy_best": """SELECT row_no, CASE WHEN m <> 2 THEN lpad(row_no::VARCHAR, 8, '0') END AS company_number, CASE WHEN m < 2 THEN 96.0 WHEN m = 3 THEN 100.0 END::DOUBLE AS score, m <> 2 AND row_no % 10 = 0 AS ambiguous,
-  CASE WHEN m = 2 THEN 'company not found on the register' WHEN row_no % 10 = 0 THEN 'several companies with near-identical names, check this is the right one' END AS match_note
-FROM (SELECT p_partkey AS row_no, p_partkey % 4 AS m FROM part)""",
+    "name_fuzzy_best": f"""SELECT row_no, CASE WHEN score >= 90 THEN lpad(row_no::VARCHAR, 8, '0') END AS company_number, score, coalesce(score >= 90 AND row_no % 10 = 0, false) AS ambiguous,
+  CASE WHEN score IS NULL THEN 'company not found on the register' WHEN score < 90 THEN 'no confident match (closest: ' || {letters_sql('row_no')} || ' PLC, ' || round_even(score, 0)::INT || '%), add the company number'
+    WHEN row_no % 10 = 0 THEN 'several companies with near-identical names, add the company number to be sure' END AS match_note
+FROM (SELECT p_partkey AS row_no, CASE WHEN m % 4 < 2 THEN 96 WHEN m = 3 THEN 100 WHEN m = 6 THEN 2400::DOUBLE / 39 WHEN m = 7 THEN 2400::DOUBLE / 27 END::DOUBLE AS score FROM (SELECT p_partkey, p_partkey % 8 AS m FROM part))""",
     "profile_pages": """SELECT lpad(c_custkey::VARCHAR, 8, '0') AS company_number, CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN '31 March 2025' END AS last_accounts, c_custkey % 11 = 0 AS accounts_overdue FROM customer""",
     "company_report": f"{_WORLD} SELECT {', '.join({'company_name': 'shown_name AS company_name', 'company_number': 'shown_number AS company_number'}.get(c, c) for c in REPORT)} FROM res",
     "company_summary": _company_summary(),

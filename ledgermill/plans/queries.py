@@ -87,12 +87,13 @@ def name_exact_match(spark, sf_dir):
 
 
 def name_fuzzy_best(spark, sf_dir):
-    """Parts as companies named by a hash, every tenth twice; typed as they are, with a letter too many, or unlike any."""
+    """Parts as companies named by a hash, every tenth twice; typed as they are, with 1, 3 or 15 letters too many, or unlike any."""
     k = F.col("p_partkey")
     parts = P.table(spark, sf_dir, "part").select(k, W.letters(k).alias("n"))
     reg = parts.select(F.lpad(k.cast("string"), 8, "0").alias("company_number"), F.concat("n", F.lit(" PLC")).alias("company_name"))
     reg = reg.unionByName(parts.filter(k % 10 == 0).select(F.concat(F.lit("ZZ"), F.lpad(k.cast("string"), 6, "0")).alias("company_number"), F.concat(F.lit("The "), F.col("n")).alias("company_name")))
-    typed = F.when(k % 4 < 2, F.concat(F.substring("n", 1, 5), F.lit("X"), F.substring("n", 6, 20))).when(k % 4 == 2, W.UNKNOWN).otherwise(F.lower("n"))
+    more = lambda n: F.concat(F.substring("n", 1, 5), F.lit("X" * n), F.substring("n", 6, 20))
+    typed = F.when(k % 4 < 2, more(1)).when(k % 8 == 2, W.UNKNOWN).when(k % 8 == 6, more(15)).when(k % 8 == 7, more(3)).otherwise(F.lower("n"))
     names = parts.select(k.alias("row_no"), typed.alias("name"), F.lit("").alias("number_key"))
     return match.match_names(names, reg).select("row_no", "company_number", "score", "ambiguous", "match_note")
 

@@ -30,6 +30,11 @@ def _typed(name: Column) -> Column:
     return F.concat(F.substring(name, 1, 3), F.lit("X"), F.substring(name, 4, 20))
 
 
+def _far(name: Column) -> Column:
+    """With fifteen letters too many: a score of 200 * 12 / 39."""
+    return F.concat(name, F.lit("X" * 15))
+
+
 def profiles(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
     said = F.when(k % 17 == 0, "First  accounts made up to 1 May 2026").when(k % 2 == 0, "Last accounts\n made up to 31 March 2025").otherwise("")
@@ -43,7 +48,7 @@ def companies(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
     number = F.when(k % 13 == 0, k + 50_000_000).otherwise(k).cast("string")
     by_number = c.select((k * 2).alias("row_no"), F.when(k % 9 == 0, OTHER).when(k % 9 == 1, F.lower(letters(k))).alias("name"), F.concat(F.when(k % 3 == 0, " ").otherwise(""), number).alias("number"))
-    name = F.when(k % 4 == 0, F.concat(F.lower(letters(k)), F.lit(" ltd"))).when(k % 4 == 1, _typed(letters(k))).when(k % 4 == 2, UNKNOWN)
+    name = F.when(k % 4 == 0, F.concat(F.lower(letters(k)), F.lit(" ltd"))).when(k % 4 == 1, _typed(letters(k))).when(k % 8 == 2, UNKNOWN).when(k % 8 == 6, _far(letters(k)))
     by_name = c.select((k * 2 + 1).alias("row_no"), name.alias("name"), F.when(k % 4 == 3, number).alias("number"))
     return by_number.unionByName(by_name)
 
@@ -101,7 +106,7 @@ reg AS (SELECT c_custkey AS c, lpad(c_custkey::VARCHAR, 8, '0') AS company_numbe
 asked AS (SELECT c_custkey * 2 AS row_no, c_custkey AS c, c_custkey % 13 <> 0 AS found, true AS by_number,
     CASE WHEN c_custkey % 9 = 0 THEN '{OTHER}' WHEN c_custkey % 9 = 1 THEN lower({name}) END AS typed FROM customer
   UNION ALL SELECT c_custkey * 2 + 1, c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_custkey % 13 <> 0 ELSE c_custkey % 4 < 2 END, c_custkey % 4 = 3,
-    CASE c_custkey % 4 WHEN 0 THEN lower({name}) || ' ltd' WHEN 1 THEN substr({name}, 1, 3) || 'X' || substr({name}, 4) WHEN 2 THEN '{UNKNOWN}' END FROM customer),
+    CASE c_custkey % 4 WHEN 0 THEN lower({name}) || ' ltd' WHEN 1 THEN substr({name}, 1, 3) || 'X' || substr({name}, 4) WHEN 2 THEN CASE WHEN c_custkey % 8 = 2 THEN '{UNKNOWN}' ELSE {name} || repeat('X', 15) END END FROM customer),
 doc AS (SELECT company_number, filed_on::DATE AS filed_on, description, pos AS k, {reason} AS reason, floor(round_even(o_totalprice * 100, 0) / 100) + 1000 AS a,
     pos % 3 = 0 AND pos % 21 <> 0 AS ix, pos % 5 <> 4 AS pdf, pos % 5 <> 4 AND pos % 7 <> 6 AS pages, (pos // 2) % 2 = 0 AS ocr, pos % 8 <> 1 AS shown FROM latest JOIN orders ON o_orderkey = pos),
 j AS (SELECT a.row_no, a.c, a.found, a.by_number, a.typed, r.company_number AS number, r.company_name, d.* EXCLUDE (company_number), ix AND k % 4 IN (0, 1) AS ix_found,
@@ -116,7 +121,7 @@ res AS (SELECT *, CASE WHEN rule = 2 THEN 'NOT FOUND' WHEN rule IN (3, 4, 7, 12,
   CASE WHEN rule = 6 AND k % 4 = 0 THEN '2025-12-31' WHEN rule >= 6 THEN filed_on::VARCHAR END AS period_end,
   CASE WHEN rule >= 6 AND ix THEN CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END WHEN rule >= 10 THEN CASE WHEN ocr THEN 0 ELSE 1 END END AS keyword_count,
   CASE WHEN rule >= 6 AND ix THEN CASE WHEN k % 2 = 1 THEN 'foreign exchange (1), hedging (1)' ELSE 'none found' END WHEN rule >= 10 THEN CASE WHEN ocr THEN 'none found' ELSE 'foreign exchange (2)' END END AS keywords,
-  nullif(concat_ws('; ', CASE rule WHEN 2 THEN CASE WHEN by_number THEN 'company number ' || (c + 50000000) || ' not on the register' ELSE 'company not found on the register' END
+  nullif(concat_ws('; ', CASE rule WHEN 2 THEN CASE WHEN by_number THEN 'company number ' || (c + 50000000) || ' not on the register' WHEN c % 8 = 2 THEN 'company not found on the register' ELSE 'no confident match (closest: ' || company_name || ', 62%), add the company number' END
     WHEN 3 THEN 'no accounts filed yet (new company)' WHEN 4 THEN 'no accounts filed' WHEN 5 THEN 'accounts made up to ' || last || ' exist but weren''t found in the filing history, check the company page'
     WHEN 7 THEN reason WHEN 8 THEN 'the accounts filing has no downloadable document' WHEN 9 THEN 'the accounts PDF couldn''t be downloaded' WHEN 12 THEN reason WHEN 13 THEN 'turnover not shown in the filed accounts'
     WHEN 14 THEN 'no turnover line found in 3 pages, open the PDF to check' END,

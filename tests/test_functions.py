@@ -1,5 +1,7 @@
 """Column functions and row reading against values worked out by hand."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +62,16 @@ def test_common_length(a, b):
     assert match.common_length(a, b) == quadratic(a, b)
 
 
+def test_similarities_of_many_pairs():
+    """In batches as one by one: lengths around the words of 64 bits, carries, blanks, letters beyond 16 bits, empty names."""
+    rng = random.Random(7)
+    letters = "ABCDEFGH ÉX 12𝄞"
+    a = ["".join(rng.choices(letters, k=rng.choice([0, 1, 3, 20, 20, 20, 63, 64, 65, 130, 200]))) for _ in range(10_000)]
+    b = ["".join(x for x in t if rng.random() > 0.1) + "".join(rng.choices(letters, k=rng.randint(0, 9))) if rng.random() < 0.7 else "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 70]))) for t in a]
+    assert match.similarities(a, b).tolist() == [match.similarity(x, y) for x, y in zip(a, b, strict=True)]
+    assert match.similarities(["A" * 300], ["A" * 299]).tolist() == [200.0 * 299 / 599] and match.similarities([], []).tolist() == []
+
+
 TURNOVER = [
     ("Turnover 5 412,007 398,511", 412007, 398511), ("Revenue 1,4 88,120 88,120 79,903 79,903", 88120, None), ("Revenue 3.2 4,118.6", 4119, None), ("Group turnover 61.205 58,330", 61205, 58330),
     ("Revenue 48.6 44.1", 49, 44), ("Turnover £000 9,310", 9310000, None), ("Sales (note 7) 15,250", 15250, None), ("Revenue (7) 2,345 2,100", 2345, 2100), ("Net sales (6,400)", -6400, None), ("Turnover 2 nil 812", 0, None),

@@ -128,6 +128,54 @@ def test_candidates_lose_no_match(spark):
     assert len(want) > 100 and want <= found
 
 
+def test_closest_names(spark):
+    """500 names against 500 registered ones, all pairs compared: the closest of those that share a run of three letters, with scores from 40 to 100."""
+    rng = random.Random(9)
+    words = ["NORTHGATE", "HARBOUR", "STREET", "GARAGE", "BAKERY", "BAKERIES", "MILLS", "OLD", "ÉTOILE", "QUAY", "TRADING", "AND", "SONS", "12"]
+    name = lambda: " ".join(rng.choice(words) if rng.random() < 0.6 else "".join(rng.choices("ABCDEILNORST", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))
+    registered = [name() for _ in range(480)] + [name() + " " + "LONG " * 30 for _ in range(20)]
+    typed = []
+    for n in registered:
+        letters = list(n)
+        for _ in range(rng.choice([0, 1, 2, 4, 8, 12])):
+            p = rng.randrange(len(letters) + 1)
+            letters[p : p + rng.randint(0, 2)] = rng.choices("ABCDEX ", k=rng.randint(0, 2))
+        typed.append(" ".join("".join(letters).split()))
+    reg = spark.createDataFrame([(f"{k:08d}", n) for k, n in enumerate(registered)], "company_number string, company_name string")
+    rows = spark.createDataFrame([(k, t, "") for k, t in enumerate(typed)], "row_no int, name string, number_key string")
+    got = {r["row_no"]: r for r in match.match_names(rows, reg).collect()}
+    from ledgermill.functions.text import normalised_name
+
+    norm = lambda df, c: [r["n"] for r in df.select(normalised_name(F.col(c)).alias("n")).collect()]
+    runs = lambda t: {f[k : k + 3] for f in (t, " ".join(sorted(t.split()))) for k in range(len(f) - 2)}
+    known, levels = norm(reg, "company_name"), set()
+    known_runs = [runs(n) for n in known]
+    for k, t in enumerate(norm(rows.orderBy("row_no"), "name")):
+        mine = runs(t)
+        scores = [(-match.similarity(t, n), i) for i, (n, r) in enumerate(zip(known, known_runs, strict=True)) if t and n and (mine & r or n == t)]
+        if not scores:
+            assert got[k]["score"] is None and got[k]["match_note"] == "company not found on the register"
+            continue
+        score, i = -min(scores)[0], min(scores)[1]
+        assert got[k]["score"] == pytest.approx(score), (t, known[i])
+        levels.add(int(score) // 10)
+        if score >= 90:
+            assert got[k]["company_number"] == f"{i:08d}" and got[k]["ambiguous"] == (sum(s <= -90 for s, _ in scores) > 1)
+        else:
+            assert got[k]["company_number"] is None and got[k]["match_note"] == f"no confident match (closest: {registered[i]}, {score:.0f}%), add the company number"
+    assert levels >= {5, 6, 7, 8, 9, 10}
+
+
+def test_names_that_are_close_but_not_enough(spark):
+    reg = spark.createDataFrame([("1", "Northgate Bakery Limited"), ("2", "Harbour Street Garage Ltd")], "company_number string, company_name string")
+    rows = match.with_keys(spark.createDataFrame([(1, "Northgate Bakeries UK", None), (2, "Harbour St Garage", None), (3, "Zz", None), (4, "Ltd", None)], "row_no int, name string, number string"))
+    notes = {r["row_no"]: (r["company_number"], r["match_note"]) for r in match.match_names(rows, reg).collect()}
+    assert notes[1] == (None, "no confident match (closest: Northgate Bakery Limited, 81%), add the company number")
+    assert notes[2] == (None, "no confident match (closest: Harbour Street Garage Ltd, 89%), add the company number")
+    assert notes[3] == notes[4] == (None, "company not found on the register")
+    assert match.match_names(rows, reg.limit(0)).filter("match_note != 'company not found on the register'").count() == 0
+
+
 def test_summary(spark, tmp_path):
     rows = spark.createDataFrame([("FOUND", 2), ("FOUND", 0), ("ERROR", None)], "turnover_status string, keyword_count int")
     got = {r["status"]: r["companies"] for r in report.status_summary(rows).collect()}
