@@ -17,6 +17,7 @@ So no pair of a group is missed, and work grows with rows as long as groups hang
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -186,8 +187,7 @@ def candidate_links(prints: DataFrame, n: int, least: float = LEAST, recall: flo
     bits, samples = sampling(n, least, recall)
     rng = np.random.default_rng(17)
     flips = F.array(*[F.lit(m).cast("long") for k in range(RADIUS // 2 + 1) for m in (sum(1 << i for i in c) for c in itertools.combinations(range(bits), k))])
-    found: DataFrame | None = None
-    path = None
+    found: list[DataFrame] = []
     for _ in range(samples):
         places = rng.permutation(128)[:bits].tolist()
 
@@ -202,13 +202,9 @@ def candidate_links(prints: DataFrame, n: int, least: float = LEAST, recall: flo
         each = prints.select("a", "b").mapInArrow(values, "a long, b long, value long").select(F.explode(flips).alias("m"), "value", "a", "b")
         variants = each.select(F.col("value").bitwiseXOR(F.col("m")).alias("key"), "a", "b")
         links = variants.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_near(most_bits(128, least), crowd), "u long, v long")
-        before = path
-        found, path = save(links.distinct() if found is None else links.union(found).distinct(), "links")
-        if before:
-            forget(spark, before)
+        found.append(save(links, "links")[0])
         spark.sparkContext._jvm.System.gc()  # the shuffle files of a sample go with the plan that made them
-    assert found is not None
-    return found
+    return functools.reduce(DataFrame.union, found)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
