@@ -6,7 +6,7 @@ switch languages get a label a word; a text's language is the one with the great
 
 The field is fitted by AdaGrad on a bounded sample of labelled documents, whose word runs are also joined at random to code-switched chains of ``CHAIN``
 words: at most ``SAMPLE_DOCS`` documents a language and ``SAMPLE_TOTAL`` in all, but one at least of each, drawn by a hash over all documents of a language; of
-a longer document, a stretch of ``SAMPLE_CHARS`` code points. The ``LANGUAGES`` most frequent languages are learnt, which bounds the model.
+a longer document, a stretch of ``SAMPLE_CHARS`` code points. Every language is learnt: rows are bounded, languages are not.
 
 Forward-backward is exact for lines of any length: a line longer than a block is worked on block by block at once, with the product of its transition
 matrices carried from block to block.
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Chunk, documents, held_out, ragged, text_chunks
+from .common import CHUNK_BYTES, Chunk, documents, held_out, ragged, text_chunks
 
-BUCKETS, CHAIN, CHAINS, EPOCHS, STEP = 1 << 16, 40, 4000, 3, 0.15
-SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS, LANGUAGES = 300, 2400, 20_000, 256
+BUCKETS, CHAIN, CHAINS, CHAINS_EACH, EPOCHS, STEP = 1 << 16, 40, 4000, 30, 3, 0.15
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 300, 2400, 20_000
 UNKNOWN = "und"
 
 
@@ -165,8 +165,8 @@ def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, moves
         if len(b):
             later = score[at[: len(b)] + 1] * b
             if pairs:
-                both = ahead[at[: len(b)]][:, :, None] * step[None] * later[:, None, :]
-                expected += (both / both.sum((1, 2), keepdims=True)).sum(0)
+                here = ahead[at[: len(b)]]
+                expected += step * ((here / ((here @ step) * later).sum(1, keepdims=True)).T @ later)
             new[: len(b)] = later @ step.T
         b = new / new.sum(1, keepdims=True)
         behind[at] = b
@@ -205,7 +205,8 @@ def train(texts: list[tuple[str, str]]) -> Field:
     truth = np.array([labels.index(x) for _, x in texts])[c.row_of(start)]
     of = [np.flatnonzero(truth == k) for k in range(len(labels))]
     rng = np.random.default_rng(2)
-    chains = np.empty((CHAINS, CHAIN), np.int64)
+    count = max(CHAINS, CHAINS_EACH * len(labels))
+    chains = np.empty((count, CHAIN), np.int64)
     for chain in chains:  # half of one language, half of runs of several
         at = 0
         while at < CHAIN:
@@ -217,7 +218,7 @@ def train(texts: list[tuple[str, str]]) -> Field:
     weights, moves = np.zeros((BUCKETS, len(labels))), np.zeros((len(labels), len(labels)))
     past, past_moves = np.full_like(weights, 1e-3), np.full_like(moves, 1e-3)
     for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(CHAINS), max(1, CHAINS // 250)):
+        for batch in np.array_split(rng.permutation(count), max(1, count // 250)):
             token = chains[batch].ravel()
             bounds = np.arange(len(batch) + 1) * CHAIN
             emit = words.emissions(weights)[word[token]]
@@ -240,12 +241,12 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     language. All rows are drawn from, long ones too; only a few times the sample is sorted."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\S") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = min(SAMPLE_DOCS, max(1, SAMPLE_TOTAL // max(1, len(counts))))
     # a draw of 63 bits; of n rows, those below this share hold the least `each` but for a chance of less than one in 10**9
     shares = {lang: min(1.0, (2 * each + 60) / n) for lang, n in counts.items()}
-    limit = F.try_element_at(F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, min(int(share * 2**63), 2**63 - 1))]), F.col("lang")) if shares else F.lit(-1)
-    drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).filter(F.col("draw") <= limit)
+    limits = docs.sparkSession.createDataFrame([(lang, min(int(share * 2**63), 2**63 - 1)) for lang, share in shares.items()], "of string, most long")
+    drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).join(limits, F.col("lang") == F.col("of")).filter(F.col("draw") <= F.col("most"))
     least = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).filter(F.col("n") <= each)
     begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     return least.select(F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "lang")
@@ -266,7 +267,7 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
         names = np.array([*field.labels, UNKNOWN], dtype=object)
         for b in batches:
             out = []
-            for _, _, c in text_chunks(b.column(1)):
+            for _, _, c in text_chunks(b.column(1), 8 * CHUNK_BYTES // max(8, len(field.labels))):  # a number for each word and language
                 start, end, marginal = field.marginals(c)
                 sums = np.concatenate([[0], np.cumsum(letter[c.buf])])
                 use = sums[end] > sums[start]

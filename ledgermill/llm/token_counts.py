@@ -2,7 +2,8 @@
 
 Words (runs without ASCII white space, with the vocabulary's word mark in front) are cut into vocabulary pieces so that the sum of their scores is
 greatest. Each task inserts the distinct words of its rows in a trie, level by level, and computes the best score of a path once per node, so once per
-shared prefix; a word's count is stored at its terminal node. Rows never leave their task: there is no shuffle.
+shared prefix; a word's count is stored at its terminal node. Below ``LONG`` bytes words hardly share anything: there each node has one child, so a longer word goes on from
+its node alone, with the pieces that end at each of its bytes looked up for many bytes at once. Rows never leave their task: there is no shuffle.
 
 Scores: log probabilities by Zipf's law over the order of the vocabulary file, ``-log(rank + 1) - log(H)``. A byte that no piece covers is a token of its
 own with the least score less 10. Ties go to fewer tokens.
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import _powers, documents, mix, text_chunks
 
 MARK = "▁".encode()
-#: Words that a task remembers; then it starts anew. Longer words than LONG bytes are scored one by one.
-CACHE_WORDS, LONG = 1_000_000, 512
+#: Words that a task remembers; then it starts anew. Levels of the trie that words share, in bytes, and how many bytes of a longer word are looked up at once.
+CACHE_WORDS, LONG, STEP = 1_000_000, 512, 1 << 16
 _BITS = 20
 
 
@@ -83,16 +84,21 @@ class Unigram:
     def counts(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each of the distinct words ``buf[start:end]`` by one pass over their trie."""
         out = np.zeros(len(start), np.int64)
-        long = np.flatnonzero(end - start > LONG)
-        for i in long.tolist():
-            out[i] = self.count_one(buf[start[i] : end[i]].tobytes())
-        alive = np.flatnonzero(end - start <= LONG)
+        alive = np.arange(len(start))
         keys, scores, maybe = self._arrays
         up, down = _powers(LONG + len(MARK) + 2)
         parents, best, tokens, sums = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
         node = np.zeros(len(alive), np.int64)  # of each word that is still going, at this depth
         mark, depth = np.frombuffer(MARK, np.uint8), 0
         while len(alive):
+            if depth == LONG:
+                for word, n in zip(alive.tolist(), node.tolist(), strict=True):
+                    path = [n]
+                    for k in range(min(depth, self.longest - 1)):
+                        path.append(int(parents[depth - k][path[-1]]))
+                    held = [(float(best[depth - k][x]), int(tokens[depth - k][x])) for k, x in enumerate(path)][::-1]
+                    out[word] = self._tail(np.concatenate([mark, buf[start[word] : end[word]]])[depth + 1 - len(held) :], held)
+                break
             if depth < len(mark):
                 byte = np.full(len(alive), mark[depth], np.int64)
             else:
@@ -127,6 +133,43 @@ class Unigram:
         return out
 
 
+    def _tail(self, raw: np.ndarray, held: list[tuple[float, int]]) -> int:
+        """Tokens of a word whose last bytes are ``raw``; ``held``: score and tokens of the best path to each of the first places between them."""
+        keys, scores, maybe = self._arrays
+        for done in range(len(held) - 1, len(raw), STEP):
+            known = len(held) - 1
+            part = raw[done - known : done + STEP]
+            up, down = _powers(len(part) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+            ends, sizes, gains = [], [], []
+            for k in range(1, min(len(part), self.longest) + 1):
+                first = max(known + 1, k)  # a piece that ends at a new place, and begins in this part
+                stop = np.arange(first, len(part) + 1)
+                h = mix((sums[first:] - sums[first - k : len(sums) - k]) * down[first - k : len(sums) - k] + np.uint64(k))
+                hit = np.flatnonzero(maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1) if len(keys) else hit[:0]
+                hit, place = (x[keys[place] == h[hit]] for x in (hit, place)) if len(keys) else (hit[:0], hit[:0])
+                ends.append(stop[hit])
+                sizes.append(np.full(len(hit), k))
+                gains.append(scores[place])
+            ends, sizes, gains = (np.concatenate(x) for x in (ends, sizes, gains))
+            order = np.lexsort((sizes, ends))
+            bounds = np.searchsorted(ends[order], np.arange(known + 1, len(part) + 2)).tolist()
+            sizes, gains = sizes[order].tolist(), gains[order].tolist()
+            best = list(held)
+            for i in range(len(part) - known):
+                score, fewest = best[-1]
+                top = (score + self.unknown, fewest + 1)
+                for k in range(bounds[i], bounds[i + 1]):
+                    score, fewest = best[-sizes[k]]
+                    new = (score + gains[k], fewest + 1)
+                    if sizes[k] == 1 or new[0] > top[0] or (new[0] == top[0] and new[1] < top[1]):
+                        top = new
+                best.append(top)
+            held = best[-max(1, self.longest) :]
+        return held[-1][1]
+
+
 def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_distinct, n_tokens`` of every row: its words, its different words, and its tokens. Null and empty texts have none of them;
     null and repeated ids are kept."""

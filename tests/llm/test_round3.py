@@ -9,9 +9,10 @@ import re
 import numpy as np
 import pytest
 
-from ledgermill.llm import common, lexical_search, passages, vector_codes
+from ledgermill.llm import common, language, lexical_search, line_dedup, passages, similar_texts, token_counts, vector_codes
 
 from ..conftest import DATA
+from .test_llm import without_repeated_runs
 
 SF = f"{DATA}/sf0.001"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -209,3 +210,91 @@ def test_cut_rows():
         assert [b"".join(p for p, o in zip(parts, owner, strict=True) if o == k) for k in range(len(texts))] == texts
         assert [b for t in texts for b in t.split()] == [b for p in parts for b in p.split()]
         assert all(len(p) <= 16 or b" " not in p[1:-1] or b" " not in p[1:16] for p in parts)
+
+
+def test_lines_that_share_a_digest_alone_stay(spark):
+    """With digests of four bits: only lines that brute force removes go, and nearly nothing repeated stays with whole ones."""
+    rng = random.Random(8)
+    shared = [[f"line {k} {rng.random()}" for k in range(n)] for n in (2, 3, 7)]
+    rows = [(k, "\n".join(sum((rng.choice([*shared, [f"own {rng.random()}" for _ in range(3)]]) for _ in range(4)), []))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = without_repeated_runs(rows)
+    for digest in (lambda raw: bytes([hashlib.sha256(raw).digest()[0] & 15]), line_dedup._digest):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, digest=digest).collect()}
+        for i, t in rows:
+            lines, left = t.split("\n"), got[i].split("\n") if got[i] else []
+            gone = collections.Counter(lines) - collections.Counter(left)
+            allowed = collections.Counter(lines) - collections.Counter(want[i][0].split("\n"))
+            assert not gone - allowed and len(left) == len(lines) - gone.total()
+            assert digest is not line_dedup._digest or got[i] == want[i][0]
+
+
+def test_words_of_any_length(monkeypatch):
+    """The trie and what goes on below it against one word at a time, with limits of all sizes; and a word of a million bytes in seconds."""
+    import public_tokenizers
+
+    rng = random.Random(1)
+    arrays = lambda words: (np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])[:-1], np.cumsum([len(w) for w in words]))
+    large = token_counts.Unigram(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    base = "".join(rng.choice(["the", "ing", "über", "日本", "x", "Q9", "tion"]) for _ in range(400)).encode()
+    words = [base + bytes(rng.choices(b"abcdef", k=n)) for n in (0, 1, 5, 50, 2000)] + [base[:n] for n in (505, 509, 510, 511, 512, 513)] + [b"a", b"ab" * 300]
+    small = token_counts.Unigram([b"a", b"ab", b"abc", b"cd", b"abcabcabc", b"d"])
+    short = [bytes(rng.choices(b"abcde", k=n)) for n in range(1, 60)]
+    for levels, step in ((512, 1 << 16), (512, 37), (9, 5), (4, 3), (1, 1)):
+        monkeypatch.setattr(token_counts, "LONG", levels)
+        monkeypatch.setattr(token_counts, "STEP", step)
+        for model, some in ((large, words), (small, short)):
+            assert model.counts(*arrays(some)).tolist() == [model.count_one(w) for w in some]
+    monkeypatch.setattr(token_counts, "LONG", 512)
+    monkeypatch.setattr(token_counts, "STEP", 1 << 16)
+    assert 300_000 < large.counts(*arrays([bytes(rng.choices(b"abcdefghijklmnop", k=1_000_000))]))[0] < 1_000_000
+
+
+def test_many_languages(spark):
+    """Three hundred languages, the rarest with a document each to learn from: all are predicted, by words of their own."""
+    rng = random.Random(6)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 8))) for _ in range(12)] for k in range(300)}
+    rows = [(f"l{k:03d}", " ".join(rng.choices(words[f"l{k:03d}"], k=40))) for k in range(300) for _ in range(6 if k % 2 else 12)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    field = language.fit(docs)
+    assert len(field.labels) == 300
+    got = language.predict(docs, field).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got["lang_pred"] == got["lang"]).mean() > 0.9 and got["lang_pred"].nunique() > 290
+
+
+def test_similar_texts_in_crowds(spark):
+    """Pairs of 0.8 and more in bands, each with unlike texts around, and a crowd of a thousand copies with edits of one text, most of them less alike to each other
+    than to it: nine in ten and more of each band are joined, and nothing unlike."""
+    rng = random.Random(3)
+    own = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    texts, pairs = [], []
+    for k in range(450):
+        a = own(200)
+        b = list(a)
+        for p in rng.sample(range(40), (1, 2, 4)[k % 3]):
+            b[5 * p] = own(1)[0]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [a, b]
+    base = own(200)
+    crowd = [len(texts)]
+    texts.append(base)
+    for _ in range(1000):
+        new = list(base)
+        for p in rng.sample(range(40), rng.randint(1, 4)):
+            new[5 * p] = own(1)[0]
+        crowd.append(len(texts))
+        texts.append(new)
+    texts += [own(rng.randint(3, 200)) for _ in range(300)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in texts]
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    bands = collections.defaultdict(list)
+    for i, j in pairs:
+        alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        if alike >= 0.8:
+            bands[min(int(alike * 20), 19)].append(got[i] == got[j])
+        else:
+            assert got[i] != got[j]
+    assert sum(map(len, bands.values())) > 250 and len(bands) >= 3 and all(np.mean(x) >= 0.9 for x in bands.values())
+    near = [i for i in crowd if len(sets[i] & sets[crowd[0]]) >= 0.8 * len(sets[i] | sets[crowd[0]])]
+    assert np.mean([got[i] == crowd[0] for i in near]) >= 0.99
+    assert len({got[i] for i in range(len(texts))} - {got[i] for i in crowd} - {got[i] for p in pairs for i in p}) == 300
