@@ -10,7 +10,8 @@ Links only say which texts to compare; each group of linked texts is then solved
 - Of a small group, all pairs are compared.
 - In a large one, every text is first compared with those in the middle of the group (nearest to the majority of all fingerprints), some rounds of them for what
   isn't joined yet. Then what is left apart is looked at again: two sets of this similarity share one of their first fifth of shingles, in any order of all
-  shingles; in an order by frequency, rarest first, common passages bring no pairs. Pairs that share one and aren't joined are compared, whoever they are.
+  shingles, in any order of all shingles, and behind the first that they share both have enough left; in an order by frequency, rarest first, common passages bring
+  no pairs, nor do texts with too much of their own. Pairs that share one and aren't joined are compared, whoever they are.
 
 So no pair of a group is missed, and work grows with rows as long as groups hang together or their texts are told apart by rare shingles.
 """
@@ -332,7 +333,8 @@ def _frequencies(sets: DataFrame, bits: int = ORDER_BITS) -> np.ndarray:
 
 
 def _prefixes(frequency: np.ndarray, least: float):
-    """Over ``group, node, root, shingles``: a row for each of the first shingles by frequency, as many as two sets that are alike can't both lack."""
+    """Over ``group, node, root, shingles``: a row for each of the first shingles by frequency, as many as two sets that are alike can't both lack, and how many are
+    left from it on."""
     shift = np.uint32(33 - len(frequency).bit_length())
 
     def run(batches):
@@ -343,28 +345,34 @@ def _prefixes(frequency: np.ndarray, least: float):
                 first = s[np.lexsort((s, frequency[s >> shift]))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
                 found.append(mix(first.astype(np.uint64) ^ mix(np.array([g], np.int64).view(np.uint64))).view(np.int64))
             n = np.array([len(x) for x in found], np.int64)
-            sizes = np.array([len(s) // 4 for s in b.column(3).to_pylist()], np.int64)
-            columns = [np.concatenate([*found, np.zeros(0, np.int64)]), *(np.repeat(x, n) for x in (sizes, b.column(1).to_numpy(), b.column(2).to_numpy()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "size", "node", "root"])
+            sizes = np.repeat(np.array([len(s) // 4 for s in b.column(3).to_pylist()], np.int64), n)
+            left = sizes - (np.arange(len(sizes)) - np.repeat(np.cumsum(n) - n, n))
+            columns = [np.concatenate([*found, np.zeros(0, np.int64)]), sizes, left, *(np.repeat(x, n) for x in (b.column(1).to_numpy(), b.column(2).to_numpy()))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "size", "left", "node", "root"])
 
     return run
 
 
 def _apart(least: float, all_pairs: bool):
-    """Over ``key, size, node, root`` sorted so: pairs of a key of different roots whose sizes allow it; each row's last one before it, or all."""
+    """Over ``key, size, left, node, root`` sorted so: pairs of a key of different roots that can be alike if the key is the first shingle that they share; each row's
+    last one before it, or all."""
 
-    def pairs(size, node, root):
+    def can(size, left, other, other_left):
+        """Two sets of these sizes need this many shingles in common."""
+        return np.minimum(left, other_left) >= least / (1 + least) * (size + other) - 1e-9
+
+    def pairs(size, left, node, root):
         if all_pairs:
             step = max(1, (1 << 20) // len(node))
             for at in range(0, len(node), step):
-                near = (root[at : at + step, None] != root[None, :]) & (size[None, :] >= size[at : at + step, None]) & (least * size[None, :] <= size[at : at + step, None] + 1e-9)
-                i, j = np.nonzero(near)
-                yield np.minimum(node[at : at + step][i], node[j]), np.maximum(node[at : at + step][i], node[j])
+                s, f, n, r = (x[at : at + step] for x in (size, left, node, root))
+                i, j = np.nonzero((r[:, None] != root[None, :]) & (n[:, None] < node[None, :]) & can(s[:, None], f[:, None], size[None, :], left[None, :]))
+                yield n[i], node[j]
         else:
             start = np.concatenate([[True], root[1:] != root[:-1]])
             last = np.maximum.accumulate(np.where(start, np.arange(len(node)), 0)) - 1
             i = np.flatnonzero(last >= 0)
-            i = i[least * size[i] <= size[last[i]] + 1e-9]
+            i = i[can(size[i], left[i], size[last[i]], left[last[i]])]
             yield np.minimum(node[i], node[last[i]]), np.maximum(node[i], node[last[i]])
 
     def whole(key, *columns):
@@ -375,7 +383,7 @@ def _apart(least: float, all_pairs: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], ["i", "j"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
             last = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
@@ -419,7 +427,7 @@ def _large_groups(sets: DataFrame, least: float) -> DataFrame:
             break
         if frequency is None:
             frequency = _frequencies(apart.select("shingles"))
-        lists, lists_path = save(apart.mapInArrow(_prefixes(frequency, least), "key long, size long, node long, root long"), "lists")
+        lists, lists_path = save(apart.mapInArrow(_prefixes(frequency, least), "key long, size long, left long, node long, root long"), "lists")
         mixed = lists.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("k")
         rows = lists.join(mixed, F.col("key") == F.col("k"), "left_semi").repartition("key").sortWithinPartitions("key", "size", "node")
         pairs, pairs_path = save(rows.mapInArrow(_apart(least, all_pairs), "i long, j long").distinct(), "pairs")
