@@ -137,18 +137,23 @@ PARSED = (
 
 
 def read_documents(docs: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """One row a document with everything in it as arrays; a document that can't be read has ``error`` instead of failing the job."""
+    """One row a document with everything in it as arrays; a document that can't be read has ``error`` instead of failing the job, and so has one that comes with an
+    ``error``, as :func:`sources.documents.read_files` gives it for a file."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html"))
+    before = F.col("error") if "error" in docs.columns else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html"), before.cast("string").alias("error"))
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 64):  # documents are large
                 out = []
-                for name, html in zip(b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist(), strict=True):
+                for name, html, wrong in zip(*(c.slice(i, 64).to_pylist() for c in b.columns), strict=True):
+                    if wrong is not None:
+                        out.append({"doc_id": name, "error": wrong})
+                        continue
                     try:
                         out.append({"doc_id": name, **parse(html or ""), "error": None})
                     except Exception as e:  # whatever odd markup does, it costs its own document only

@@ -149,6 +149,12 @@ FROM (SELECT p_partkey AS row_no, CASE WHEN m % 4 < 2 THEN 96 WHEN m = 3 THEN 10
     "company_report": f"{_WORLD} SELECT {', '.join({'company_name': 'shown_name AS company_name', 'company_number': 'shown_number AS company_number'}.get(c, c) for c in REPORT)} FROM res",
     "company_summary": _company_summary(),
     "company_list": """SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'Café; "' || c_name || '"' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS number FROM customer WHERE c_custkey % 15 <> 0""",
+    "company_list_named": """SELECT 'T, ' || c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey + 7)::VARCHAR END AS number FROM customer""",
+    "keyword_file": """WITH w AS (SELECT unnest(['FX-Hedging', 'Standard Polished TIN', 'small plated copper']) AS keyword, 0 AS file UNION ALL SELECT lower(trim(p_name)), 1 FROM part UNION ALL SELECT lower(p_type), 1 FROM part),
+n AS (SELECT *, trim(regexp_replace(lower(keyword), '[^a-z0-9]+', ' ', 'g')) AS norm FROM w) SELECT arg_min(keyword, file) AS keyword, norm FROM n GROUP BY norm""",
+    "document_files": f"""WITH p AS (SELECT page_id, '<p>prix: é</p>' || html AS html FROM pages)
+SELECT CASE WHEN page_id % 50 <> 7 THEN page_id END AS doc_id, CASE WHEN page_id % 50 <> 7 THEN (length(html) - length(replace(html, '<tr', ''))) // 3 END::INT AS n_rows,
+  CASE WHEN page_id % 50 <> 7 THEN md5(regexp_replace({_VISIBLE}, '\\s+', ' ', 'g')) END AS text_md5, CASE WHEN page_id % 50 = 7 THEN 'not text in utf-8' END AS error FROM p""",
     "first_page_figure": f"""WITH o AS (SELECT o_orderkey AS o, o_custkey AS doc_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS page, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
 p AS (SELECT *, CASE WHEN n > 40 THEN (page - floor(n * 0.25)::INT + n) % n ELSE page END AS seq FROM o),
 t AS (SELECT p.doc_id, arg_min(current, seq) AS turnover, arg_min(prior, seq) AS prior, arg_min(page, seq) + 1 AS page, min(seq) AS first FROM p JOIN ({_rows(0, False)}) f ON f.doc_id = o WHERE o % 2 = 0 GROUP BY p.doc_id),

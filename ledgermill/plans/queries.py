@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import text as T
 from ..operators import company, facts as facts_, filings as filings_, keywords as keywords_, lines as lines_, match, pages as pages_, report
-from ..sources import lists, sinks
+from ..sources import documents, lists, sinks
 from ..storage import save, shared_folder
 from . import proxies as P, world as W
 
@@ -260,6 +260,28 @@ def ixbrl_documents(spark, sf_dir):
     return read.select("doc_id", F.size("facts").alias("n_facts"), F.size("rows").alias("n_rows"), F.md5(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text_md5"), "error")
 
 
+def document_files(spark, sf_dir):
+    """Every page as a file of its own, in UTF-8, in Latin-1 by its XML declaration, in cp1252 by its meta element, or in UTF-16 by its mark, read back with its facts; every
+    fiftieth isn't text in the encoding it declares."""
+    k = F.col("page_id")
+    page = P.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<!--page "), k.cast("string"), F.lit("--><p>prix: é</p>"), F.replace("html", F.lit('<meta charset="utf-8">'), F.lit(""))).alias("html"))
+    kinds = [
+        (k % 50 == 7, F.encode(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), F.col("html")), "ISO-8859-1"), "\n"),
+        (k % 4 == 0, F.encode("html", "UTF-8"), "\n"),
+        (k % 4 == 1, F.encode(F.concat(F.lit("<?xml version='1.0' encoding='ISO-8859-1'?>"), F.col("html")), "ISO-8859-1"), "\n"),
+        (k % 4 == 2, F.encode(F.concat(F.lit('<meta http-equiv="Content-Type" content="text/html; charset=windows-1252">'), F.col("html")), "ISO-8859-1"), "\n"),
+        (k % 4 == 3, F.encode("html", "UTF-16"), "\0\n"),
+    ]
+    path, rest = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}", F.lit(True)
+    for n, (mine, raw, end) in enumerate(kinds):  # text files take a row's bytes as they are; with one row a file
+        page.filter(rest & mine).select(raw.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end).text(f"{path}/{n}")
+        rest = rest & ~mine
+    files = documents.read_files(spark, path, "part-*")
+    number = F.regexp_extract("html", "<!--page (\\d+)-->", 1)
+    read = facts_.read_documents(files.filter("html != '' or error is not null").select(number.cast("long").alias("doc_id"), "html", "error"))
+    return read.select("doc_id", (F.size("rows") + F.size("facts")).alias("n_rows"), F.md5(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text_md5"), "error")
+
+
 def ixbrl_figures(spark, sf_dir):
     """Line items as electronic documents: markup is written for each order from its facts, then read again to its figures."""
     fact, context, unit = P.facts(spark, sf_dir)
@@ -316,9 +338,26 @@ def company_list(spark, sf_dir):
     return lists.read_list(spark, path).select("name", "number")
 
 
+def company_list_named(spark, sf_dir):
+    """Customers as a list whose columns are named by the user, in any case, next to others that would be guessed."""
+    k = F.col("c_custkey")
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    rows = P.table(spark, sf_dir, "customer").select(k.cast("string").alias("Company Number"), F.col("c_name").alias("Company Name"), F.concat(F.lit("T, "), F.col("c_name")).alias("Trading As"), F.when(k % 4 != 0, k + 7).cast("string").alias("Code"))
+    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return lists.read_list(spark, path, name=" trading AS", number="CODE").select("name", "number")
+
+
+def keyword_file(spark, sf_dir):
+    """A typed list and a file of keywords, names of parts one a line and kinds behind a comma, made distinct; the spelling that is typed comes first."""
+    path = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    P.table(spark, sf_dir, "part").select(F.concat(F.lit("  "), F.lower("p_name"), F.lit(" , "), F.lower("p_type"), F.lit(";")).alias("value")).write.text(path)
+    return keywords_.distinct_keywords(keywords_.keyword_list(spark, "FX-Hedging, Standard Polished TIN;small plated copper\n", path)).select("keyword", "norm")
+
+
 NAMES = [
     keyword_counts, keyword_ranked_cell, keyword_report, keyword_lists, keyword_coverage, clean_numbers, register_match, register_unmatched, dedupe_fan_out, normalised_names, name_exact_match, name_fuzzy_best, latest_filing,
     latest_filing_any_depth, fact_ranked, fact_headline, statement_units, figure_rows, balance_rows, page_order, page_coverage, first_page_figure, far_units, decimal_rows, page_kinds, figure_texts, line_rebuild, box_rows, psc_list, search_link,
     status_report, status_summary, missing_reasons, ixbrl_documents, ixbrl_figures, profile_pages, company_report, company_summary, company_list,
+    company_list_named, keyword_file, document_files,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

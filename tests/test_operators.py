@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.operators import company, facts, filings, match, pages, report
 from ledgermill.operators import lines as L
-from ledgermill.sources import lists, sinks
+from ledgermill.sources import documents, lists, sinks
 from ledgermill.storage import forget_all, save, shared_folder
 
 
@@ -299,3 +299,24 @@ def test_stored_tables(spark):
     a = save(spark.range(5).toDF("x"), "t")
     assert a.count() == 5 and a.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_folder(spark).lstrip("/"))
     assert forget_all(spark) == 1 and forget_all(spark) == 0
+
+
+def test_files_are_read_by_the_encoding_they_declare(spark, tmp_path):
+    """Marks before declarations, declarations before meta elements, meta elements before UTF-8; a file that can't be read costs its own row."""
+    text = "<html><p>Café £5 € “x”</p></html>"
+    files = {
+        "a": text.encode(), "b": b"\xef\xbb\xbf" + b'<?xml version="1.0" encoding="iso-8859-1"?>' + text.encode(), "c": text.encode("utf-16"), "d": b"<?xml version='1.0' encoding='windows-1252'?>" + text.encode("cp1252"),
+        "e": b'<meta http-equiv="x" content="text/html; charset=ISO-8859-1">' + text.encode("cp1252"), "f": b'<META CHARSET=koi8-r>' + "Ёж".encode("koi8-r"), "g": b'<?xml version="1.0" encoding="utf-16"?>' + text.encode(), "h": b"",
+        "i": b"<p>caf\xe9</p>", "j": b'<meta charset="klingon">x', "k": b"<?xml version='1.0' encoding='latin-1'?>\x81\x93",
+    }
+    (tmp_path / "deep").mkdir()
+    for name, raw in files.items():
+        (tmp_path / ("deep" if name > "f" else "") / f"{name}.html").write_bytes(raw)
+    (tmp_path / "other.txt").write_bytes(b"\xff")
+    got = {r["url"].rsplit("/", 1)[1][0]: (r["html"], r["error"]) for r in documents.read_files(spark, str(tmp_path), "*.html").collect()}
+    assert set(got) == set(files) - {"h"} and all(got[n][0].endswith(text) and got[n][1] is None for n in "abcdeg")
+    assert got["f"][0].endswith("Ёж") and got["k"][0].endswith("\x81“")
+    assert got["i"] == (None, "not text in utf-8") and got["j"] == (None, "unknown encoding klingon")
+    assert {r["error"] for r in documents.read_files(spark, str(tmp_path), "*.html", largest=60).filter("html is null").collect()} >= {"file too large"}
+    read = facts.read_documents(documents.read_files(spark, str(tmp_path), "[ai].html").select(F.lit(1).alias("doc_id"), "html", "error")).collect()
+    assert {(r["text"], r["error"]) for r in read} == {("Café £5 € “x”", None), (None, "not text in utf-8")}
