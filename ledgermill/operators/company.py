@@ -91,7 +91,7 @@ def company_results(
     # pages are read where the electronic document has no turnover, and the accounts' kind doesn't say why
     open_ = latest.join(known, F.col("xhtml_url") == F.col("__k"), "left_anti").join(present, F.col("xhtml_url") == F.col("__x"), "left")
     open_ = open_.filter(F.col("__x").isNull() | (why_missing(F.col("description")) == "")).select(F.col("pdf_url").alias("__p"), F.col("__x").isNotNull().alias("__searched"))
-    wanted = pages.join(open_.groupBy("__p").agg(F.bool_and("__searched").alias("__searched")), F.col("url") == F.col("__p")).drop("__p")
+    wanted = save(pages.join(open_.groupBy("__p").agg(F.bool_and("__searched").alias("__searched")), F.col("url") == F.col("__p")).drop("__p"), "wanted")
     seen = pages_read(wanted, max_pages, read_scanned, keywords, ocr_keywords)
     scanned = F.coalesce(F.col("method").contains(SCANNED), F.lit(False))
     readable = wanted if read_scanned else wanted.filter(~scanned)

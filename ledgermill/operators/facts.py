@@ -208,11 +208,9 @@ def document_figures(parsed: DataFrame) -> DataFrame:
     wide = wide.withColumnRenamed("doc_id", "__t")
     rows = parsed.select("doc_id", F.posexplode("rows").alias("line_no", "line"))
     lines = all_lines(rows, from_blocks(each("blocks")))
-    turnover = statement_figures(lines, K.TURNOVER_LABEL, K.STATEMENT_HEADING).select(F.col("doc_id").alias("__a"), F.struct("current", "prior").alias("t"))
-    cash = statement_figures(lines, K.CASH_LABEL, K.BALANCE_HEADING, balance=True).select(F.col("doc_id").alias("__b"), F.col("current").alias("c"))
-    debtors = statement_figures(lines, K.DEBTORS_LABEL, K.BALANCE_HEADING, balance=True).select(F.col("doc_id").alias("__c"), F.col("current").alias("d"))
+    read = statement_figures(lines).select(F.col("doc_id").alias("__a"), F.col("turnover").alias("t"), F.col("cash.current").alias("c"), F.col("debtors.current").alias("d"))
     joined = parsed.select("doc_id", "error")
-    for other, key in ((wide, "__t"), (turnover, "__a"), (cash, "__b"), (debtors, "__c")):
+    for other, key in ((wide, "__t"), (read, "__a")):
         joined = joined.join(other, F.col("doc_id") == F.col(key), "left")
     is_tagged = F.col("turnover").isNotNull()
     unit = F.when(F.col("turnover.unit") == "", "GBP").otherwise(F.upper("turnover.unit"))

@@ -67,24 +67,30 @@ def worth_reading(first_boxes: Column, needs_turnover: Column | None = None) ->
     return (needs_turnover & is_statement_page(first_boxes) & label(K.SKIM_TURNOVER)) | (is_balance_page(first_boxes) & label(K.SKIM_BALANCE))
 
 
-def figures(lines: DataFrame, label: str, keys: list[str], balance: bool = False) -> DataFrame:
-    """``*keys, current, prior, unit, line_no, in_units``: the first row of each group of ``keys`` (rows ``line_no, line``) with the label and an amount.
+def labelled(lines: DataFrame, labels: dict[str, tuple[str, bool, Column | None]], keys: list[str]) -> DataFrame:
+    """``*keys, label, current, prior, unit, line_no``: for each of ``labels`` (pattern, whether it is of a balance sheet, where it applies), the first row of each group of
+    ``keys`` (rows ``line_no, line``) with the label and an amount. All labels are looked up in one pass over the lines.
 
     Amounts are in the units on the row itself, else of the 8 rows above, else of the nearest row of nothing but heading words within 40 above. The prior
-    year counts if there are just two amounts within a factor of ten. With ``balance``, only rows from the first "Current assets" heading on count where
+    year counts if there are just two amounts within a factor of ten. Of a balance sheet, only rows from the first "Current assets" heading on count where
     there is one.
     """
-    group = Window.partitionBy(*keys)
-    above = group.orderBy("line_no")
-    mult = unit_multiplier(F.col("line"))
-    rows = lines.withColumn("__mult", mult)
+    above = Window.partitionBy(*keys).orderBy("line_no")
+    rows = lines.withColumn("__mult", unit_multiplier(F.col("line")))
     near = F.coalesce(F.max("__mult").over(above.rowsBetween(-8, -1)), F.lit(1))
     heading = F.last(F.when((F.col("__mult") > 1) & is_heading_line(F.col("line")), F.col("__mult")), ignorenulls=True).over(above.rowsBetween(-40, -1))
-    rows = rows.withColumn("__near", near).withColumn("__heading", heading)
-    if balance:
-        rows = rows.withColumn("__from", F.min(F.when(F.col("line").rlike(K.CURRENT_ASSETS), F.col("line_no"))).over(group)).filter(F.col("__from").isNull() | (F.col("line_no") >= F.col("__from")))
-    after = F.regexp_extract("line", label, 1)
-    rows = rows.filter(F.col("line").rlike(label)).withColumn("__after", after).filter(~F.col("__after").rlike(r"(?U)^\s*[A-Za-z]{2,}"))
+    rows = rows.withColumns({"__near": near, "__heading": heading})
+    if any(balance for _, balance, _ in labels.values()):
+        whole = above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("__from", F.min(F.when(F.col("line").rlike(K.CURRENT_ASSETS), F.col("line_no"))).over(whole))
+    hits = []
+    for name, (pattern, balance, applies) in labels.items():
+        own = F.col("line").rlike(pattern) & (F.lit(True) if applies is None else applies)
+        if balance:
+            own &= F.col("__from").isNull() | (F.col("line_no") >= F.col("__from"))
+        hits.append(F.when(own, F.struct(F.lit(name).alias("label"), F.regexp_extract("line", pattern, 1).alias("after"))))
+    rows = rows.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*keys, "line_no", "__near", "__heading", "__hit.label", F.col("__hit.after").alias("__after"))
+    rows = rows.filter(~F.col("__after").rlike(r"(?U)^\s*[A-Za-z]{2,}"))
     # up to the next word of three letters other than nil
     rows = rows.withColumn("__rest", F.regexp_replace("__after", r"(?is)(?!nil(?![a-z]))[a-z]{3,}.*$", ""))
     rows = rows.withColumn("__own", unit_multiplier(F.col("__rest")))
@@ -94,15 +100,31 @@ def figures(lines: DataFrame, label: str, keys: list[str], balance: bool = False
     share = F.abs(F.when(first != 0, second / first))
     prior = F.when((F.size("__values") == 2) & share.between(0.1, 10), F.rint(second * F.col("__scale")))
     found = F.struct(F.rint(first * F.col("__scale")).alias("current"), prior.alias("prior"), unit_label(F.col("__scale")).alias("unit"), "line_no")
-    return rows.groupBy(*keys).agg(F.min_by(found, "line_no").alias("f")).select(*keys, "f.*")
+    return rows.groupBy(*keys, "label").agg(F.min_by(found, "line_no").alias("f")).select(*keys, "label", "f.*")
+
+
+def figures(lines: DataFrame, label: str, keys: list[str], balance: bool = False) -> DataFrame:
+    """``*keys, current, prior, unit, line_no`` of one label, as :func:`labelled` finds it."""
+    return labelled(lines, {"": (label, balance, None)}, keys).drop("label")
+
+
+def first_of(found: DataFrame, keys: list[str], order: str, **columns: list[str]) -> DataFrame:
+    """``*keys`` and for each label (a name of ``columns``) a struct of these columns of its row of the least ``order``; null where a label has none."""
+    pick = lambda name, cs: F.min_by(F.struct(*cs), F.when(F.col("label") == name, F.col(order))).alias(name)
+    return found.groupBy(*keys).agg(*[pick(name, cs) for name, cs in columns.items()])
 
 
-def statement_figures(lines: DataFrame, label: str, heading: str, balance: bool = False, span: int = SPAN) -> DataFrame:
-    """``doc_id, current, prior, unit``: the figure below the first heading of a statement that yields one within ``span`` rows, else of the whole
-    document. Units are looked up inside those rows alone. Lines are copied at most once for each heading that is less than ``span`` rows above."""
-    heads = lines.filter(F.col("line").rlike(heading) & ~F.col("line").rlike(K.NOTES_HEADING)).select(F.col("doc_id").alias("__d"), F.col("line_no").alias("slice_no"))
+def statement_figures(lines: DataFrame, span: int = SPAN) -> DataFrame:
+    """``doc_id, turnover, cash, debtors``, each a struct of ``current, prior, unit``: the figure below the first heading of its statement that yields one within ``span``
+    rows, else of the whole document. Units are looked up inside those rows alone. Lines are copied at most once for each heading that is less than ``span`` rows above,
+    and read once for all labels."""
+    notes = F.col("line").rlike(K.NOTES_HEADING)
+    kinds = F.array_compact(F.array(*[F.when(F.col("line").rlike(h) & ~notes, F.lit(k)) for k, h in enumerate((K.STATEMENT_HEADING, K.BALANCE_HEADING))]))
+    heads = lines.select(F.col("doc_id").alias("__d"), F.col("line_no").alias("slice_no"), F.explode(kinds).alias("kind"))
     near = (F.col("doc_id") == F.col("__d")) & (F.col("line_no") >= F.col("slice_no")) & (F.col("line_no") < F.col("slice_no") + span)
-    parts = lines.join(heads, near).select("doc_id", "slice_no", "line_no", "line")
-    whole = lines.select("doc_id", F.lit(2**31 - 1).alias("slice_no"), "line_no", "line")
-    found = figures(parts.unionByName(whole), label, ["doc_id", "slice_no"], balance)
-    return found.groupBy("doc_id").agg(F.min_by(F.struct("current", "prior", "unit"), "slice_no").alias("f")).select("doc_id", "f.*")
+    parts = lines.join(heads, near).select("doc_id", "slice_no", "kind", "line_no", "line")
+    whole = lines.select("doc_id", F.lit(2**31 - 1).alias("slice_no"), F.lit(2).alias("kind"), "line_no", "line")
+    of_statement, of_balance = F.col("kind") != 1, F.col("kind") != 0
+    labels = {"turnover": (K.TURNOVER_LABEL, False, of_statement), "cash": (K.CASH_LABEL, True, of_balance), "debtors": (K.DEBTORS_LABEL, True, of_balance)}
+    found = labelled(parts.unionByName(whole), labels, ["doc_id", "slice_no", "kind"])
+    return first_of(found, ["doc_id"], "slice_no", **dict.fromkeys(labels, ["current", "prior", "unit"]))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions.text import page_currency
-from .lines import figures, is_balance_page, is_statement_page
+from .lines import first_of, is_balance_page, is_statement_page, labelled
 
 LONG, REACH = 40, 15
 
@@ -44,17 +45,15 @@ def page_figures(pages: DataFrame, max_pages: int | None = None, balance_reach:
     flagged = read.withColumns({"statement": is_statement_page(F.col("rows")), "balance": is_balance_page(F.col("rows"))}).filter("statement or balance")
     lines = flagged.select("doc_id", "page", "order_pos", "method", "statement", "balance", page_currency(F.col("text")).alias("currency"), F.posexplode("rows").alias("line_no", "line"))
     keys = ["doc_id", "page", "order_pos", "method", "currency"]
-    first = lambda found, *cs: found.groupBy("doc_id").agg(F.min_by(F.struct(*cs), "order_pos").alias("f"))
-    turnover = first(figures(lines.filter("statement"), K.TURNOVER_LABEL, keys), "current", "prior", "unit", "page", "method", "currency", "order_pos")
-    turnover = turnover.withColumnsRenamed({"doc_id": "__t", "f": "t"})
-    out = read.groupBy("doc_id").agg(F.max("n_pages").alias("pages"), F.count(F.lit(1)).alias("pages_checked")).join(turnover, F.col("doc_id") == F.col("__t"), "left")
-    for name in ("cash", "debtors"):
-        found = figures(lines.filter("balance"), K.LABELS[name], keys, balance=True)
-        if balance_reach is not None:
-            cut = turnover.select("__t", F.col("t.order_pos").alias("t_pos"))
-            found = found.join(cut, F.col("doc_id") == F.col("__t"), "left").filter(F.col("t_pos").isNull() | (F.col("order_pos") - F.col("t_pos") <= balance_reach))
-        one = first(found, "current", "method", "order_pos").withColumnsRenamed({"doc_id": f"__{name}", "f": name})
-        out = out.join(one, F.col("doc_id") == F.col(f"__{name}"), "left")
+    labels = {"turnover": (K.TURNOVER_LABEL, False, F.col("statement")), **{name: (K.LABELS[name], True, F.col("balance")) for name in ("cash", "debtors")}}
+    found = labelled(lines, labels, [*keys, "statement", "balance"])
+    if balance_reach is not None:
+        t_pos = F.min(F.when(F.col("label") == "turnover", F.col("order_pos"))).over(Window.partitionBy("doc_id"))
+        found = found.withColumn("t_pos", t_pos).filter((F.col("label") == "turnover") | F.col("t_pos").isNull() | (F.col("order_pos") - F.col("t_pos") <= balance_reach))
+    balance = ["current", "method"]
+    best = first_of(found, ["doc_id"], "order_pos", turnover=["current", "prior", "unit", "page", "method", "currency"], cash=balance, debtors=balance)
+    best = best.withColumnsRenamed({"doc_id": "__t", "turnover": "t"})
+    out = read.groupBy("doc_id").agg(F.max("n_pages").alias("pages"), F.count(F.lit(1)).alias("pages_checked")).join(best, F.col("doc_id") == F.col("__t"), "left")
     return out.select(
         "doc_id",
         F.col("t.current").alias("turnover"),

@@ -46,8 +46,8 @@ def test_statement_units_are_those_of_its_rows(spark):
     lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(rows)], "doc_id int, line_no int, line string")
     from ledgermill import constants as K
 
-    assert L.statement_figures(lines, K.TURNOVER_LABEL, K.STATEMENT_HEADING).first()["current"] == 5000
-    assert L.statement_figures(lines, K.DEBTORS_LABEL, K.BALANCE_HEADING, balance=True).first()["current"] == 700
+    found = L.statement_figures(lines).first()
+    assert found["turnover"]["current"] == 5000 and found["debtors"]["current"] == 700
 
 
 def test_context_rank(spark):
