@@ -355,7 +355,7 @@ def _prefixes(frequency: np.ndarray, least: float):
 
 def _apart(least: float, all_pairs: bool):
     """Over ``key, size, left, node, root`` sorted so: pairs of a key of different roots that can be alike if the key is the first shingle that they share; each row's
-    last one before it, or all."""
+    last one before it (of which a row's first is taken, so that most are joined before all are looked at), or all."""
 
     def can(size, left, other, other_left):
         """Two sets of these sizes need this many shingles in common."""
@@ -430,7 +430,8 @@ def _large_groups(sets: DataFrame, least: float) -> DataFrame:
         lists, lists_path = save(apart.mapInArrow(_prefixes(frequency, least), "key long, size long, left long, node long, root long"), "lists")
         mixed = lists.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("k")
         rows = lists.join(mixed, F.col("key") == F.col("k"), "left_semi").repartition("key").sortWithinPartitions("key", "size", "node")
-        pairs, pairs_path = save(rows.mapInArrow(_apart(least, all_pairs), "i long, j long").distinct(), "pairs")
+        near = rows.mapInArrow(_apart(least, all_pairs), "i long, j long")
+        pairs, pairs_path = save(near.distinct() if all_pairs else near.groupBy("j").agg(F.min("i").alias("i")).select("i", "j"), "pairs")
         good = good.union(_compared(pairs, sets, least))
         for p in (apart_path, lists_path, pairs_path):
             forget(spark, p)
