@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from ledgermill.llm import common, language, lexical_search, line_dedup, passages, similar_texts, token_counts, vector_codes
+from ledgermill.llm import common, language, lexical_search, line_dedup, passages, queries, similar_texts, token_counts, vector_codes
 
 from ..conftest import DATA
 from .test_llm import without_repeated_runs
@@ -338,3 +338,16 @@ def test_training_is_the_gradient_of_the_likelihood():
             step = np.zeros((4, 4))
             step[a, b] = 1e-6
             assert abs((likelihood(moves + step) - likelihood(moves - step)) / 2e-6 - (seen - expected)[a, b]) < 1e-6
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows_of(got, *names) == sorted(map(tuple, want.fetchall()), key=repr)
