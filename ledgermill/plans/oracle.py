@@ -21,9 +21,11 @@ def _keywords() -> str:
 _PAGES = """SELECT doc_id, source, len(parts)::INT AS n_pages, unnest(range(len(parts)))::INT AS page, unnest(parts) AS text
   FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)"""
 
-_HITS = f"""pages AS ({_PAGES}),
+_FORMS = f"""pages AS ({_PAGES}),
 normal AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '-\\s*\\n\\s*', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t FROM pages),
-forms AS (SELECT *, ' ' || replace(t, ' ', '  ') || ' ' AS x, CASE WHEN source = '{OCR_SOURCE}' THEN replace(t, ' ', '') END AS solid FROM normal),
+forms AS (SELECT *, ' ' || replace(t, ' ', '  ') || ' ' AS x, CASE WHEN source = '{OCR_SOURCE}' THEN replace(t, ' ', '') END AS solid FROM normal)"""
+
+_HITS = f"""{_FORMS},
 words(kw_pos, keyword, padded, compact) AS (VALUES {_keywords()}),
 plain AS (SELECT doc_id, source, page, kw_pos, keyword, solid, compact, (length(x) - length(replace(x, padded, ''))) // length(padded) AS n FROM forms, words WHERE text <> ''),
 hits AS (SELECT doc_id, source, page, kw_pos, keyword,
@@ -127,6 +129,14 @@ SELECT doc_id, CASE WHEN searched THEN coalesce(found, '') END AS found, CASE WH
     "keyword_lists": """WITH t AS (SELECT p_partkey, unnest([0, 1, 3, 4]) AS k, unnest([p_name, upper(p_type), p_brand, p_type || '-']) AS keyword FROM part),
 w AS (SELECT p_partkey::BIGINT * 1048576 + k AS kw_pos, keyword, trim(regexp_replace(lower(keyword), '[^a-z0-9]+', ' ', 'g')) AS norm FROM t)
 SELECT min(kw_pos) AS kw_pos, arg_min(keyword, kw_pos) AS keyword, norm FROM w GROUP BY norm""",
+    "keyword_long_list": f"""WITH {_FORMS}, typed AS (SELECT doc_id * 2 AS kw_pos, regexp_extract(text, '[A-Za-z0-9]+ [A-Za-z0-9]+ [A-Za-z0-9]+') AS keyword FROM documents UNION ALL SELECT p_partkey * 2 + 1, p_name FROM part),
+normed AS (SELECT *, trim(regexp_replace(lower(keyword), '[^a-z0-9]+', ' ', 'g')) AS norm FROM typed), listed AS (SELECT min(kw_pos) AS kw_pos, arg_min(trim(keyword), kw_pos) AS keyword, norm FROM normed WHERE norm <> '' GROUP BY norm),
+needles AS (SELECT *, split_part(norm, ' ', 1) AS w, ' ' || replace(norm, ' ', '  ') || ' ' AS padded, CASE WHEN norm LIKE '% %' OR length(norm) >= 8 THEN replace(norm, ' ', '') END AS compact FROM listed),
+w AS (SELECT DISTINCT doc_id, page, unnest(string_split(t, ' ')) AS w FROM forms), near AS (SELECT doc_id, page, kw_pos, keyword, padded FROM w JOIN needles USING (w)),
+plain AS (SELECT doc_id, page, kw_pos, keyword, (length(x) - length(replace(x, padded, ''))) // length(padded) AS n FROM near JOIN forms USING (doc_id, page)), found AS (SELECT * FROM plain WHERE n > 0),
+glued AS (SELECT doc_id, page, kw_pos, keyword, (length(solid) - length(replace(solid, compact, ''))) // length(compact) AS n FROM forms JOIN needles ON contains(solid, compact)),
+hits AS (SELECT * FROM found UNION ALL SELECT * FROM glued g WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = g.doc_id AND f.page = g.page AND f.kw_pos = g.kw_pos))
+SELECT doc_id, kw_pos, keyword, sum(n)::BIGINT AS n FROM hits GROUP BY ALL""",
     "keyword_coverage": f"""WITH {_HITS}, h AS (SELECT doc_id, page, bool_or(n > 0) AS hit FROM hits GROUP BY ALL)
 SELECT source, count(*)::BIGINT AS pages, count(*) FILTER (WHERE hit)::BIGINT AS pages_with_keywords, count(*) FILTER (WHERE text = '')::BIGINT AS empty_pages
 FROM pages LEFT JOIN h USING (doc_id, page) GROUP BY source""",

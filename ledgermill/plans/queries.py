@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import text as T
-from ..operators import company, facts as facts_, filings as filings_, keywords as keywords_, lines as lines_, match, pages as pages_, report
+from ..operators import company, facts as facts_, filings as filings_, keywords as keywords_, lines as lines_, match, pages as pages_, phrases, report
 from ..sources import documents, lists, sinks
 from ..storage import save, shared_folder
 from . import proxies as P, world as W
@@ -40,6 +40,14 @@ def keyword_lists(spark, sf_dir):
     return keywords_.distinct_keywords(keywords_.split_keywords(texts, "p_partkey", "text"))
 
 
+def keyword_long_list(spark, sf_dir):
+    """A list that grows with the tables: the first three words in a row of each document, and the names of parts."""
+    begins = P.table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("kw_pos"), F.regexp_extract("text", "[A-Za-z0-9]+ [A-Za-z0-9]+ [A-Za-z0-9]+", 0).alias("keyword"))
+    names = P.table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("kw_pos"), F.col("p_name").alias("keyword"))
+    found = phrases.list_counts(P.text_pages(spark, sf_dir), begins.unionByName(names), ["doc_id", "page"], ocr=F.col("source") == P.OCR_SOURCE)
+    return found.groupBy("doc_id", "kw_pos", "keyword").agg(F.sum("n").alias("n"))
+
+
 def keyword_coverage(spark, sf_dir):
     counted = _counted(spark, sf_dir)
     some = report.mentions_keywords(F.col("hits"))
@@ -358,6 +366,6 @@ NAMES = [
     keyword_counts, keyword_ranked_cell, keyword_report, keyword_lists, keyword_coverage, clean_numbers, register_match, register_unmatched, dedupe_fan_out, normalised_names, name_exact_match, name_fuzzy_best, latest_filing,
     latest_filing_any_depth, fact_ranked, fact_headline, statement_units, figure_rows, balance_rows, page_order, page_coverage, first_page_figure, far_units, decimal_rows, page_kinds, figure_texts, line_rebuild, box_rows, psc_list, search_link,
     status_report, status_summary, missing_reasons, ixbrl_documents, ixbrl_figures, profile_pages, company_report, company_summary, company_list,
-    company_list_named, keyword_file, document_files,
+    company_list_named, keyword_file, document_files, keyword_long_list,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

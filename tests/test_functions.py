@@ -11,7 +11,7 @@ from ledgermill import constants as K
 from ledgermill.functions import dates
 from ledgermill.functions import text as T
 from ledgermill.functions.amounts import amounts, fact_value
-from ledgermill.operators import keywords as kw
+from ledgermill.operators import keywords as kw, phrases
 from ledgermill.operators import lines as L
 from ledgermill.operators import match
 
@@ -181,6 +181,46 @@ def test_keywords_count_as_a_regular_expression_counts(spark, words, text):
     assert found_keywords(spark, words, text) == want
 
 
+def listed_keywords(spark, words, text, ocr=False):
+    pages = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    keywords = spark.createDataFrame(list(enumerate(words)), "kw_pos int, keyword string")
+    return {r["keyword"]: r["n"] for r in phrases.list_counts(pages, keywords, ["doc_id"], ocr=F.lit(ocr)).collect()}
+
+
+@pytest.mark.parametrize("words, text, ocr", [
+    (["interest rate", "interest"], "one interest-\nrate swap, two INTEREST RATES, a Interest—Rate cap", False),
+    (["bank loans", "lease liabilities", "leasing", "year"], "Thecompanyhasnobankloansorleaseliabilitiesatyearend", True),
+    (["bank loans", "a b", "aba aba"], "bankloans bank loans ab ab abaabaabaabaaba", True),
+    (["leases", "VAT", "vat", " ", "--"], "leases VAT Vat vat", False),
+    (["a b a", "a a", "a", "b a b a b"], "a b a b a, a a a " * 200, False),
+    (["x y"], "", False), (["x y"], None, True), (["x y"], "?!", True), ([], "x y", False),
+])
+def test_a_list_as_a_table_counts_the_same(spark, words, text, ocr):
+    assert listed_keywords(spark, words, text, ocr) == found_keywords(spark, words, text, ocr)
+
+
+def test_a_long_list_counts_the_same_on_many_pages(spark):
+    rng = random.Random(5)
+    vocabulary = ["ab", "ba", "a", "b", "lease", "leases", "liability", "tax"]
+    phrase = lambda most: " ".join(rng.choices(vocabulary, k=rng.randint(1, most)))
+    words = [phrase(5) for _ in range(120)]
+    rows = [(k % 7, k, phrase(900) if k % 3 else phrase(300).replace(" ", ""), k % 2 == 0) for k in range(24)]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, text string, scan boolean")
+    want = kw.page_counts(pages, words, ocr=F.col("scan")).select("doc_id", "page", F.explode("hits").alias("h")).select("doc_id", "page", "h.*").collect()
+    keywords = spark.createDataFrame(list(enumerate(words)), "kw_pos int, keyword string")
+    got = phrases.list_counts(pages, keywords, ["doc_id", "page"], ocr=F.col("scan"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 500
+
+
+def test_the_plan_does_not_grow_with_the_list(spark):
+    pages = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    sizes = []
+    for n in (10, 10000):
+        keywords = spark.range(n).select(F.col("id").alias("kw_pos"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("keyword"))
+        sizes.append(len(phrases.list_counts(pages, keywords, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 100
+
+
 def test_keyword_report(spark):
     pages = spark.createDataFrame([(1, "VAT rent. Lease term. VAT"), (1, "rent VAT"), (2, "timber"), (3, None), (4, None), (4, "rent")], "doc_id int, text string")
     counted = kw.page_counts(pages, ["rent", "lease term", "VAT"])
