@@ -11,6 +11,8 @@ from ..functions.amounts import amounts
 from ..functions.text import is_heading_line, unit_label, unit_multiplier
 
 SPAN = 60
+#: Gaps that end a row in a band of a page.
+BAND = 256
 
 
 def from_blocks(blocks: DataFrame) -> DataFrame:
@@ -23,17 +25,28 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
 def box_rows(boxes: DataFrame) -> DataFrame:
     """``doc_id, page, row_no, line, first``: OCR boxes ``doc_id, page, y_mid, x_left, height, text`` in rows. By descending place a row ends where the gap
     to the next box is over 0.6 of the page's upper median height; ``first`` is the text of the leftmost box. Boxes of one place are put together and heights are
-    counted before a page is looked at as a whole."""
+    counted before a page is looked at as a whole. Places are compared within bands of the page, of which only the first and last place and the number of rows are put
+    in the page's order, so a page of any size is spread over tasks."""
     page = Window.partitionBy("doc_id", "page")
     counts = boxes.groupBy("doc_id", "page", "height").agg(F.count(F.lit(1)).alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(page.orderBy("height").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(page))
     middle = upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(F.col("doc_id").alias("__d"), F.col("page").alias("__p")).agg((F.min("height") * 0.6).alias("tolerance"))
     places = boxes.groupBy("doc_id", "page", "y_mid").agg(F.collect_list(F.struct("x_left", "text")).alias("l"))
-    rows = places.join(middle, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("page").eqNullSafe(F.col("__p")))
-    order = page.orderBy("y_mid")
-    gap = F.col("y_mid") - F.lag("y_mid").over(order)
-    rows = rows.withColumn("starts", F.coalesce((gap > F.col("tolerance")).cast("int"), F.lit(0)))
-    rows = rows.withColumn("row_no", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    same_page = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("page").eqNullSafe(F.col("__p"))
+    # whatever the bands are, the rows are the same; boxes without a place come first
+    width = F.when(F.col("tolerance") > 0, F.col("tolerance") * BAND).otherwise(float(BAND))
+    band = F.coalesce(F.floor(F.col("y_mid") / width), F.lit(-(2**63)))
+    rows = places.join(middle, same_page).drop("__d", "__p").withColumn("band", band)
+    within = Window.partitionBy("doc_id", "page", "band").orderBy("y_mid")
+    wide = lambda before: F.coalesce((F.col("y_mid") - before > F.col("tolerance")).cast("int"), F.lit(0))
+    rows = rows.withColumn("starts", wide(F.lag("y_mid").over(within)))
+    rows = rows.withColumn("nth", F.sum("starts").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = rows.groupBy("doc_id", "page", "band").agg(F.min("y_mid").alias("y_mid"), F.max("y_mid").alias("last"), F.sum("starts").alias("inside"), F.first("tolerance").alias("tolerance"))
+    down = page.orderBy(F.col("y_mid").asc_nulls_first(), "band")
+    bands = bands.withColumn("head", wide(F.lag("last").over(down)))
+    before = F.sum(F.col("head") + F.col("inside")).over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")
+    bands = bands.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), F.col("band").alias("__b"), before.alias("__before"))
+    rows = rows.join(bands, same_page & (F.col("band") == F.col("__b"))).withColumn("row_no", (F.col("__before") + F.col("nth")).cast("int"))
     out = rows.groupBy("doc_id", "page", "row_no").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
     return out.select("doc_id", "page", "row_no", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("line"), F.element_at("l", 1)["text"].alias("first"))
 

@@ -77,6 +77,32 @@ def test_boxes(spark):
     assert [(r["line"], r["first"]) for r in got] == [("far upper end", "far"), ("low", "low")]
 
 
+def rows_of_boxes(boxes):
+    """The rows of one page, box by box."""
+    heights = sorted(b[4] for b in boxes)
+    limit, rows, last = heights[len(heights) // 2] * 0.6, [], None
+    for place in sorted({b[2] for b in boxes}, key=lambda y: (y is not None, y or 0)):
+        if not rows or (last is not None and place - last > limit):
+            rows.append([])
+        rows[-1] += [(b[3], b[5]) for b in boxes if b[2] == place]
+        last = place
+    return [" ".join(t for _, t in sorted(r)) for r in rows]
+
+
+def test_boxes_of_pages_of_any_size(spark):
+    rng = random.Random(3)
+    boxes = []
+    for page in range(8):
+        step = rng.choice([0.5, 3, 6, 40, 900])
+        for k in range(400 if page else 3000):
+            y = None if page == 3 and k < 5 else round(rng.uniform(-200 * step, 200 * step), 1)
+            boxes.append((1, page, y, float(k), 0.0 if page == 5 else float(rng.choice([8, 9, 10, 11])), f"t{k}"))
+    got = L.box_rows(spark.createDataFrame(boxes, "doc_id int, page int, y_mid double, x_left double, height double, text string")).orderBy("page", "row_no").collect()
+    assert [(r["page"], r["row_no"]) for r in got] == [(p, n) for p in range(8) for n in range(sum(r["page"] == p for r in got))]
+    for page in range(8):
+        assert [r["line"] for r in got if r["page"] == page] == rows_of_boxes([b for b in boxes if b[1] == page])
+
+
 def test_latest_accounts(spark):
     rows = [("7", "2026-02-01", "CH01", "Change", 0), ("7", "2025-09-01", "AA", "\tInitial accounts", 1), ("7", "2025-03-01", "AAMD", "Amended accounts made up to 3 May 2024 View PDF", 2), ("7", "2025-03-01", "AA", "Later", 3), ("8", "2026-01-01", "CH01", None, 0)]
     df = spark.createDataFrame(rows, "company_number string, filed_on string, type string, description string, pos int").withColumn("filed_on", F.to_date("filed_on"))
