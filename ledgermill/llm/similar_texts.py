@@ -36,6 +36,8 @@ SHINGLE, LEAST, RECALL, RADIUS = 5, 0.8, 0.95, 2
 CROWD, SMALL = 256, 64
 #: Texts in the middle of a large group that all others are compared with, and how often new ones are taken.
 LEADERS, ROUNDS = 4, 3
+#: Columns of a set's parities, of 64 bits each.
+PARITIES = tuple(f"odd{k}" for k in range(8))
 #: Bits of the table of shingle frequencies by which shingles are ordered.
 ORDER_BITS = 20
 #: The only shingle of a text without words: such texts are alike.
@@ -332,9 +334,17 @@ def _frequencies(sets: DataFrame, bits: int = ORDER_BITS) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set of hashes, for each of 512 classes of them, whether it has an odd number, as 8 integers. Two sets differ in as many elements at least as in bits."""
+    out = np.zeros((len(sets), 64 * len(PARITIES)), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.bincount((mix(s.astype(np.uint64)) % np.uint64(len(row))).astype(np.int64), minlength=len(row)) & 1
+    return np.packbits(out, axis=1, bitorder="little").view("<i8").reshape(len(sets), len(PARITIES)).astype(np.int64)
+
+
 def _prefixes(frequency: np.ndarray, least: float):
-    """Over ``group, node, root, shingles``: a row for each of the first shingles by frequency, as many as two sets that are alike can't both lack, and how many are
-    left from it on."""
+    """Over ``group, node, root, shingles``: a row for each of the first shingles by frequency, as many as two sets that are alike can't both lack, how many are
+    left from it on, and the set's :func:`parities`."""
     shift = np.uint32(33 - len(frequency).bit_length())
 
     def run(batches):
@@ -347,33 +357,43 @@ def _prefixes(frequency: np.ndarray, least: float):
             n = np.array([len(x) for x in found], np.int64)
             sizes = np.repeat(np.array([len(s) // 4 for s in b.column(3).to_pylist()], np.int64), n)
             left = sizes - (np.arange(len(sizes)) - np.repeat(np.cumsum(n) - n, n))
-            columns = [np.concatenate([*found, np.zeros(0, np.int64)]), sizes, left, *(np.repeat(x, n) for x in (b.column(1).to_numpy(), b.column(2).to_numpy()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "size", "left", "node", "root"])
+            odd = parities([np.frombuffer(s, "<u4") for s in b.column(3).to_pylist()])
+            columns = [np.concatenate([*found, np.zeros(0, np.int64)]), sizes, left, *(np.repeat(x, n) for x in (b.column(1).to_numpy(), b.column(2).to_numpy(), *odd.T))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "size", "left", "node", "root", *PARITIES])
 
     return run
 
 
 def _apart(least: float, all_pairs: bool):
-    """Over ``key, size, left, node, root`` sorted so: pairs of a key of different roots that can be alike if the key is the first shingle that they share; each row's
-    last one before it (of which a row's first is taken, so that most are joined before all are looked at), or all."""
+    """Over ``key, size, left, node, root`` and parities, sorted so: pairs of a key of different roots that can be alike if the key is the first shingle that they share,
+    and by the elements in which they differ at least; each row's last one before it (of which a row's first is taken, so that most are joined before all are looked at),
+    or all."""
 
     def can(size, left, other, other_left):
         """Two sets of these sizes need this many shingles in common."""
         return np.minimum(left, other_left) >= least / (1 + least) * (size + other) - 1e-9
 
-    def pairs(size, left, node, root):
+    def near(size, odd, i, j):
+        """Those of the pairs ``i, j`` whose parities leave them enough in common."""
+        differ = sum((np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in odd), np.zeros(len(i), np.int64))
+        keep = (size[i] + size[j] - differ) / 2 >= least / (1 + least) * (size[i] + size[j]) - 1e-9
+        return i[keep], j[keep]
+
+    def pairs(size, left, node, root, *odd):
         if all_pairs:
             step = max(1, (1 << 20) // len(node))
             for at in range(0, len(node), step):
                 s, f, n, r = (x[at : at + step] for x in (size, left, node, root))
                 i, j = np.nonzero((r[:, None] != root[None, :]) & (n[:, None] < node[None, :]) & can(s[:, None], f[:, None], size[None, :], left[None, :]))
-                yield n[i], node[j]
+                i, j = near(size, odd, i + at, j)
+                yield node[i], node[j]
         else:
             start = np.concatenate([[True], root[1:] != root[:-1]])
             last = np.maximum.accumulate(np.where(start, np.arange(len(node)), 0)) - 1
             i = np.flatnonzero(last >= 0)
             i = i[can(size[i], left[i], size[last[i]], left[last[i]])]
-            yield np.minimum(node[i], node[last[i]]), np.maximum(node[i], node[last[i]])
+            i, j = near(size, odd, i, last[i])
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def whole(key, *columns):
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -383,7 +403,7 @@ def _apart(least: float, all_pairs: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], ["i", "j"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * (5 + len(PARITIES))
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
             last = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
@@ -427,7 +447,7 @@ def _large_groups(sets: DataFrame, least: float) -> DataFrame:
             break
         if frequency is None:
             frequency = _frequencies(apart.select("shingles"))
-        lists, lists_path = save(apart.mapInArrow(_prefixes(frequency, least), "key long, size long, left long, node long, root long"), "lists")
+        lists, lists_path = save(apart.mapInArrow(_prefixes(frequency, least), "key long, size long, left long, node long, root long, " + ", ".join(f"{p} long" for p in PARITIES)), "lists")
         mixed = lists.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("k")
         rows = lists.join(mixed, F.col("key") == F.col("k"), "left_semi").repartition("key").sortWithinPartitions("key", "size", "node")
         near = rows.mapInArrow(_apart(least, all_pairs), "i long, j long")

@@ -300,6 +300,38 @@ def test_similar_texts_in_crowds(spark):
     assert len({got[i] for i in range(len(texts))} - {got[i] for i in crowd} - {got[i] for p in pairs for i in p}) == 300
 
 
+def test_parities_are_a_bound():
+    rng = np.random.default_rng(11)
+    close = 0
+    for n in (0, 1, 5, 80, 600, 5000):
+        x = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
+        for gone in (0.0, 0.1, 0.5, 1.0):
+            y = np.union1d(x[rng.random(len(x)) >= gone], rng.integers(0, 2**32, int(n * gone), dtype=np.uint32))
+            odd = similar_texts.parities([x, y])
+            differ = int(np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+            close += differ > 0.7 * len(np.setxor1d(x, y)) > 0
+    assert close >= 8 and similar_texts.parities([]).shape == (0, 8)
+
+
+def test_pairs_of_a_key_lose_none_that_are_alike():
+    """All pairs of sets that are alike and of different roots, against what the filters leave."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    base = [np.unique(rng.integers(0, 2**32, n, dtype=np.uint32)) for n in (3, 40, 300)]
+    sets = [np.union1d(b[rng.random(len(b)) >= rng.choice([0.05, 0.1, 0.2])], rng.integers(0, 2**32, len(b) // 20, dtype=np.uint32)) for b in base for _ in range(30)]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(len(sets))), pa.array(np.arange(len(sets)) // 2), pa.array([x.astype("<u4").tobytes() for x in sets])], ["group", "node", "root", "shingles"])
+    frequency = np.zeros(1 << 20, np.int64)
+    for x in sets:
+        np.add.at(frequency, x >> np.uint32(12), 1)
+    (lists,) = similar_texts._prefixes(frequency, 0.8)(iter([rows]))
+    lists = lists.sort_by([("key", "ascending"), ("size", "ascending"), ("node", "ascending")])
+    found = {p for out in similar_texts._apart(0.8, True)(iter([lists.slice(0, 500), lists.slice(500)])) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i // 2 != j // 2 and similar_texts.alike(sets[i], sets[j], 0.8)}
+    assert want <= found and len(want) > 100
+
+
 def test_expected_transitions():
     """Against the sum over all label sequences, chains of different lengths together."""
     rng = np.random.default_rng(4)
