@@ -153,6 +153,10 @@ def test_money(spark):
     assert all(r["x"] == r["want"] for r in df.select(T.money(F.col("v"), F.col("c")).alias("x"), "want").collect())
 
 
+def test_money_of_nearly_nothing(spark):
+    assert column(spark, [-0.3, -0.5, -0.0, 0.5, -0.51], lambda c: T.money(c, F.lit("GBP")), "double") == ["£0", "£0", "£0", "£0", "£-1"]
+
+
 def found_keywords(spark, words, text, ocr=False):
     pages = spark.createDataFrame([(1, text)], "doc_id int, text string")
     return {r["keyword"]: r["n"] for r in kw.document_counts(kw.page_counts(pages, words, ocr=F.lit(ocr))).collect()}
