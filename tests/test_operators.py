@@ -346,3 +346,11 @@ def test_files_are_read_by_the_encoding_they_declare(spark, tmp_path):
     assert {r["error"] for r in documents.read_files(spark, str(tmp_path), "*.html", largest=60).filter("html is null").collect()} >= {"file too large"}
     read = facts.read_documents(documents.read_files(spark, str(tmp_path), "[ai].html").select(F.lit(1).alias("doc_id"), "html", "error")).collect()
     assert {(r["text"], r["error"]) for r in read} == {("Café £5 € “x”", None), (None, "not text in utf-8")}
+
+
+def test_references_without_an_end():
+    """Only a whole reference is one: in text, in attributes and at the end of an element."""
+    html = '<p>ver&amp</p><p>R&D &ampersand; &notit; A&amp;B &#163;5 &#xa3;6 &copy 7 &nosuch; &</p><table><tr><td>x&lt</td></tr></table><ix:nonFraction name="a&copy">1</ix:nonFraction>'
+    read = facts.parse(html)
+    assert read["text"] == "ver&amp R&D &ampersand; &notit; A&B £5 £6 &copy 7 &nosuch; & x&lt 1"
+    assert read["rows"] == ["x&lt"] and read["facts"][0]["tag"] == "a&copy"
