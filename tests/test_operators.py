@@ -154,6 +154,22 @@ def test_candidates_lose_no_match(spark):
     assert len(want) > 100 and want <= found
 
 
+def test_pairs_of_names_grow_with_names(spark):
+    """Names of random letters, typed with one too many, three too many or fifteen: four times as many of them give four times as many pairs, not sixteen."""
+    counts = {}
+    for size in (500, 2000):
+        rng = random.Random(3)
+        names = ["".join(rng.choices("BCDFGHJKLMNPQRST", k=12)) for _ in range(size)]
+        reg = match.registered_names(spark.createDataFrame([(f"{k:08d}", n) for k, n in enumerate(names)], "company_number string, company_name string"))
+        for least, more in ((90, 1), (85, 3), (0, 15)):
+            typed = spark.createDataFrame([(k, n[:5] + "X" * more + n[5:]) for k, n in enumerate(names)], "sid long, searched string")
+            own = match.with_masks(typed, "searched")
+            pairs = match.pairs_by_parts(own, reg, least) if least else match.pairs_by_runs(own, reg)
+            counts[size, least] = pairs.count()
+            assert counts[size, least] >= size
+    assert all(counts[2000, least] <= 5 * counts[500, least] for least in (90, 85, 0)) and counts[2000, 90] < 2100
+
+
 def test_closest_names(spark):
     """500 names against 500 registered ones, all pairs compared: the closest of those that share a run of three letters, with scores from 40 to 100."""
     rng = random.Random(9)
