@@ -255,3 +255,16 @@ def test_keyword_list_and_file(spark, tmp_path):
 def test_amounts_of_empty_and_long_rows(spark):
     assert column(spark, ["", "no 12", "(2024: 5,000)"], lambda c: amounts(c, F.lit(False))) == [[], [], [5000.0]]
     assert column(spark, ["7 " + "1,000 " * 1500], lambda c: F.size(amounts(c, F.lit(True)))) == [1500]
+
+
+def test_long_list_keeps_only_what_is_met(spark):
+    """Of a page of over a million letters only places at which a keyword may begin leave their task; keywords lie over the limits of what is looked at together."""
+    text = "zz " * 349_520 + "blue harbour light " * 3 + "zz " * 30_000 + "harbourlight blue  harbour"
+    pages = spark.createDataFrame([(1, text), (2, "blue"), (3, "harbour")], "doc_id int, text string")
+    listed = spark.createDataFrame([(1, "Blue Harbour"), (2, "harbour light"), (3, "blue harbour light blue"), (4, "none of it"), (5, "light blue")], "kw_pos long, keyword string")
+    got = {(r["doc_id"], r["kw_pos"]): r["n"] for r in phrases.list_counts(pages, listed, ["doc_id"]).collect()}
+    assert got == {(1, 1): 4, (1, 2): 3, (1, 3): 1, (1, 5): 2}
+    words = listed.selectExpr("lower(keyword) as __phrase")
+    sizes = [12, 13, 23, 10]
+    met = phrases._met(pages.withColumnRenamed("text", "__text"), ["doc_id"], True, phrases._listed_bits(words, 1 << 16), sizes)
+    assert met.count() < 30
