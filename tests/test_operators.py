@@ -170,6 +170,32 @@ def test_pairs_of_names_grow_with_names(spark):
     assert all(counts[2000, least] <= 5 * counts[500, least] for least in (90, 85, 0)) and counts[2000, 90] < 2100
 
 
+def test_names_of_the_same_letters_do_not_hide_the_closest(spark, monkeypatch):
+    """A name typed with fifteen letters too many, and names of its letters in another order that share a run with it: the one that shares a long run gives the score that others
+    must reach, so names with eight of its letters aren't compared; in whatever blocks a run's names meet."""
+    n = "BCDFGHJKLMNP"
+    others = ["".join(random.Random(k).sample(n[:5] + n[8:], 5)) for k in range(200)]
+    names = [n, *("HJK" + x + "QRST" for x in others)]
+    for k in (0, 1, 2, 5, 6, 7, 8, 9):
+        rest = (n[:k] + n[k + 3 :])[::-1]
+        names += [n[k : k + 3] + rest[i:] + rest[:i] for i in range(5)]
+    reg = match.registered_names(spark.createDataFrame([(f"{k:08d}", x) for k, x in enumerate(names)], "company_number string, company_name string"))
+    own = match.with_masks(spark.createDataFrame([(1, n[:5] + "X" * 15 + n[5:])], "sid long, searched string"), "searched")
+    pairs = lambda: sorted(r["registered"] for r in match.pairs_by_runs(own, reg).join(reg, "rid").select("registered").collect())
+    found = pairs()
+    assert n in found and all(sorted(x) == sorted(n) for x in found)
+    monkeypatch.setattr(match, "BLOCK", 3)
+    assert pairs() == found
+
+
+def test_scoring_is_spread_over_tasks(spark):
+    """A few names, whose bytes would all go to one task."""
+    reg = match.registered_names(spark.createDataFrame([(f"{k:08d}", f"NAME {k}") for k in range(50)], "company_number string, company_name string").coalesce(1))
+    own = match.with_masks(reg.select(F.col("rid").alias("sid"), F.col("registered").alias("searched")), "searched")
+    scored = match.scored_pairs(own.join(reg, F.col("sid") == F.col("rid")).select("sid", "rid").coalesce(1), own, reg)
+    assert scored.rdd.getNumPartitions() == 4 and scored.filter("score = 100").count() == 50
+
+
 def test_closest_names(spark):
     """500 names against 500 registered ones, all pairs compared: the closest of those that share a run of three letters, with scores from 40 to 100."""
     rng = random.Random(9)
