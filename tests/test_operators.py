@@ -170,6 +170,15 @@ def test_pairs_of_names_grow_with_names(spark):
     assert all(counts[2000, least] <= 5 * counts[500, least] for least in (90, 85, 0)) and counts[2000, 90] < 2100
 
 
+def test_amounts_of_a_row_are_read_once(spark):
+    """The first row of a label that has an amount; a filter of such rows doesn't read the amounts a second time."""
+    rows = [(1, k, line) for k, line in enumerate(["£000", "Turnover", "Turnover -x", "Turnover 3 1,250 1,100", "Turnover 9 9,999"])] + [(2, 0, "Turnover"), (2, 1, "Turnover x")]
+    found = L.figures(spark.createDataFrame(rows, "doc_id int, line_no int, line string"), L.K.TURNOVER_LABEL, ["doc_id"])
+    assert [tuple(r) for r in found.collect()] == [(1, 1250000, 1100000, "000", 3)]
+    steps = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("lambdafunction" in s for s in steps) == 1
+
+
 def test_names_of_the_same_letters_do_not_hide_the_closest(spark, monkeypatch):
     """A name typed with fifteen letters too many, and names of its letters in another order that share a run with it: the one that shares a long run gives the score that others
     must reach, so names with eight of its letters aren't compared; in whatever blocks a run's names meet."""
