@@ -176,7 +176,17 @@ def test_amounts_of_a_row_are_read_once(spark):
     found = L.figures(spark.createDataFrame(rows, "doc_id int, line_no int, line string"), L.K.TURNOVER_LABEL, ["doc_id"])
     assert [tuple(r) for r in found.collect()] == [(1, 1250000, 1100000, "000", 3)]
     steps = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    assert sum("lambdafunction" in s for s in steps) == 1
+    assert sum("lambdafunction" in s and "regexp_replace" in s for s in steps) == 1
+
+
+def test_files_are_written_and_read_by_few_tasks(spark, tmp_path):
+    """A file a row, with its bytes as they are and nothing beside it; hundreds of small files are read by a few tasks."""
+    rows = [(f"{k % 7}/{k}.html", bytes([k % 256, 13, 10, 0])) for k in range(700)]
+    sinks.write_files(spark.createDataFrame(rows, "name string, content binary"), f"file:{tmp_path}/out")
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == dict(rows)
+    files = documents.read_files(spark, f"{tmp_path}/out", "*.html")
+    # of the files that are read and of those too large
+    assert files.rdd.getNumPartitions() <= 2 * documents.PARTS * spark.sparkContext.defaultParallelism and files.count() == 700
 
 
 def test_names_of_the_same_letters_do_not_hide_the_closest(spark, monkeypatch):
